@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_scalar"]
+MODULES = ["q_scalar", "q_windows", "q_match"]
 
 
 def load() -> None:
