@@ -90,27 +90,28 @@ def assign_groups(
 
     columns = [*keys, left, right, "cost", "n", "left_from", "right_from"]
 
-    def solve(part: pd.DataFrame) -> list[np.ndarray]:
-        rows, row_ids = pd.factorize(part[left].to_numpy(), sort=True)
-        cols, col_ids = pd.factorize(part[right].to_numpy(), sort=True)
+    def solve(pieces: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
+        part = pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
+        row_ids, rows = np.unique(part[left], return_inverse=True)
+        col_ids, cols = np.unique(part[right], return_inverse=True)
         matrix = np.full((len(row_ids), len(col_ids)), missing)
-        matrix[rows, cols] = part["cost"].to_numpy()
+        matrix[rows, cols] = part["cost"]
         listed = np.zeros(matrix.shape, dtype=bool)
         listed[rows, cols] = True
         supply = np.zeros(len(row_ids), dtype=np.int64)
         demand = np.zeros(len(col_ids), dtype=np.int64)
-        supply[rows] = part["_ln"].to_numpy()
-        demand[cols] = part["_rn"].to_numpy()
+        supply[rows] = part["_ln"]
+        demand[cols] = part["_rn"]
         flow = np.where(listed, transport(matrix, supply, demand), 0)
         r, c = np.nonzero(flow)
         left_from = (np.cumsum(flow, axis=1) - flow)[r, c]
         right_from = (np.cumsum(flow, axis=0) - flow)[r, c]
-        head = [np.repeat(part[k].iloc[:1].to_numpy(), len(r)) for k in keys]
+        head = [np.repeat(part[k][:1], len(r)) for k in keys]
         return [*head, row_ids[r], col_ids[c], matrix[r, c], flow[r, c], left_from, right_from]
 
     def run(batches):
         # Rows arrive sorted by key. The last group of a batch may go on in the next one.
-        held: list[pd.DataFrame] = []
+        held: list[dict[str, np.ndarray]] = []
 
         def table(parts: list[list[np.ndarray]]) -> pd.DataFrame:
             return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
@@ -118,22 +119,23 @@ def assign_groups(
         for batch in batches:
             if not len(batch):
                 continue
-            names = batch[keys]
-            starts = np.flatnonzero((names != names.shift()).any(axis=1).to_numpy())
-            if held and (names.iloc[0] == held[-1][keys].iloc[-1]).all():
-                starts = starts[starts > 0]
-            pieces = np.split(np.arange(len(batch)), starts) if len(starts) else [np.arange(len(batch))]
+            data = {c: batch[c].to_numpy() for c in batch.columns}
+            new = np.zeros(len(batch), dtype=bool)
+            new[0] = not held or any(data[k][0] != held[-1][k][-1] for k in keys)
+            for k in keys:
+                new[1:] |= data[k][1:] != data[k][:-1]
+            starts = np.flatnonzero(new)
+            edges = [0, *starts[starts > 0], len(batch)]
             done = []
-            for at, piece in enumerate(pieces):
-                if at > 0 and held:
-                    done.append(solve(pd.concat(held) if len(held) > 1 else held[0]))
+            for begin, end in zip(edges[:-1], edges[1:]):
+                if new[begin] and held:
+                    done.append(solve(held))
                     held = []
-                if len(piece):
-                    held.append(batch.iloc[piece[0] : piece[-1] + 1])
+                held.append({c: a[begin:end] for c, a in data.items()})
             if done:
                 yield table(done)
         if held:
-            yield table([solve(pd.concat(held))])
+            yield table([solve(held)])
 
     # Many small groups share one Python call; a task holds one group and one batch at a time.
     return full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)

@@ -184,3 +184,37 @@ from (select *, unnest(range(case when n >= 16 then (n - 16) // 8 + 1 else 0 end
       from (select *, cast(ceil(total_frames / cast(step as double)) as int) as n
             from (select *, cast(greatest(1, round_even(source_fps, 0)) as int) as step from {v_videos}) a) b) c
 """
+
+# Documents with several clips per video. Some clips name an object with another category, and
+# colours and materials vary by clip.
+BOTH["v_doc_objects"] = """
+select video_id, clip_index, cast(row_number() over (partition by video_id, clip_index order by obj_id) - 1 as int) as obj_pos, obj_id,
+  concat(base, case when clip_index % 7 = 3 then 'x' else '' end) as category, first_seen_frame,
+  case clip_index % 4 when 0 then 'red' when 1 then 'blue' when 2 then 'green' else null end as color,
+  case clip_index % 3 when 0 then 'metal' when 1 then 'glass' else null end as material
+from (select video_id, clip_index, base, concat(base, '_01') as obj_id, min(frame) as first_seen_frame
+      from (select video_id, clip_index, agent_category as base, frame from {v_gt}
+            union all select video_id, clip_index, concat('obj_', target_category), frame from {v_gt}) a
+      group by video_id, clip_index, base) b
+"""
+
+BOTH["v_doc_events"] = """
+select video_id, clip_index, event_seq, concat('evt_', lpad(cast(event_seq as string), 6, '0')) as event_id, frame, action,
+  concat(agent_category, '_01') as agent, case when event_seq % 5 = 0 then null else concat('obj_', target_category, '_01') end as target,
+  cast(null as string) as source, case when event_seq % 3 = 0 then concat('obj_', target_category, '_01') else null end as destination
+from {v_gt}
+"""
+
+# Clips of the documents: frames follow clip_index * 160 + j * 20 except in every ninth clip.
+SPARK_ONLY["v_doc_clips"] = """
+select cast(video_id as int) as video_id, clip_index, n_events, n_objects,
+  case when n_events = 0 and n_objects = 0 then 'motion_filtered' else 'annotated' end as status,
+  transform(sequence(0, 15), j -> cast(clip_index * 160 + j * 20 + case when (video_id + clip_index) % 9 = 8 then j else 0 end as int)) as frame_indices
+from {v_ann_clips}
+"""
+DUCK_ONLY["v_doc_clips"] = """
+select cast(video_id as int) as video_id, clip_index, n_events, n_objects,
+  case when n_events = 0 and n_objects = 0 then 'motion_filtered' else 'annotated' end as status,
+  list_transform(range(16), lambda j: cast(clip_index * 160 + j * 20 + case when (video_id + clip_index) % 9 = 8 then j else 0 end as int)) as frame_indices
+from {v_ann_clips}
+"""
