@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_scalar", "q_windows", "q_match", "q_aggregate", "q_metrics", "q_order", "q_graph", "q_sources"]
+MODULES = ["q_scalar", "q_windows", "q_match", "q_aggregate", "q_metrics", "q_order", "q_graph", "q_sources", "q_extra"]
 
 
 def load() -> None:
