@@ -51,8 +51,9 @@ ALIASES = {
 
 def normalize_frame(frame: Column, frame_indices: Column, length: int = 16) -> Column:
     """Local position of a frame: itself below ``length``, else the nearest listed frame, lowest on ties."""
-    nearest = F.array_min(F.transform(frame_indices, lambda x, i: F.struct(F.abs(x - frame).alias("d"), i.alias("i"))))
-    return F.when(frame <= length - 1, frame).otherwise(nearest["i"])
+    distance = F.transform(frame_indices, lambda x: F.abs(x - frame))
+    nearest = (F.array_position(distance, F.array_min(distance)) - 1).cast("int")
+    return F.when(frame <= length - 1, frame).otherwise(nearest)
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:

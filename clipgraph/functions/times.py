@@ -25,8 +25,7 @@ def parse_start_time(video_id: Column, strict: bool = False) -> Column:
 
 def add_seconds(start: Column, seconds: Column) -> Column:
     """start + seconds, kept to the microsecond."""
-    zero = F.lit(0)
-    return start + F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return F.timestamp_add("MICROSECOND", F.rint(seconds * 1e6).cast("bigint"), start)
 
 
 def iso(ts: Column) -> Column:

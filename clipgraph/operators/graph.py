@@ -13,28 +13,30 @@ _PART = 100_000
 
 
 def number_events(edges: DataFrame, order: list[str], video: str = "video_id") -> DataFrame:
-    """Add ``event_id`` by list order within the video.
+    """Add ``event_pos`` and ``event_id`` by list order within the video.
 
     ``order`` ascends; pass a negated confidence for the tracker form or the frame for the
     script form, with a unique column last.
     """
-    return row_index(edges, order, [video], name="_at").withColumn("event_id", ids.event_id(F.col("_at"))).drop("_at")
+    return row_index(edges, order, [video], name="event_pos").withColumn("event_id", ids.event_id(F.col("event_pos")))
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, metadata: Column | None = None, video: str = "video_id") -> DataFrame:
     """Nested graph rows ``(video, part, nodes, edges, metadata)``.
 
-    ``edges`` carry ``event_id``. A graph of ordinary size is one row with part 0; beyond
-    100,000 nodes or edges it goes on in further parts, so no row grows without bound.
+    ``edges`` come from :func:`number_events`. A graph of ordinary size is one row with part
+    0; beyond 100,000 nodes or edges it goes on in further parts, so no row grows without
+    bound.
     """
-    def nest(df: DataFrame, order: list[str], out: str) -> DataFrame:
-        placed = row_index(df, order, [video], name="_at").withColumn("part", F.floor(F.col("_at") / _PART))
-        fields = F.struct("_at", F.struct(*[c for c in df.columns if c != video]).alias("v"))
-        listed = placed.groupBy(video, "part").agg(F.sort_array(F.collect_list(fields)).alias("_l"))
+    def nest(df: DataFrame, pos: str, out: str) -> DataFrame:
+        cut = df.withColumn("part", F.floor(F.col(pos) / _PART))
+        fields = F.struct(pos, F.struct(*[c for c in df.columns if c not in (video, pos)]).alias("v"))
+        listed = cut.groupBy(video, "part").agg(F.sort_array(F.collect_list(fields)).alias("_l"))
         return listed.select(video, "part", F.transform("_l", lambda x: x["v"]).alias(out))
 
     meta = metadata if metadata is not None else F.create_map().cast("map<string,string>")
-    n, e = nest(nodes, ["track_id"], "nodes"), nest(edges, ["event_id"], "edges")
+    placed = row_index(nodes, ["track_id"], [video], name="node_pos")
+    n, e = nest(placed, "node_pos", "nodes"), nest(edges, "event_pos", "edges")
     return n.join(e, [video, "part"], "full").withColumn("metadata", meta)
 
 

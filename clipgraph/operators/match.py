@@ -16,9 +16,13 @@ def candidate_pairs(objects: DataFrame, detections: DataFrame) -> DataFrame:
     """Objects with the tracks of their category present at their first frame, and the match score.
 
     An object has no box of its own, so all objects of one category and first frame share
-    their candidates.
+    their candidates. Only the boxes of a wanted frame and category are scored.
     """
-    scored = separation_scores(detections).select(
+    wanted = objects.select(
+        "video_id", F.col("first_seen_frame").alias("frame_index"), F.lower("category").alias("_cat")
+    ).distinct()
+    seen = detections.withColumn("_cat", F.lower("category")).join(wanted, ["video_id", "frame_index", "_cat"], "left_semi")
+    scored = separation_scores(seen.drop("_cat")).select(
         "video_id",
         F.col("frame_index").alias("first_seen_frame"),
         F.lower("category").alias("_cat"),

@@ -18,6 +18,13 @@ from pyspark.sql.window import Window
 
 _BUCKET = "_bucket"
 _SAMPLES_PER_BUCKET = 16
+_SMALL_BYTES = 64 << 20
+
+
+def _small(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate says that one task can hold the input."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(size) <= _SMALL_BYTES
 
 
 def _levels(df: DataFrame, buckets: int | None) -> int:
@@ -57,10 +64,13 @@ def prefix_sums(
 
     ``order_by`` together with ``partition_by`` must be unique. ``lags`` maps a new column to
     the column whose previous value it holds. ``split`` forces (or forbids) the range-cut
-    plan; by default it is used when the sample shows a partition too large for one task.
+    plan; by default a plain window serves inputs of at most 64 MB by the optimizer's
+    estimate and keyed inputs whose sample shows no key too large for one task.
     """
     lags = lags or {}
     parts = list(partition_by)
+    if split is None and _small(df):
+        split = False
     levels = _levels(df, buckets)
     count = 1 << levels
     keys = [F.col(c) for c in (*parts, *order_by)]

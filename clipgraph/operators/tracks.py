@@ -105,26 +105,25 @@ def separation_scores(detections: DataFrame, cell: float = 256.0) -> DataFrame:
     group = ["video_id", "frame_index", "_cat"]
     corner = ["x1", "y1", "x2", "y2"]
     tagged = detections.withColumn("_cat", F.lower("category"))
-    distinct = tagged.groupBy(*group, *corner).agg(F.count(F.lit(1)).alias("_copies"))
+    distinct = tagged.where("x1 is not null").groupBy(*group, *corner).agg(F.count(F.lit(1)).alias("_copies"))
+    sized = distinct.withColumn("_n", F.sum("_copies").over(Window.partitionBy(*group)))
 
     def span(lo: str, hi: str) -> Column:
         return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
-    placed = distinct.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2")))
+    placed = sized.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2")))
     others = placed.select(*group, "_gx", "_gy", F.struct(*corner).alias("o"))
-    iou = boxes.box_iou(boxes.box(), boxes.box("o."))
-    met = placed.join(others, [*group, "_gx", "_gy"]).where(F.struct(*corner) != F.col("o")).where(iou > 0)
-    overlap = met.groupBy(*group, *corner).agg(F.max(iou).alias("_iou"))
-    sizes = distinct.groupBy(*group).agg(F.sum("_copies").alias("_n"))
+    # A box meets itself too, so boxes without any overlap stay in the result.
+    itself = F.struct(*corner) == F.col("o")
+    iou = F.when(itself, F.lit(0.0)).otherwise(boxes.box_iou(boxes.box(), boxes.box("o.")))
+    met = placed.join(others, [*group, "_gx", "_gy"])
+    worst = met.groupBy(*group, *corner).agg(F.max(iou).alias("_iou"), F.max("_n").alias("_n"), F.max("_copies").alias("_copies"))
     copied = (F.col("_copies") > 1) & (boxes.area(boxes.box()) > 0)
-    worst = F.when(copied, F.lit(1.0)).otherwise(F.coalesce("_iou", F.lit(0.0)))
-    boxed = distinct.join(overlap, [*group, *corner], "left").select(*group, *corner, worst.alias("_worst"))
+    boxed = worst.withColumn("_worst", F.when(copied, F.lit(1.0)).otherwise(F.col("_iou"))).drop("_iou", "_copies")
     score = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((1 - F.col("_worst")) * F.greatest("score", F.lit(0.1)))
-    joined = tagged.join(boxed, [*group, *corner], "left").join(sizes, group)
-    no_box = F.col("x1").isNull()
-    return joined.withColumn(
-        "match_score", F.when((F.col("_n") > 1) & no_box, F.lit(0.0)).otherwise(score)
-    ).select(*detections.columns, "match_score")
+    # Rows without a box match nothing and score 0.
+    joined = tagged.join(boxed, [*group, *corner], "left")
+    return joined.select(*detections.columns, F.coalesce(score, F.lit(0.0)).alias("match_score"))
 
 
 def mean_embedding(rows: DataFrame, keys: list[str], vec: str, dim: int) -> DataFrame:

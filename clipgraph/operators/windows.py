@@ -25,6 +25,11 @@ def with_sampling(videos: DataFrame, target_fps: float = 1.0) -> DataFrame:
     return stepped.withColumn("n_sampled", times.sampled_count(F.col("total_frames"), F.col("step")))
 
 
+def with_start_time(videos: DataFrame) -> DataFrame:
+    """Add ``start_ts`` from the video id."""
+    return videos.withColumn("start_ts", times.parse_start_time(F.col("video_id")))
+
+
 def sample_frames(videos: DataFrame, target_fps: float = 1.0) -> DataFrame:
     """One row per sampled frame: ``frame_index`` and ``timestamp_sec``."""
     rows = explode_range(with_sampling(videos, target_fps), F.col("n_sampled"), "_pos")
@@ -71,12 +76,16 @@ def clip_windows(
     return rows.withColumn("start_pos", start).withColumn("length", F.least(F.lit(length), F.col("n_sampled") - start))
 
 
+def _steps(first: Column, step: Column, length: Column) -> Column:
+    """``length`` numbers from ``first``; a sequence stays in generated code, a lambda would not."""
+    rising = F.sequence(first, first + (length - 1) * step, step)
+    none = F.array().cast("array<int>")
+    return F.when(length <= 0, none).when(step > 0, rising).otherwise(F.array_repeat(first, length))
+
+
 def clip_frames(start_pos: Column, length: Column, step: Column) -> Column:
     """``frame_indices`` of a clip."""
-    last = start_pos + length - 1
-    return F.when(length > 0, F.transform(F.sequence(start_pos, last), lambda p: p * step)).otherwise(
-        F.array().cast("array<int>")
-    )
+    return _steps(start_pos * step, step, length)
 
 
 def with_frame_indices(clips: DataFrame) -> DataFrame:
@@ -84,17 +93,18 @@ def with_frame_indices(clips: DataFrame) -> DataFrame:
 
 
 def clip_timestamps(clips: DataFrame) -> DataFrame:
-    """Offsets (3 decimals) and ISO times of each clip's first and last frame."""
+    """Offsets (3 decimals) and ISO times of each clip's first and last frame.
+
+    Needs ``start_ts``, which :func:`with_start_time` adds per video, before the clips are made.
+    """
     first = F.col("start_pos") * F.col("step") / F.col("source_fps")
     last = (F.col("start_pos") + F.col("length") - 1) * F.col("step") / F.col("source_fps")
-    begin = times.parse_start_time(F.col("video_id"))
+    begin = F.col("start_ts")
     return (
-        clips.withColumn("_begin", begin)
-        .withColumn("start_offset_sec", F.round(first, 3))
+        clips.withColumn("start_offset_sec", F.round(first, 3))
         .withColumn("end_offset_sec", F.round(last, 3))
-        .withColumn("start_time", times.offset_to_iso(F.col("_begin"), first))
-        .withColumn("end_time", times.offset_to_iso(F.col("_begin"), last))
-        .drop("_begin")
+        .withColumn("start_time", times.offset_to_iso(begin, first))
+        .withColumn("end_time", times.offset_to_iso(begin, last))
     )
 
 
@@ -107,9 +117,7 @@ def clip_membership(df: DataFrame, pos: str, n_clips: Column, length: int = 16,
 
 def rebuild_frame_indices(clip_index: Column, stride: Column, step: Column, length: Column) -> Column:
     """``[clip_index*stride + j*step]`` for ``j < length``."""
-    return F.when(
-        length > 0, F.transform(F.sequence(F.lit(0), length - 1), lambda j: clip_index * stride + j * step)
-    ).otherwise(F.array().cast("array<int>"))
+    return _steps(clip_index * stride, step, length)
 
 
 def token_frames(frame_indices: Column, n_tokens: int) -> Column:

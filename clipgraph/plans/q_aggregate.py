@@ -9,6 +9,7 @@ from clipgraph.operators import graph, match, report, tracks, validate, windows
 from clipgraph.plans.q_match import NMS_SQL, sides
 from clipgraph.plans.q_scalar import VALIDATED, action_rules
 from clipgraph.plans.registry import query
+from clipgraph.session import settle
 
 CLIP = ["video_id", "clip_index"]
 
@@ -213,6 +214,7 @@ def build_graph(v):
     from clipgraph.plans.q_match import EVENT_KEY
 
     kept = nms.suppress_duplicates(v["v_edges"], EVENT_KEY).withColumn("_neg", -F.col("confidence"))
+    kept = settle(kept)  # numbering reads it more than once
     edges = graph.number_events(kept, ["_neg", "event_seq"]).drop("_neg")
     nested = graph.build_graph(v["v_nodes"], edges, F.create_map(F.lit("source"), F.lit("events")))
     flat = nested.select("video_id", F.explode("edges").alias("e")).select("video_id", "e.*")

@@ -86,7 +86,7 @@ def enrich_by_position(v):
         (((F.lit(20) + F.col("video_id") % 15 - 1) * 8 + 16) * 20).cast("int").alias("total_frames"),
         F.col("video_id").alias("user"),
     )
-    stamps = windows.clip_timestamps(windows.with_frame_indices(windows.clip_windows(videos)))
+    stamps = windows.clip_timestamps(windows.with_frame_indices(windows.clip_windows(windows.with_start_time(videos))))
     stamps = stamps.drop("video_id").withColumnRenamed("user", "video_id")
     out = windows.enrich_by_position(v["v_ann_clips"], stamps, ["video_id"], "clip_index")
     return out.select(

@@ -26,16 +26,25 @@ def parse_start_time(v):
     )
 
 
+# Clock digits of an ISO time as a number. Numbers add up in a hash aggregate; the least and
+# greatest text would need a sort of all clips.
+CLOCK_SQL = "cast(replace(substr({c}, 12), ':', '') as bigint)"
+
+
+def clock(c):
+    return F.translate(F.substring(c, 12, 8), ":", "").cast("bigint")
+
+
 @query("offset_to_iso", f"""
-select video_id, cast(sum(case when s < e then 1 else 0 end) as bigint) as n_spans, min(s) as first_start, max(e) as last_end
+select video_id, cast(sum(case when s < e then 1 else 0 end) as bigint) as n_spans, cast(sum({CLOCK_SQL.format(c='s')}) as bigint) as start_clock, cast(sum({CLOCK_SQL.format(c='e')}) as bigint) as end_clock
 from (select video_id,
     strftime({_START} + to_microseconds(cast(round(start_pos * step / source_fps * 1000000) as bigint)), '%Y-%m-%dT%H:%M:%S') as s,
     strftime({_START} + to_microseconds(cast(round((start_pos + 15) * step / source_fps * 1000000) as bigint)), '%Y-%m-%dT%H:%M:%S') as e
   from v_clips) c group by video_id
 """)
 def offset_to_iso(v):
-    clips = windows.clip_windows(v["v_videos"])
-    begin = times.parse_start_time(F.col("video_id"))
+    clips = windows.clip_windows(windows.with_start_time(v["v_videos"]))
+    begin = F.col("start_ts")
     at = F.col("start_pos") * F.col("step") / F.col("source_fps")
     end = (F.col("start_pos") + 15) * F.col("step") / F.col("source_fps")
     spans = clips.select(
@@ -43,8 +52,8 @@ def offset_to_iso(v):
     )
     return spans.groupBy("video_id").agg(
         F.count_if(F.col("s") < F.col("e")).alias("n_spans"),
-        F.min("s").alias("first_start"),
-        F.max("e").alias("last_end"),
+        F.sum(clock(F.col("s"))).alias("start_clock"),
+        F.sum(clock(F.col("e"))).alias("end_clock"),
     )
 
 
@@ -147,22 +156,18 @@ def alias_fields(v):
 
 
 @query("normalize_frame", """
-select video_id, count(*) as n, cast(sum(case when f <= 15 then f else i end) as bigint) as sum_local
-from (select video_id, clip_index, f, length,
-        list_position(d, list_min(d)) - 1 as i
-      from (select video_id, clip_index, length, (start_pos * step) + (clip_index * 37) % (16 * step + 5) as f,
-              list_transform(range(length), lambda j: abs((start_pos + j) * step - ((start_pos * step) + (clip_index * 37) % (16 * step + 5)))) as d
-            from v_clips) a) b
-group by video_id
+select event_seq, cast(case when f <= 15 then f else list_position(d, list_min(d)) - 1 end as int) as local
+from (select event_seq, f, list_transform(frame_indices, lambda x: abs(x - f)) as d
+      from (select e.event_seq, c.frame_indices, case when e.frame < 8 then e.frame else e.clip_index * 160 + e.frame * 23 end as f
+            from v_doc_events e join v_doc_clips c on c.video_id = e.video_id and c.clip_index = e.clip_index) a) b
 """)
 def normalize_frame(v):
-    clips = windows.with_frame_indices(windows.clip_windows(v["v_videos"]))
-    step = F.col("step")
-    frame = F.col("start_pos") * step + (F.col("clip_index") * 37) % (16 * step + 5)
-    local = ids.normalize_frame(frame, F.col("frame_indices"))
-    return clips.select("video_id", local.alias("local")).groupBy("video_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("local").alias("sum_local")
-    )
+    """Event frames, some local and some of the source video, against the frames of their clip."""
+    clips = v["v_doc_clips"].select("video_id", "clip_index", "frame_indices")
+    source = F.col("clip_index") * 160 + F.col("frame") * 23
+    events = v["v_doc_events"].withColumn("f", F.when(F.col("frame") < 8, F.col("frame")).otherwise(source))
+    joined = events.join(clips, ["video_id", "clip_index"])
+    return joined.select("event_seq", ids.normalize_frame(F.col("f"), F.col("frame_indices")).alias("local"))
 
 
 @query("boxes_to_pixels", """
@@ -406,18 +411,21 @@ def _quoted(text):
 
 
 @query("prompt_build", f"""
-select video_id, count(*) as n_prompts, count(distinct md5(u)) as n_distinct, min(md5(u)) as user_md5, min(md5({_quoted(prompts.system_prompt())})) as system_md5
-from (select video_id, concat(cast(length as varchar), ' frames sampled at 1.0 frames per second; the frame number is drawn at the top left of each.', chr(10),
+select video_id, count(*) as n_prompts, cast(sum(strlen(u)) as bigint) as n_bytes,
+  md5({_quoted(prompts.system_prompt())}) as system_md5
+from (select video_id, concat(cast(length as varchar), ' frames sampled at ', case when clip_index % 2 = 0 then '1.0' else '12.5' end,
+        ' frames per second; the frame number is drawn at the top left of each.', chr(10),
         'Answer in this form:', chr(10), {_quoted(prompts.example_json(list(ATTRIBUTES)))}) as u from v_clips) p group by video_id
 """)
 def prompt_build(v):
-    made = prompts.build_prompts(windows.clip_windows(v["v_videos"]), "length", F.lit(1.0))
+    """Prompts of all clips (every second one at 12.5 fps), summed up per video."""
+    clips = windows.clip_windows(v["v_videos"]).select("video_id", "clip_index", "length")
+    fps = F.when(F.col("clip_index") % 2 == 0, F.lit(1.0)).otherwise(F.lit(12.5))
+    made = prompts.build_prompts(clips, "length", fps)
     return made.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_prompts"),
-        F.count_distinct(F.md5("user_prompt")).alias("n_distinct"),
-        F.min(F.md5("user_prompt")).alias("user_md5"),
-        F.min(F.md5("system_prompt")).alias("system_md5"),
-    )
+        F.sum(F.octet_length("user_prompt")).alias("n_bytes"),
+    ).withColumn("system_md5", F.md5(F.lit(prompts.system_prompt())))
 
 
 def attributed_objects(v):

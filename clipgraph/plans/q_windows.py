@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.operators import motion, tracks, windows
 from clipgraph.operators.ordering import row_index
+from clipgraph.plans.q_scalar import clock
 from clipgraph.plans.registry import query
 
 _STEP = "cast(greatest(1, round_even(source_fps, 0)) as int)"
@@ -45,21 +46,21 @@ def clip_windows_min_one(v):
 
 @query("clip_timestamps", f"""
 select video_id, count(*) as n_clips, cast(sum(f0) as bigint) as sum_first, cast(sum(f15) as bigint) as sum_last,
-  round(max(round(f15 / source_fps, 3)), 3) as max_end_sec, min(st) as first_time, max(et) as last_time,
+  round(max(round(f15 / source_fps, 3)), 3) as max_end_sec, cast(sum(cast(replace(substr(st, 12), ':', '') as bigint)) as bigint) as start_clock, cast(sum(cast(replace(substr(et, 12), ':', '') as bigint)) as bigint) as end_clock,
   round(sum(round(f0 / source_fps, 3)), 3) as sum_start_sec
 from (select *, strftime({_START} + to_microseconds(cast(round(f0 / source_fps * 1000000) as bigint)), '%Y-%m-%dT%H:%M:%S') as st,
         strftime({_START} + to_microseconds(cast(round(f15 / source_fps * 1000000) as bigint)), '%Y-%m-%dT%H:%M:%S') as et
       from (select *, start_pos * step as f0, (start_pos + 15) * step as f15 from v_clips) a) b group by video_id
 """)
 def clip_timestamps(v):
-    clips = windows.clip_timestamps(windows.with_frame_indices(windows.clip_windows(v["v_videos"])))
+    clips = windows.clip_timestamps(windows.with_frame_indices(windows.clip_windows(windows.with_start_time(v["v_videos"]))))
     return clips.groupBy("video_id").agg(
         F.count(F.lit(1)).alias("n_clips"),
         F.sum(F.get("frame_indices", F.lit(0))).alias("sum_first"),
         F.sum(F.get("frame_indices", F.lit(15))).alias("sum_last"),
         F.round(F.max("end_offset_sec"), 3).alias("max_end_sec"),
-        F.min("start_time").alias("first_time"),
-        F.max("end_time").alias("last_time"),
+        F.sum(clock(F.col("start_time"))).alias("start_clock"),
+        F.sum(clock(F.col("end_time"))).alias("end_clock"),
         F.round(F.sum("start_offset_sec"), 3).alias("sum_start_sec"),
     )
 
