@@ -18,7 +18,11 @@ def spatial_map(attn: DataFrame) -> DataFrame:
 
 
 def group_softmax(df: DataFrame, group: list[str], logit: str, out: str = "w") -> DataFrame:
-    """Softmax of ``logit`` within each group."""
+    """Softmax of ``logit`` within each group.
+
+    A group is the slots of one token or the classes of one query, so its size is a constant
+    of the model.
+    """
     over = Window.partitionBy(*group)
     shifted = F.exp(F.col(logit) - F.max(logit).over(over))
     return df.withColumn("_z", shifted).withColumn(out, F.col("_z") / F.sum("_z").over(over)).drop("_z")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays
+from clipgraph.session import broadcast_checked
 
 HEADS = ["action", "agent_ptr", "target_ptr", "source_ptr", "dest_ptr", "frame"]
 
@@ -44,9 +45,9 @@ def argmax_heads(pred: DataFrame) -> DataFrame:
 def label_lookup(df: DataFrame, id_col: str, names: DataFrame, out: str, prefix: str) -> DataFrame:
     """Name of an id from a small ``(id, name)`` frame, else ``prefix`` + id.
 
-    The names come from a fixed vocabulary of a few dozen rows, hence the broadcast.
+    The names are broadcast after a check of their number.
     """
-    joined = df.join(F.broadcast(names), F.col(id_col) == names["id"], "left")
+    joined = df.join(broadcast_checked(names), F.col(id_col) == names["id"], "left")
     named = F.coalesce(names["name"], F.concat(F.lit(prefix), F.col(id_col).cast("string")))
     return joined.withColumn(out, named).drop("id", "name")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import ids
 from clipgraph.operators.ordering import row_index
+from clipgraph.session import broadcast_checked
 
 ENCODED = [
     "action_class", "agent_track_id", "target_track_id", "source_track_id", "dest_track_id", "event_frame_index",
@@ -22,10 +23,9 @@ def clips_with_features(clips: DataFrame, features: DataFrame, key: list[str]) -
 def lookup_category(df: DataFrame, known: DataFrame, name: str, unknown_id: int) -> DataFrame:
     """Add ``category_id``; names off the vocabulary get ``unknown_id``.
 
-    A vocabulary holds one row per distinct name and is broadcast by the optimizer when its
-    measured size allows it.
+    A vocabulary holds one row per distinct name; it is broadcast after a check of its size.
     """
-    return df.join(known.select(name, "category_id"), name, "left").withColumn(
+    return df.join(broadcast_checked(known.select(name, "category_id")), name, "left").withColumn(
         "category_id", F.coalesce("category_id", F.lit(unknown_id))
     )
 
@@ -51,7 +51,7 @@ def join_roles(events: DataFrame, placed: DataFrame, clip: str) -> DataFrame:
 
 def encode_events(events: DataFrame, placed: DataFrame, actions: DataFrame, clip: str, length: int = 16) -> DataFrame:
     """Events with class ids, object positions and clamped frames; unknown actions and missing roles go."""
-    known = events.join(F.broadcast(actions.select("action", "action_id")), "action")
+    known = events.join(broadcast_checked(actions.select("action", "action_id")), "action")
     out = join_roles(known, placed, clip)
     return out.select(
         *events.columns,

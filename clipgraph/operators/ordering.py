@@ -158,8 +158,8 @@ def batch_index(df: DataFrame, order_by: list[str], size: int, drop_last: bool =
     at = row_index(df, order_by, name="_at")
     out = at.withColumn("batch_index", F.floor(F.col("_at") / size)).withColumn("batch_pos", F.col("_at") % size)
     if drop_last:
-        whole = df.agg(F.floor(F.count(F.lit(1)) / size).alias("_whole"))
-        out = out.join(F.broadcast(whole), F.col("batch_index") < F.col("_whole"), "left_semi")
+        whole = df.agg(F.floor(F.count(F.lit(1)) / size)).scalar()
+        out = out.where(F.col("batch_index") < whole)
     return out.drop("_at")
 
 
@@ -179,15 +179,14 @@ def seeded_split(
     """
     shuffled = df.withColumn("_h", F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(seed)))))
     at = row_index(shuffled, ["_h", id_col], name="_at")
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    at = at.withColumn("_n", df.agg(F.count(F.lit(1))).scalar())
     held = F.floor(F.col("_n") * F.lit(val))
     n_train = F.floor(F.col("_n") * F.lit(train)) if train is not None else F.col("_n") - 2 * held
     named = (
         F.when(F.col("_at") < n_train, "train").when(F.col("_at") < n_train + held, "val").otherwise("test")
     )
     return (
-        at.join(F.broadcast(n), F.lit(True))
-        .withColumn("split", named)
+        at.withColumn("split", named)
         .withColumn("split_pos", F.col("_at"))
         .drop("_h", "_at", "_n")
     )

@@ -106,7 +106,8 @@ def separation_scores(detections: DataFrame, cell: float = 256.0) -> DataFrame:
     corner = ["x1", "y1", "x2", "y2"]
     tagged = detections.withColumn("_cat", F.lower("category"))
     distinct = tagged.where("x1 is not null").groupBy(*group, *corner).agg(F.count(F.lit(1)).alias("_copies"))
-    sized = distinct.withColumn("_n", F.sum("_copies").over(Window.partitionBy(*group)))
+    sizes = distinct.groupBy(*group).agg(F.sum("_copies").alias("_n"))
+    sized = distinct.join(sizes, group)
 
     def span(lo: str, hi: str) -> Column:
         return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))

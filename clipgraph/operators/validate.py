@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipgraph import schemas
 from clipgraph.operators.ordering import row_index
+from clipgraph.session import broadcast_checked
 from clipgraph.vocab import attribute_literal
 
 # Patterns of valid identifiers.
@@ -14,13 +15,21 @@ OBJECT_ID = "^[a-z_]+_[0-9]+$"
 EVENT_ID = "^evt_[0-9]+$"
 
 
+# What comes off model text, in this order: pattern and what stays of a match.
+_CLEANING = [
+    (r"(?s)^.*?</think>", ""),
+    (r"^\s+|\s+$", ""),
+    (r"(?s)^.*?```json(.*?)(```.*)?$", "$1"),
+    (r"(?s)^```[^\n]*\n(.*?)\s*(```)?$", "$1"),
+    (r"^\s+|\s+$", ""),
+]
+
+
 def clean_text(raw: Column) -> Column:
     """Model text without the thinking part and without a code fence around the JSON."""
-    said = F.when(F.contains(raw, F.lit("</think>")), F.regexp_replace(raw, r"(?s)^.*?</think>", "")).otherwise(raw)
-    body = F.trim(F.regexp_replace(F.regexp_replace(said, r"^\s+", ""), r"\s+$", ""))
-    fenced = F.regexp_extract(body, r"(?s)```json\s*(.*?)```", 1)
-    bare = F.regexp_replace(F.regexp_replace(body, r"^```[^\n]*\n", ""), r"\s*```$", "")
-    return F.when(F.contains(body, F.lit("```json")), F.trim(fenced)).when(body.startswith("```"), bare).otherwise(body)
+    for pattern, kept in _CLEANING:
+        raw = F.regexp_replace(raw, pattern, kept)
+    return raw
 
 
 def parse_annotation(df: DataFrame, raw: str) -> DataFrame:
@@ -29,7 +38,10 @@ def parse_annotation(df: DataFrame, raw: str) -> DataFrame:
     An attribute list of the older form reads as no attributes.
     """
     body = clean_text(F.col(raw))
-    staged = df.withColumn("_body", body).withColumn("parsed", F.try_parse_json("_body").isNotNull())
+    # As the only item of an array the text must be one whole JSON value, nothing after it.
+    whole = F.json_array_length(F.concat(F.lit("["), F.col("_body"), F.lit("]"))) == 1
+    parsed = F.coalesce(F.col("_body").startswith("{") & whole, F.lit(False))
+    staged = df.withColumn("_body", body).withColumn("parsed", parsed)
     read = F.from_json(F.when(F.col("parsed"), F.col("_body")), schemas.CLIP_BODY)
     none_obj = F.array().cast(schemas.CLIP_BODY["objects"].dataType)
     none_evt = F.array().cast(schemas.CLIP_BODY["events"].dataType)
@@ -106,11 +118,11 @@ def validate_events(events: DataFrame, objects: DataFrame, actions: DataFrame, c
 
     An event is dropped when its action is not in ``actions`` or a role names an object the
     clip does not have. A kept event is only warned about a missing required source or
-    destination. The action vocabulary is small and broadcast; the four role lookups are
-    plain equi joins on (clip, object id), which the adaptive plan splits when a clip is hot.
+    destination. The action vocabulary is broadcast after a check of its size; the four role
+    lookups are plain equi joins on (clip, object id), which the adaptive plan splits when a clip is hot.
     """
     known = objects.select(clip, "obj_id").distinct()
-    out = events.join(F.broadcast(actions), "action", "left")
+    out = events.join(broadcast_checked(actions), "action", "left")
     for role in ROLES:
         side = known.select(F.col(clip).alias("_clip"), F.col("obj_id").alias(f"_{role}"))
         on = (F.col(clip) == F.col("_clip")) & (F.col(role) == F.col(f"_{role}"))

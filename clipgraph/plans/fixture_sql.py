@@ -81,8 +81,9 @@ left join (select user_id, cast(extract(day from ts) - 1 as int) as clip_index,
   on c.user_id = u.user_id and c.clip_index = d.clip_index
 """
 
+# A clip has a feature file when its user viewed something that day.
 BOTH["v_feature_clips"] = """
-select video_id, clip_index from {v_ann_clips} where (video_id + clip_index) % 11 <> 0
+select distinct user_id as video_id, cast(extract(day from ts) - 1 as int) as clip_index from {events} where event_type = 'view'
 """
 
 BOTH["v_gt"] = """

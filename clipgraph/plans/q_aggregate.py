@@ -232,22 +232,26 @@ def graph_to_json(v):
 
 
 @query("weighted_pooling", """
-select sample_id, slot, t, d, round(sum(w * x_val) / (sum(w) + 1e-8), 6) as pooled
-from (select a.sample_id, a.slot, a.t, a.w, generate_subscripts(e.embedding, 1) - 1 as d, cast(unnest(e.embedding) as double) as x_val
-      from v_attn a join embeddings e on e.vec_id = (a.sample_id * 7 + a.t * 4 + a.y * 2 + a.x) % (select count(*) from embeddings)) p
-where d < 8 group by all
+select sample_id, slot, t, count(*) as n_dims, round(sum(pooled), 6) as total, round(sum(pooled * pooled), 6) as squares
+from (select sample_id, slot, t, d, sum(w * x_val) / (sum(w) + 1e-8) as pooled
+      from (select a.sample_id, a.slot, a.t, a.w, generate_subscripts(e.embedding, 1) - 1 as d, cast(unnest(e.embedding) as double) as x_val
+            from v_attn a join embeddings e on e.vec_id = (a.sample_id * 7 + a.t * 4 + a.y * 2 + a.x) % (select count(*) from embeddings)) p
+      group by all) q group by all
 """)
 def weighted_pooling(v):
-    """Token vectors are the embeddings, assigned to tokens by position; the first 8 dimensions of each."""
+    """Token vectors are the embeddings, assigned to tokens by position; pooled vectors are summed up."""
     from clipgraph.operators import attention
 
-    n = v["embeddings"].agg(F.count(F.lit(1)).alias("_n"))
-    keyed = v["v_attn"].join(F.broadcast(n), F.lit(True)).withColumn(
+    n = v["embeddings"].agg(F.count(F.lit(1))).scalar()
+    keyed = v["v_attn"].withColumn("_n", n).withColumn(
         "vec_id", (F.col("sample_id") * 7 + F.col("t") * 4 + F.col("y") * 2 + F.col("x")) % F.col("_n")
     )
-    out = attention.weighted_pooling(keyed, v["embeddings"], ["vec_id"], "embedding", 8, ["sample_id", "slot", "t"])
-    long = out.select("sample_id", "slot", "t", F.posexplode("pooled").alias("d", "pooled"))
-    return long.select("sample_id", "slot", "t", F.col("d").cast("bigint").alias("d"), F.round("pooled", 6).alias("pooled"))
+    out = attention.weighted_pooling(keyed, v["embeddings"], ["vec_id"], "embedding", 64, ["sample_id", "slot", "t"])
+    squares = F.aggregate("pooled", F.lit(0.0), lambda acc, x: acc + x * x)
+    return out.select(
+        "sample_id", "slot", "t", F.size("pooled").cast("bigint").alias("n_dims"),
+        F.round(arrays.array_sum(F.col("pooled")), 6).alias("total"), F.round(squares, 6).alias("squares"),
+    )
 
 
 @query("group_softmax", "select sample_id, slot, t, y, x, round(w, 6) as w from v_attn")

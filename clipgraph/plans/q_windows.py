@@ -183,8 +183,8 @@ def filtered_ranges(v):
 
 def clip_frames(v):
     """Gray frames as clips of 16; the number of frames is one scalar."""
-    total = v["v_frames"].agg(F.count(F.lit(1)).alias("total"))
-    framed = v["v_frames"].join(F.broadcast(total), F.lit(True))
+    total = v["v_frames"].agg(F.count(F.lit(1))).scalar()
+    framed = v["v_frames"].withColumn("total", total)
     at = F.floor(F.col("frame_pos") / 16)
     return framed.select(
         at.alias("clip_id"), (F.col("frame_pos") % 16).alias("local"),

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -36,6 +37,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def broadcast_checked(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+
+    The count stops at the limit. Larger inputs take the ordinary shuffled join, whose skewed
+    partitions the adaptive plan splits.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back from there.
 

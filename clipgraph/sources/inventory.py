@@ -64,11 +64,13 @@ def dataset_manifest(clips: DataFrame, key: str, size: str, annotated: str, with
         F.sum(size).alias("_bytes"),
     )
     totals = per.agg(
-        F.count(F.lit(1)).alias("total_videos"),
-        F.sum("n_clips").alias("total_clips"),
-        F.round(F.sum("_bytes") / 1e9, 2).alias("total_gb"),
-    )
-    out = per.join(F.broadcast(totals), F.lit(True))
+        F.struct(
+            F.count(F.lit(1)).alias("total_videos"),
+            F.sum("n_clips").alias("total_clips"),
+            F.round(F.sum("_bytes") / 1e9, 2).alias("total_gb"),
+        )
+    ).scalar()
+    out = per.withColumn("_t", totals).select("*", "_t.*").drop("_t")
     limit = F.lit(published) if published is not None else F.col("total_videos")
     return out.select(
         key, "n_clips", "n_annotated", "n_with_events", F.round(F.col("_bytes") / 1e6, 1).alias("size_mb"),
