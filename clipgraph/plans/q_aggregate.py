@@ -224,11 +224,25 @@ def build_graph(v):
     )
 
 
-@query("graph_to_json")
+@query("graph_to_json", """
+select video_id, printf('evt_%04d', row_number() over (partition by video_id order by frame, event_seq) - 1) as event_id, action, agent_track_id, target_track_id,
+  source_track_id, destination_track_id, frame, round(confidence, 6) as confidence, '2024-01-01T00:00:00' as timestamp, true as has_nulls from v_edges
+""")
 def graph_to_json(v):
+    """Graphs as JSON, parsed back into edge rows."""
     numbered = graph.number_events(v["v_edges"], ["frame", "event_seq"])
     stamped = numbered.withColumn("timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
-    return graph.graph_json(graph.build_graph(v["v_nodes"], stamped))
+    text = graph.graph_json(graph.build_graph(v["v_nodes"], stamped))
+    edge = (
+        "event_id string, action string, agent_track_id int, target_track_id int, source_track_id int, "
+        "destination_track_id int, frame int, confidence double, timestamp string"
+    )
+    read = text.select(
+        "video_id", F.contains("json", F.lit('"source_track_id":null')).alias("has_nulls"),
+        F.from_json("json", f"edges array<struct<{edge.replace(' ', ':').replace(',:', ',')}>>").alias("g"),
+    )
+    rows = read.select("video_id", "has_nulls", F.explode("g.edges").alias("e")).select("video_id", "has_nulls", "e.*")
+    return rows.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("weighted_pooling", """

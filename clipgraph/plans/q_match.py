@@ -8,6 +8,7 @@ from clipgraph.functions import arrays
 from clipgraph.operators import decode, encode, match, nms, tracks, windows
 from clipgraph.operators.assignment import assign_groups
 from clipgraph.plans.q_scalar import ACTION_RULES, action_rules
+from clipgraph.plans.q_windows import FEATURES
 from clipgraph.plans.registry import query
 from clipgraph.sources import inventory
 from clipgraph.vocab import vocab_from_table
@@ -216,6 +217,32 @@ def assignment(v):
     )
 
 
+@query("assign_groups", f"""
+with recursive f as materialized (select * from {FEATURES} f),
+a as (select video_id, track_id, avg(cx) as px, avg(cy) as py, row_number() over (partition by video_id order by track_id) as i, count(*) over (partition by video_id) as n from f where t_idx < 8 group by 1, 2),
+b as (select video_id, track_id, avg(cx) as qx, avg(cy) as qy, row_number() over (partition by video_id order by track_id) - 1 as j, count(*) over (partition by video_id) as m from f where t_idx >= 8 group by 1, 2),
+c as (select a.video_id, i, n, j, m, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) as cost from a join b on a.video_id = b.video_id),
+opt as (select video_id, i, n, m, cast(1 as bigint) << j as bit, cost from c
+        union all select distinct video_id, i, n, m, cast(0 as bigint), 1000e0 from c where n > m),
+dp as (select video_id, cast(1 as bigint) as i, n, m, bit as mask, cost from opt where i = 1
+       union all select d.video_id, d.i + 1, d.n, d.m, d.mask | o.bit, min(d.cost + o.cost)
+       from dp d join opt o on o.video_id = d.video_id and o.i = d.i + 1 and (o.bit & d.mask) = 0 group by 1, 2, 3, 4, 5)
+select video_id, least(any_value(n), any_value(m)) as n_pairs, round(min(cost) - 1000 * greatest(any_value(n) - any_value(m), 0), 6) as total_cost
+from dp where i = n group by video_id
+""")
+def assign_groups_query(v):
+    """Least total centre distance between the tracks of each video's first and second half."""
+    placed = tracks.box_features(v["v_detections"].withColumn("t_idx", F.col("frame_index")), 400, 400)
+    early = placed.where("t_idx < 8").groupBy("video_id", "track_id").agg(F.avg("cx").alias("ax"), F.avg("cy").alias("ay"))
+    late = placed.where("t_idx >= 8").groupBy("video_id", F.col("track_id").alias("late_id")).agg(
+        F.avg("cx").alias("bx"), F.avg("cy").alias("by")
+    )
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    costs = early.join(late, "video_id").withColumn("cost", F.sqrt(dx * dx + dy * dy))
+    solved = assign_groups(costs, ["video_id"], "track_id", "late_id")
+    return solved.groupBy("video_id").agg(F.sum("n").alias("n_pairs"), F.round(F.sum("cost"), 6).alias("total_cost"))
+
+
 @query("match_events")
 def match_events(v):
     return match.match_events(*sides(v), ["video_id", "clip_index"], "event_seq")
