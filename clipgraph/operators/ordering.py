@@ -41,13 +41,32 @@ def _sample(df: DataFrame, keys: list[Column], size: int) -> list[str]:
     return [r[0] for r in rows]
 
 
-def _bucket_of(key: Column, bounds: Column, levels: int) -> Column:
-    """Number of bounds at or below ``key``: a binary search of ``levels`` steps."""
-    steps = F.array(*[F.lit(1 << (levels - 1 - i)) for i in range(levels)])
+def _count_below(key: Column, cuts: list[Column], lo: int, hi: int) -> Column:
+    """Number of ``cuts[:hi]`` at or below ``key``, given that ``cuts[:lo]`` are."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(cuts[mid] <= key, _count_below(key, cuts, mid + 1, hi)).otherwise(_count_below(key, cuts, lo, mid))
+
+
+_TREE_LEVELS = 5
+
+
+def _bucket_of(key: Column, picks: list[str], kind: T.StructType, levels: int) -> Column:
+    """Number of cut points at or below ``key``: a binary search of ``levels`` steps.
+
+    The first steps are a tree of comparisons in generated code; a tree of all cut points
+    would outgrow a method, so further steps look into an array.
+    """
+    rest = max(0, levels - _TREE_LEVELS)
+    coarse = [F.from_json(F.lit(p), kind) for p in picks[(1 << rest) - 1 :: 1 << rest]]
+    at = _count_below(key, coarse, 0, len(coarse)) * (1 << rest)
+    if not rest:
+        return at
+    bounds = F.from_json(F.lit("[" + ",".join(picks) + "]"), T.ArrayType(kind))
+    steps = F.array(*[F.lit(1 << (rest - 1 - i)) for i in range(rest)])
     return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(bounds, at + step - 1) <= key, at + step).otherwise(at),
+        steps, at, lambda acc, step: F.when(F.get(bounds, acc + step - 1) <= key, acc + step).otherwise(acc)
     )
 
 
@@ -87,9 +106,8 @@ def prefix_sums(
 
     picks = [sample[min(len(sample) - 1, (i + 1) * len(sample) // count)] for i in range(count - 1)]
     fields = [T.StructField(f"k{i}", df.schema[c].dataType) for i, c in enumerate((*parts, *order_by))]
-    bounds = F.from_json(F.lit("[" + ",".join(picks) + "]"), T.ArrayType(T.StructType(fields)))
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    cut = df.withColumn(_BUCKET, _bucket_of(key, bounds, levels))
+    cut = df.withColumn(_BUCKET, _bucket_of(key, picks, T.StructType(fields), levels))
 
     order = F.struct(*order_by)
     totals = cut.groupBy(*parts, _BUCKET).agg(
