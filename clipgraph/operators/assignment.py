@@ -138,4 +138,6 @@ def assign_groups(
             yield table([solve(held)])
 
     # Many small groups share one Python call; a task holds one group and one batch at a time.
-    return full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    # Solving costs far more than the bytes show, so the partitions must not be merged by size.
+    tasks = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
