@@ -229,7 +229,7 @@ def scoring_losses(
         F.count(F.lit(1)).alias("n_matched"),
     )
     total = sum((F.col(h) * w for h, w in weights.items()), F.lit(0.0))
-    return inter.join(losses, F.lit(True)).withColumn("total", total)
+    return losses.withColumn("interaction", inter.scalar()).withColumn("total", total)
 
 
 def slot_losses(slots: DataFrame, objects: DataFrame, key: str = "sample_id", matched: DataFrame | None = None) -> DataFrame:
@@ -241,5 +241,5 @@ def slot_losses(slots: DataFrame, objects: DataFrame, key: str = "sample_id", ma
     nll = -arrays.log_softmax_at(F.col("cat_logits"), F.col("_c"))
     per = tagged.groupBy(key).agg(F.avg(exist).alias("_e"), F.sum(nll).alias("_s"))
     sums = per.agg(F.avg("_e").alias("existence"), F.coalesce(F.sum("_s"), F.lit(0.0)).alias("_s"))
-    n = objects.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_n"))
-    return sums.join(n, F.lit(True)).select((F.col("_s") / F.col("_n")).alias("category"), "existence")
+    n = objects.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    return sums.withColumn("_n", n).select((F.col("_s") / F.col("_n")).alias("category"), "existence")

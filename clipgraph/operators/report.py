@@ -135,6 +135,6 @@ def quality_report(truth: DataFrame, pred: DataFrame, clips: DataFrame, clip: li
         false_positive_report(counts).select(F.struct("*").alias("false_positive_analysis")),
     ]
     out = summary
-    for p in parts:  # each part is one row
-        out = out.join(p, F.lit(True))
+    for p in parts:
+        out = out.withColumn(p.columns[0], p.scalar())
     return out

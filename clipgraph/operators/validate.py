@@ -172,9 +172,8 @@ def validation_stats(checked: DataFrame, clips: DataFrame, extra_warnings: DataF
         F.coalesce(F.sum(F.size("warnings")), F.lit(0)).cast("bigint").alias("_warned"),
     )
     n_clips = clips.agg(F.count(F.lit(1)).alias("total_annotations"))
-    extra = extra_warnings if extra_warnings is not None else checked.sparkSession.range(1).select(F.lit(0).alias("_extra"))
-    # Three one-row frames side by side.
-    row = n_clips.join(totals, F.lit(True)).join(extra.toDF("_extra"), F.lit(True))
+    extra = extra_warnings.scalar() if extra_warnings is not None else F.lit(0)
+    row = totals.withColumn("total_annotations", n_clips.scalar()).withColumn("_extra", extra)
     lost = F.col("total_events_input") - F.col("total_events_output")
     return row.select(
         "total_annotations",

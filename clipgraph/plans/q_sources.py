@@ -143,7 +143,7 @@ def relational_tables(v):
     for (name, key), table in zip(keys.items(), datasets.read_graph_tables(v.spark, path)):
         n = table.agg(F.count(F.lit(1)).alias("n_rows"))
         d = datasets.duplicate_keys(table, key).agg(F.count(F.lit(1)).cast("int").alias("n_duplicates"))
-        row = n.join(d, F.lit(True)).select(F.lit(name).alias("part"), "n_rows", "n_duplicates")
+        row = n.withColumn("n_duplicates", d.scalar()).select(F.lit(name).alias("part"), "n_rows", "n_duplicates")
         out = row if out is None else out.unionByName(row)
     return out
 
