@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgraph.llm import mixing, sharding, simhash, sql, tokencount, weighted
+from clipgraph.llm import decontaminate, mixing, sharding, simhash, sql, tokencount, weighted
 from clipgraph.llm.common import table
 
 #: Vocabulary of public byte pieces, one a line.
@@ -52,3 +52,9 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
 @query("op6_fingerprints")
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination", sql.DECONTAMINATION)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text")

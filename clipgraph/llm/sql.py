@@ -70,3 +70,26 @@ blocked as (
 select doc_id, source, tokens, weight, epoch::bigint as epoch, start_token, block, md5(block || ':' || epoch || ':' || m) as block_key
 from blocked
 """
+
+_WORDS = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""
+with docs as (
+  select row_number() over () as rid, doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
+items as (
+  select item_id::varchar as item, w, least(10, len(w)) as size from (select item_id, {_WORDS.format("text")} as w from benchmark)
+  where len(w) > 0),
+windows as (
+  select distinct item, size, array_to_string(w[s:s + size - 1], ' ') as words
+  from (select item, w, size, unnest(range(1, len(w) - size + 2)) as s from items)),
+places as (
+  select rid, size, s, array_to_string(w[s:s + size - 1], ' ') as words
+  from (select rid, w, size, unnest(range(1, len(w) - size + 2)) as s
+        from docs, (select distinct size from windows) where len(w) >= size)),
+found as (select distinct p.rid, p.s, p.size, x.item from places p join windows x on x.size = p.size and x.words = p.words),
+hit as (select rid, count(distinct spot) as n from (select rid, unnest(range(s, s + size)) as spot from found) group by rid),
+listed as (select rid, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct rid, item from found where item is not null) group by rid)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit, coalesce(l.n, 0)::bigint as n_items,
+  sha256(coalesce(l.items, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from docs d left join hit h using (rid) left join listed l using (rid)
+"""
