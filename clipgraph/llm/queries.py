@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgraph.llm import decontaminate, mixing, sharding, simhash, sql, tokencount, weighted
+from clipgraph.llm import decontaminate, langid, mixing, pages, sharding, simhash, sql, tokencount, weighted
 from clipgraph.llm.common import table
 
 #: Vocabulary of public byte pieces, one a line.
@@ -58,3 +58,16 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), window=10).drop("text")
+
+
+@query("op9_html_extraction")
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learn(apart.filter("not held_out"), "text", "lang")
+    return langid.predict(apart.drop("lang"), model).drop("text")
