@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgraph.llm import decontaminate, langid, mixing, pages, sharding, simhash, sql, tokencount, weighted
+from clipgraph.llm import decontaminate, langid, mixing, pages, sharding, simhash, sql, tokencount, toxicity, weighted
 from clipgraph.llm.common import table
 
 #: Vocabulary of public byte pieces, one a line.
@@ -71,3 +71,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = docs.withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.learn(apart.filter("not held_out"), "text", "lang")
     return langid.predict(apart.drop("lang"), model).drop("text")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~langid.held_out(F.col("doc_id")))
+    model = toxicity.learn(docs, labels)
+    return toxicity.score(docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), model, threshold=0.7).drop("text")
