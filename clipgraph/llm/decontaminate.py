@@ -60,20 +60,23 @@ def prefix_words(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
 
 def occurrences(docs: DataFrame, rows: list[str], text: str, windows: DataFrame) -> DataFrame:
     """(rows..., item, start, size) for every place of a document where a window stands. ``rows`` names a document."""
-    prefixes = stored(prefix_words(docs, text, windows))
+    prefixes = stored(prefix_words(docs, text, windows).select(
+        "item", "key", "place", F.size("words").alias("size"), F.array_join("words", " ").alias("joined")))
     whole = docs.select(*rows, _cased_words(F.col(f"`{text}`")).alias("__w"))
+    # Written without lambda functions: the explode, the join and this comparison then run as one generated loop, which
+    # never holds a document's words once for each word.
     start = F.col("__pos") - F.col("place")
-    room = (start >= 0) & (start + F.size("words") <= F.size("__w"))
-    exact = F.transform(F.slice("__w", start + 1, F.size("words")), ascii_lower) == F.col("words")
+    room = (start >= 0) & (start + F.col("size") <= F.size("__w"))
+    exact = ascii_lower(F.array_join(F.slice("__w", start + 1, F.col("size")), " ")) == F.col("joined")
     if _small(prefixes, BROADCAST_ROWS):
         near = whole.select(*rows, "__w", F.posexplode("__w").alias("__pos", "__word")).withColumn("key", F.lower("__word")).join(
             F.broadcast(prefixes), "key")
-        return near.filter(room).filter(exact).select(*rows, "item", start.alias("start"), F.size("words").alias("size"))
+        return near.filter(room).filter(exact).select(*rows, "item", start.alias("start"), "size")
     # the words of a document do not travel with each of its words: candidates first, then one join back
     candidates = (
         whole.select(*rows, F.size("__w").alias("__n"), F.posexplode("__w").alias("__pos", "__word")).withColumn("key", F.lower("__word"))
-        .join(prefixes, "key").filter((start >= 0) & (start + F.size("words") <= F.col("__n"))).select(*rows, "item", "words", "place", "__pos"))
-    return candidates.join(whole, rows).filter(room).filter(exact).select(*rows, "item", start.alias("start"), F.size("words").alias("size"))
+        .join(prefixes, "key").filter((start >= 0) & (start + F.col("size") <= F.col("__n"))).select(*rows, "item", "joined", "size", "place", "__pos"))
+    return candidates.join(whole, rows).filter(room).filter(exact).select(*rows, "item", start.alias("start"), "size")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
