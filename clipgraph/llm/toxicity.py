@@ -306,7 +306,7 @@ def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float =
     for b in toxic:
         own = [margin[p] for p in b if telling.get(p, 0) >= witnesses] or [m for m in [max(margin[p] for p in b)] if m > 0]
         high += own
-        share += [1 / len(own)] * len(own)
+        share += [1 / max(1, len(own))] * len(own)
     model.slope, model.shift = _logistic(
         np.array(low + high), np.array([0.0] * len(low) + [1.0] * len(high)), np.array([1.0] * len(low) + share))
     return model
