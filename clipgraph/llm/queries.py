@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgraph.llm import decontaminate, langid, mixing, pages, sharding, simhash, sql, tokencount, toxicity, weighted
+from clipgraph.llm import decontaminate, langid, mixing, pages, pii, sharding, simhash, sql, tokencount, toxicity, weighted
 from clipgraph.llm.common import table
 
 #: Vocabulary of public byte pieces, one a line.
@@ -79,3 +79,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(~langid.held_out(F.col("doc_id")))
     model = toxicity.learn(docs, labels)
     return toxicity.score(docs.withColumn("held_out", langid.held_out(F.col("doc_id"))), model, threshold=0.7).drop("text")
+
+
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
