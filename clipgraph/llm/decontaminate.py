@@ -93,13 +93,14 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     * Repeated rows each get the same result; one key may have several texts. Empty tables: no
       rows, or no hits. Columns named like a result are replaced; others stay.
 
-    Only joined places move between tasks, keyed by document; the documents' own rows move once
-    for the final join.
+    Only joined places move between tasks, keyed by document; the documents' own rows, with the
+    columns that are asked for, move once for the final join.
     """
     own = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     taken = set(own) - {key.lower(), text.lower()}
     named = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]).withColumns({
-        "__t": tag(F.col(f"`{key}`")), "__h": F.xxhash64(F.col(f"`{text}`"))})
+        "__t": tag(F.col(f"`{key}`")), "__h": F.xxhash64(F.col(f"`{text}`")),
+        "n_words": F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")})
     found = occurrences(named, ["__t", "__h"], text, item_windows(items, item, item_text, window))
     before = Window.partitionBy("__t", "__h").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     end = F.col("start") + F.col("size")
@@ -108,7 +109,6 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         F.sum("__fresh").cast("long").alias("n_hit"), F.collect_set("item").alias("__items"))
     listed = F.coalesce("__items", F.array().cast("array<string>"))
     return named.join(hits, ["__t", "__h"], "left").withColumns({
-        "n_words": F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"),
         "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
         "n_items": F.size(listed).cast("long"),
         "items_sha256": F.sha2(F.array_join(F.sort_array(listed), ",").cast("binary"), 256),

@@ -295,14 +295,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
-                     bits: int = 6) -> DataFrame:
+                     bits: int = 7) -> DataFrame:
     """``df`` less the rows that repeat another row's text or nearly so.
 
-    Candidates are texts whose word-level fingerprints are linked at ``bits`` or fewer; a
-    candidate goes only if the Jaccard similarity of its shingle set to that of a row that stays
-    is at least ``similarity``. In each group of candidates the smallest key stays, what is like it
-    goes, and the rest forms the next group, until none is left; so no two rows that stay in a
-    group are that similar.
+    Candidates are texts whose word-level fingerprints are linked at ``bits`` or fewer; they are
+    held against each other by the Jaccard similarity of their shingle sets. A row goes if it is
+    linked, over rows at least ``similarity`` alike, to one that stays; rows that stay in one group of
+    candidates are never that alike. The smallest keys stay.
 
     * Null texts and texts without words are never copies and all stay.
     * Repeated rows and rows of equal text: the one with the smallest key stays; if rows share
@@ -333,7 +332,7 @@ def _all(df: DataFrame) -> list[Column]:
 
 
 def _copies(plain: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """MD5 of the texts that are too like the first text of their group, round by round."""
+    """MD5 of the texts that go because of another text of their group."""
     crowded = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("component_id")
     members = stored(grouped.join(crowded, "component_id"))
     gone = members.select("__md5").limit(0)
@@ -346,15 +345,51 @@ def _copies(plain: DataFrame, grouped: DataFrame, shingle: int, similarity: floa
     left = stored(
         plain.join(members, ["__md5", "__k"]).dropDuplicates(["__md5"]).withColumn("__w", words)
         .select("__md5", "__k", "component_id", F.array_distinct(shingles).alias("__set")))
-    order = F.struct("__k", "__md5")
-    while True:
-        heads = left.groupBy("component_id").agg(F.min(order).alias("__head"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-        leaders = left.join(heads.select(F.col("__head.__md5").alias("__md5")), "__md5").select(
-            "component_id", F.col("__md5").alias("__head"), F.col("__set").alias("__lead"))
-        both = F.size(F.array_intersect("__set", "__lead"))
-        judged = stored(left.join(leaders, "component_id").filter("__md5 <> __head").withColumn(
-            "__copy", both / (F.size("__set") + F.size("__lead") - both) >= similarity).drop("__lead", "__head"))
-        if judged.isEmpty():
-            return gone
-        gone = gone.union(judged.filter("__copy").select("__md5"))
+    # Rounds of stars: the members of a bucket are held against its first one. Buckets are the groups, then their parts with
+    # one least shingle, which texts this similar share for four salts out of five; large groups of copies end here.
+    for salt in (None, 1, 2):
+        least = F.lit(0) if salt is None else _least(salt)
+        left = left.withColumn("__b", F.xxhash64("component_id", least))
+        heads = left.groupBy("__b").agg(F.min(F.struct("__k", "__md5")).alias("__head")).select("__b", F.col("__head.__md5").alias("__md5"))
+        leaders = left.join(heads, ["__b", "__md5"]).select("__b", F.col("__md5").alias("__head"), F.col("__set").alias("__lead"))
+        judged = stored(left.join(leaders, "__b").withColumn("__copy", (F.col("__md5") != F.col("__head")) & _alike("__set", "__lead", similarity))
+                        .drop("__lead", "__head", "__b"))
+        gone = gone.unionByName(judged.filter("__copy").select("__md5"))
         left = judged.filter("not __copy").drop("__copy")
+    return gone.unionByName(_pairs_left(left, similarity))
+
+
+def _least(salt: int) -> Column:
+    return F.array_min(F.transform("__set", lambda x: F.xxhash64(x, F.lit(salt))))
+
+
+def _alike(a: str, b: str, similarity: float) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both) >= similarity
+
+
+def _pairs_left(left: DataFrame, similarity: float) -> DataFrame:
+    """MD5 of what is still alike: similar sets share one of the first shingles of both, in any fixed order.
+
+    Of linked texts, the one with the smallest key stays.
+    """
+    size = F.size("__set")
+    first = F.slice(F.sort_array("__set"), F.lit(1), size - F.ceil(size * similarity).cast("int") + 1)
+    shown = left.select("__md5", "component_id", size.alias("__n"), F.explode(first).alias("__shingle"))
+    a, b = shown.alias("a"), shown.alias("b")
+    near = a.join(b, (F.col("a.component_id") == F.col("b.component_id")) & (F.col("a.__shingle") == F.col("b.__shingle"))
+                  & (F.col("a.__md5") < F.col("b.__md5")) & (F.col("a.__n") >= F.col("b.__n") * similarity)
+                  & (F.col("b.__n") >= F.col("a.__n") * similarity)).select(
+        F.col("a.__md5").alias("__one"), F.col("b.__md5").alias("__two")).distinct()
+    sets = left.select("__md5", "__set")
+    links = stored(
+        near.join(sets.withColumnsRenamed({"__md5": "__one", "__set": "__s1"}), "__one")
+        .join(sets.withColumnsRenamed({"__md5": "__two", "__set": "__s2"}), "__two")
+        .filter(_alike("__s1", "__s2", similarity)).select("__one", "__two"))
+    # numbers for the texts: the links are between few texts, and components() takes numbers
+    ends = links.select(F.col("__one").alias("__md5")).union(links.select("__two")).distinct().join(left.select("__md5", "__k"), "__md5")
+    named = stored(ends.withColumn("__id", F.xxhash64("__md5")))
+    tie = links.select(F.xxhash64("__one").alias("src"), F.xxhash64("__two").alias("dst"))
+    grouped = named.join(components(tie), F.col("__id") == F.col("node"))
+    stay = grouped.groupBy("component").agg(F.min(F.struct("__k", "__md5")).alias("__first")).select(F.col("__first.__md5").alias("__md5"))
+    return grouped.select("__md5").join(stay, "__md5", "left_anti")

@@ -231,14 +231,14 @@ def _disturbed(words: list[str], rng: np.random.Generator, letters: str) -> list
     return out
 
 
-def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float = 0.6, rounds: int = 3, witnesses: int = 12,
+def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float = 0.6, rounds: int = 3, witnesses: int | None = None,
         seed: int = 1) -> Model | None:
     """Machine from (label, words of a text) pairs; None if one of the labels is missing.
 
-    Every word of a clean text is an example of a clean word. Words that ``witnesses`` toxic texts
-    or more and no clean text have are the first toxic examples. Toxic texts without such a word give,
-    each round, their word with the largest margin if it is on the toxic side. Clean words that come
-    too near are added as examples, too.
+    Every word of a clean text is an example of a clean word. Words that ``witnesses`` toxic texts (a
+    fiftieth of them, 3 to 12, if not given) or more and no clean text have are the first toxic
+    examples. Toxic texts without such a word give, each round, their word with the largest margin
+    if it is on the toxic side. Clean words that come too near are added as examples, too.
     """
     toxic = [sorted(set(p for w in words for p in pieces(w))) for label, words in bags if label == 1]
     clean = [set(p for w in words for p in pieces(w)) for label, words in bags if label == 0]
@@ -256,6 +256,7 @@ def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float =
     toxic = [b for b in toxic if b]
     if not toxic:
         return None
+    witnesses = witnesses or max(3, min(12, len(toxic) // 50))
     # words that many toxic texts and no clean one have explain their texts; other texts are explained later, by likeness
     sure = [p for b in toxic for p in b if telling.get(p, 0) >= witnesses]
     open_bags = [b for b in toxic if not any(telling.get(p, 0) >= witnesses for p in b)]
