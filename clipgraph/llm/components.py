@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
         after = stored(small.select("e.u", "e.v").filter("u <> v").distinct())
         mark, edges = _mark(after), after
         if mark == last:
-            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            below = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            return below.union(edges.select("v", "v").distinct())
         last = mark
 
 
