@@ -36,8 +36,12 @@ def object_index(objects: DataFrame, clip: str, order: list[str]) -> DataFrame:
 
 
 def join_roles(events: DataFrame, placed: DataFrame, clip: str) -> DataFrame:
-    """Object positions of the four roles; agent and target must exist, source and destination may not."""
+    """Object positions of the four roles; agent and target must exist, source and destination may not.
+
+    An object listed more than once in a clip counts at its last position.
+    """
     out = events
+    placed = placed.groupBy(clip, "obj_id").agg(F.max("idx").alias("idx"))
     for role, how, name in (
         ("agent", "inner", "agent_idx"),
         ("target", "inner", "target_idx"),

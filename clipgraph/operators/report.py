@@ -95,13 +95,10 @@ def false_positive_report(counts: DataFrame) -> DataFrame:
     )
 
 
-def action_lists(events: DataFrame, clip: list[str], order: str, out: str, per_part: int = 100_000) -> DataFrame:
-    """Actions of each clip in order, in parts of at most ``per_part`` so no row grows without bound."""
-    from clipgraph.operators.ordering import row_index
-
-    placed = row_index(events, [order], clip, name="_at").withColumn("part", F.floor(F.col("_at") / per_part))
-    listed = placed.groupBy(*clip, "part").agg(F.sort_array(F.collect_list(F.struct("_at", "action"))).alias("_l"))
-    return listed.select(*clip, "part", F.transform("_l", lambda x: x["action"]).alias(out))
+def action_lists(events: DataFrame, clip: list[str], order: str, out: str) -> DataFrame:
+    """All actions of each clip in order, one row a clip."""
+    listed = events.groupBy(*clip).agg(F.sort_array(F.collect_list(F.struct(order, "action"))).alias("_l"))
+    return listed.select(*clip, F.transform("_l", lambda x: x["action"]).alias(out))
 
 
 def quality_report(truth: DataFrame, pred: DataFrame, clips: DataFrame, clip: list[str]) -> DataFrame:

@@ -136,6 +136,7 @@ def validate_events(events: DataFrame, objects: DataFrame, actions: DataFrame, c
     keep = ~unknown
     for role in ROLES:
         keep = keep & ~lost(role)
+    # fixed values: wording of the warnings
     said = F.concat(F.lit("Event "), F.col("event_id"), F.lit(": "))
     notes = [F.when(unknown, F.concat(said, F.lit("unknown action '"), F.col("action"), F.lit("'")))]
     notes += [

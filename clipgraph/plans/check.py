@@ -16,7 +16,7 @@ def _cell(x):
     if x is None:
         return None
     if isinstance(x, float):
-        return "nan" if x != x else round(x, 5) + 0.0
+        return "nan" if x != x else float(f"{x:.9g}") + 0.0
     return x
 
 

@@ -175,8 +175,7 @@ def clip_details(v):
     truth, pred = sides(v)
     out = report.clip_counts(clips_of(v), truth, pred, CLIP)
     for df, name in ((truth, "gt_actions"), (pred, "pred_actions")):
-        listed = report.action_lists(df, CLIP, "event_seq", name)
-        out = out.join(listed.where("part = 0").drop("part"), CLIP, "left")
+        out = out.join(report.action_lists(df, CLIP, "event_seq", name), CLIP, "left")
         out = out.withColumn(name, F.coalesce(F.array_join(name, ","), F.lit("")))
     return out
 

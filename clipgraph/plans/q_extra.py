@@ -53,7 +53,7 @@ def stream_nms(v):
 
 @query("sql_functions", """
 select a.video_id, a.frame_index, a.track_id as track_i, b.track_id as track_j,
-  round(case when u <= 0 then 0 else inter / u end, 6) as iou, round(inter / greatest(area_i, 1e-6), 6) as containment
+  case when u <= 0 then 0 else inter / u end as iou, inter / greatest(area_i, 1e-6) as containment
 from (select a.*, b.track_id as other, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as inter,
     (a.x2 - a.x1) * (a.y2 - a.y1) as area_i,
     (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as u
@@ -65,8 +65,8 @@ def sql_functions_query(v):
     return v.spark.sql(
         """
         select a.video_id, a.frame_index, a.track_id as track_i, b.track_id as track_j,
-          round(box_iou(array(a.x1, a.y1, a.x2, a.y2), array(b.x1, b.y1, b.x2, b.y2)), 6) as iou,
-          round(box_containment(array(a.x1, a.y1, a.x2, a.y2), array(b.x1, b.y1, b.x2, b.y2)), 6) as containment
+          box_iou(array(a.x1, a.y1, a.x2, a.y2), array(b.x1, b.y1, b.x2, b.y2)) as iou,
+          box_containment(array(a.x1, a.y1, a.x2, a.y2), array(b.x1, b.y1, b.x2, b.y2)) as containment
         from {d} a join {d} b on a.video_id = b.video_id and a.frame_index = b.frame_index and a.track_id < b.track_id
         """,
         d=v["v_detections"],

@@ -106,20 +106,20 @@ group by a.video_id, a.frame_index, a.track_id, a.category, a.score)
 """
 
 
-@query("separation_score", f"select video_id, frame_index, track_id, round(match_score, 6) as match_score from {SEPARATION} s")
+@query("separation_score", f"select video_id, frame_index, track_id, match_score from {SEPARATION} s")
 def separation_score(v):
     return tracks.separation_scores(v["v_detections"]).select(
-        "video_id", "frame_index", "track_id", F.round("match_score", 6).alias("match_score")
+        "video_id", "frame_index", "track_id", "match_score"
     )
 
 
 @query("candidate_pairs", f"""
-select o.video_id, o.obj_id, s.track_id, round(s.match_score, 6) as match_score from v_vlm_objects o
+select o.video_id, o.obj_id, s.track_id, s.match_score from v_vlm_objects o
 join {SEPARATION} s on s.video_id = o.video_id and s.frame_index = o.first_seen_frame and lower(s.category) = lower(o.category)
 """)
 def candidate_pairs(v):
     return match.candidate_pairs(v["v_vlm_objects"], v["v_detections"]).select(
-        "video_id", "obj_id", "track_id", F.round("match_score", 6).alias("match_score")
+        "video_id", "obj_id", "track_id", "match_score"
     )
 
 

@@ -218,26 +218,26 @@ def _pair_ids():
 
 @query("box_iou", f"""
 select video_id, frame_index, track_i, track_j,
-  round(case when area_i + area_j - inter <= 0 then 0 else inter / (area_i + area_j - inter) end, 6) as iou,
-  round(inter / greatest(area_i + area_j - inter, 1e-6), 6) as iou_eps {_PAIRS_SQL}
+  case when area_i + area_j - inter <= 0 then 0 else inter / (area_i + area_j - inter) end as iou,
+  inter / greatest(area_i + area_j - inter, 1e-6) as iou_eps {_PAIRS_SQL}
 """)
 def box_iou(v):
     a, b = boxes.box("a."), boxes.box("b.")
     return _frame_pairs(v).select(
-        *_pair_ids(), _r6(boxes.box_iou(a, b)).alias("iou"), _r6(boxes.box_iou(a, b, 1e-6)).alias("iou_eps")
+        *_pair_ids(), boxes.box_iou(a, b).alias("iou"), boxes.box_iou(a, b, 1e-6).alias("iou_eps")
     )
 
 
 @query("box_containment", f"""
-select video_id, frame_index, track_i, track_j, round(inter / greatest(area_i, 1e-6), 6) as cont_ij,
-  round(inter / greatest(area_j, 1e-6), 6) as cont_ji {_PAIRS_SQL}
+select video_id, frame_index, track_i, track_j, inter / greatest(area_i, 1e-6) as cont_ij,
+  inter / greatest(area_j, 1e-6) as cont_ji {_PAIRS_SQL}
 """)
 def box_containment(v):
     a, b = boxes.box("a."), boxes.box("b.")
     return _frame_pairs(v).select(
         *_pair_ids(),
-        _r6(boxes.box_containment(a, b)).alias("cont_ij"),
-        _r6(boxes.box_containment(b, a)).alias("cont_ji"),
+        boxes.box_containment(a, b).alias("cont_ij"),
+        boxes.box_containment(b, a).alias("cont_ji"),
     )
 
 

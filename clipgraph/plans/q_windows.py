@@ -162,13 +162,13 @@ def window_gather_pairs(v):
 
 
 @query("track_pairs", f"""
-select video_id, t_idx, track_i, track_j, round(inter / greatest(area_i + area_j - inter, 1e-6), 6) as iou, round(sqrt(dx * dx + dy * dy), 6) as distance,
-  round(inter / greatest(area_i, 1e-6), 6) as cont_ij, round(inter / greatest(area_j, 1e-6), 6) as cont_ji, round(dx, 6) as dx, round(dy, 6) as dy
+select video_id, t_idx, track_i, track_j, inter / greatest(area_i + area_j - inter, 1e-6) as iou, sqrt(dx * dx + dy * dy) as distance,
+  inter / greatest(area_i, 1e-6) as cont_ij, inter / greatest(area_j, 1e-6) as cont_ji, dx, dy
 from {_PAIR_SQL} p
 """)
 def track_pairs(v):
     pairs = tracks.track_pairs(tracks.box_features(v["v_detections"].withColumn("t_idx", F.col("frame_index")), 400, 400))
-    return pairs.select("video_id", "t_idx", "track_i", "track_j", *[F.round(c, 6).alias(c) for c in tracks.PAIR])
+    return pairs.select("video_id", "t_idx", "track_i", "track_j", *tracks.PAIR)
 
 
 @query("filtered_ranges", """

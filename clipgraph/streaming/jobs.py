@@ -60,6 +60,12 @@ def settle_events(
     return state
 
 
+def still_needed(kept: list[int], horizon: float, open_frames: list[int], distance: int) -> list[int]:
+    """Kept frames that can still suppress an event: what is open or may come lies at the oldest open frame or the horizon."""
+    oldest = min([horizon, *open_frames])
+    return [int(k) for k in kept if k + distance >= oldest]
+
+
 def suppress_duplicates(
     stream: DataFrame, keys: list[str], ts: str, frame_of_epoch: tuple[float, float], late: str, distance: int = 3
 ) -> DataFrame:
@@ -86,8 +92,8 @@ def suppress_duplicates(
         f, c, s = np.array(frames, dtype=np.int64), np.array(conf), np.array(seq, dtype=np.int64)
         settled = settle_events(f, c, s, np.array(kept, dtype=np.int64), horizon, distance)
         go = settled == 1
-        kept = [int(k) for k in [*kept, *f[go]] if k + 2 * distance >= horizon or (settled == -1).any()]
         rest = settled == -1
+        kept = still_needed([*kept, *f[go].tolist()], float(horizon), f[rest].tolist(), distance)
         if rest.any() or kept:
             state.update((f[rest].astype(int).tolist(), c[rest].tolist(), s[rest].tolist(), kept))
             newest = int(f[rest].max()) if rest.any() else max(kept)

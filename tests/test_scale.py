@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipgraph.operators import assignment, attention, compact, match, metrics, nms, ordering, report, selection, tracks
+from clipgraph.operators import assignment, attention, compact, encode, match, metrics, nms, ordering, report, selection, tracks
 from clipgraph.sources import annotations
 
 
@@ -305,10 +305,25 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(n_chars), GreaterThan(n_chars,10)]" in text and "text" not in text.split("ReadSchema")[1]
 
 
-def test_action_lists_are_cut(spark):
-    df = spark.range(25).select(F.lit(1).alias("c"), F.col("id").alias("seq"), F.lit("a").alias("action"))
-    parts = report.action_lists(df, ["c"], "seq", "l", per_part=10).collect()
-    assert sorted(len(p["l"]) for p in parts) == [5, 10, 10]
+def test_action_lists_are_whole(spark):
+    df = spark.range(150_000).select(F.lit(1).alias("c"), (-F.col("id")).alias("seq"), F.concat(F.lit("a"), "id").alias("action"))
+    rows = report.action_lists(df, ["c"], "seq", "l").collect()
+    assert len(rows) == 1 and rows[0]["l"][:2] == ["a149999", "a149998"] and len(rows[0]["l"]) == 150_000
+
+
+def test_repeated_objects_count_once(spark):
+    placed = spark.createDataFrame([("c", "cup_01", 0), ("c", "cup_01", 4), ("c", "person_01", 1)], "clip string, obj_id string, idx int")
+    events = spark.createDataFrame([("c", "person_01", "cup_01", None, None)], "clip string, agent string, target string, source string, destination string")
+    rows = encode.join_roles(events, placed, "clip").collect()
+    assert len(rows) == 1 and (rows[0]["agent_idx"], rows[0]["target_idx"]) == (1, 4)
+
+
+def test_kept_frames_stay_few_beside_an_open_event():
+    """The state rule of the stream: an open event holds only the kept frames near it."""
+    from clipgraph.streaming.jobs import still_needed
+
+    assert still_needed([1, 50, 93, 97], 100.0, [], 3) == [97]
+    assert still_needed([1, 50, 93, 95, 97], 100.0, [98], 3) == [95, 97]
 
 
 def test_frame_params_reads_two_rows_per_video(spark):
