@@ -9,7 +9,6 @@ from clipgraph.functions import ids
 from clipgraph.operators.ordering import row_index
 
 ROLES = ["agent_track_id", "target_track_id", "source_track_id", "destination_track_id"]
-_PART = 100_000
 
 
 def number_events(edges: DataFrame, order: list[str], video: str = "video_id") -> DataFrame:
@@ -22,29 +21,26 @@ def number_events(edges: DataFrame, order: list[str], video: str = "video_id") -
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, metadata: Column | None = None, video: str = "video_id") -> DataFrame:
-    """Nested graph rows ``(video, part, nodes, edges, metadata)``.
+    """Nested graph rows ``(video, nodes, edges, metadata)``, one for each video whatever its size.
 
-    ``edges`` come from :func:`number_events`. A graph of ordinary size is one row with part
-    0; beyond 100,000 nodes or edges it goes on in further parts, so no row grows without
-    bound.
+    ``edges`` come from :func:`number_events`. The row is as large as the video's graph; jobs that do
+    not need one value for each video work on the node and edge tables themselves.
     """
     def nest(df: DataFrame, pos: str, out: str) -> DataFrame:
-        cut = df.withColumn("part", F.floor(F.col(pos) / _PART))
         fields = F.struct(pos, F.struct(*[c for c in df.columns if c not in (video, pos)]).alias("v"))
-        listed = cut.groupBy(video, "part").agg(F.sort_array(F.collect_list(fields)).alias("_l"))
-        return listed.select(video, "part", F.transform("_l", lambda x: x["v"]).alias(out))
+        listed = df.groupBy(video).agg(F.sort_array(F.collect_list(fields)).alias("_l"))
+        return listed.select(video, F.transform("_l", lambda x: x["v"]).alias(out))
 
     meta = metadata if metadata is not None else F.create_map().cast("map<string,string>")
     placed = row_index(nodes, ["track_id"], [video], name="node_pos")
     n, e = nest(placed, "node_pos", "nodes"), nest(edges, "event_pos", "edges")
-    return n.join(e, [video, "part"], "full").withColumn("metadata", meta)
+    return n.join(e, video, "full").withColumn("metadata", meta)
 
 
 def graph_json(graphs: DataFrame) -> DataFrame:
     """Graph rows as JSON text; nulls are kept and timestamps are ISO."""
     options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
-    body = [c for c in graphs.columns if c != "part"]
-    return graphs.select("video_id", "part", F.to_json(F.struct(*body), options).alias("json"))
+    return graphs.select("video_id", F.to_json(F.struct(*graphs.columns), options).alias("json"))
 
 
 def object_timeline(edges: DataFrame, track: int | None = None) -> DataFrame:

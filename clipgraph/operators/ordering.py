@@ -21,15 +21,22 @@ _SAMPLES_PER_BUCKET = 16
 _SMALL_BYTES = 64 << 20
 
 
+_MOST_LEVELS = 14
+#: Plan nodes after which the optimizer's estimate says nothing: they can make any number of rows from one.
+_GROWING = ("Generate ", "MapInPandas", "MapInArrow", "FlatMapGroups", "LogicalRDD")
+
+
 def _small(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate says that one task can hold the input."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) <= _SMALL_BYTES
+    """Whether the optimizer's size estimate says that one task can hold the input, and can be trusted."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(node in plan.toString() for node in _GROWING):
+        return False
+    return int(plan.stats().sizeInBytes()) <= _SMALL_BYTES
 
 
 def _levels(df: DataFrame, buckets: int | None) -> int:
     wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(10, max(4, math.ceil(math.log2(max(2, wanted)))))
+    return min(_MOST_LEVELS, max(4, math.ceil(math.log2(max(2, wanted)))))
 
 
 def _sample(df: DataFrame, keys: list[Column], size: int) -> list[str]:
@@ -84,7 +91,8 @@ def prefix_sums(
     ``order_by`` together with ``partition_by`` must be unique. ``lags`` maps a new column to
     the column whose previous value it holds. ``split`` forces (or forbids) the range-cut
     plan; by default a plain window serves inputs of at most 64 MB by the optimizer's
-    estimate and keyed inputs whose sample shows no key too large for one task.
+    estimate (not taken where rows are exploded or made in Python), inputs smaller than the
+    sample, and keyed inputs whose sample shows no key too large for one task.
     """
     lags = lags or {}
     parts = list(partition_by)
@@ -125,7 +133,7 @@ def prefix_sums(
         *[F.lag(n).over(along).alias(f"_off_{n}") for n in lags],
     ).where("_before > 0")
     # Only the first partition of a range can continue from an earlier range, so there is at
-    # most one offset row per range (1,024 at the very most): small enough to broadcast.
+    # most one offset row per range (16,384 at the very most): small enough to broadcast.
     on = F.col(_BUCKET) == F.col("_b")
     for i, p in enumerate(parts):
         on = on & F.col(p).eqNullSafe(F.col(f"_p{i}"))

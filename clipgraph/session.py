@@ -3,14 +3,28 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_ROOT = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on whose machines it isn't installed."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/clipgraph", "zip", _ROOT, "clipgraph"))
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Session for tests and local benchmarks."""
+    """Session for tests and local benchmarks; its Python workers find this package from any folder."""
+    known = os.environ.get("PYTHONPATH", "")
+    if str(_ROOT) not in known.split(os.pathsep):
+        os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(_ROOT), known]))
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("clipgraph")

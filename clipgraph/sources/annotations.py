@@ -6,10 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipgraph import schemas
-from clipgraph.operators.ordering import row_index
-
-# Items (clips, objects and events together) per document; a longer video goes on in further parts.
-ITEMS_PER_PART = 200_000
 
 
 def scan_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -43,14 +39,10 @@ def explode_events(clips: DataFrame) -> DataFrame:
     return rows.select("video_id", "clip_index", "event_pos", "_e.*")
 
 
-def nest_documents(
-    clips: DataFrame, objects: DataFrame, events: DataFrame, event_order: str, items_per_part: int = ITEMS_PER_PART
-) -> DataFrame:
-    """Documents ``(video_id, part, num_clips, clips)`` from clip, object and event rows.
+def nest_documents(clips: DataFrame, objects: DataFrame, events: DataFrame, event_order: str) -> DataFrame:
+    """Documents ``(video_id, num_clips, clips)`` from clip, object and event rows, one for each video whatever its size.
 
-    Clips come in ``clip_index`` order, objects by ``obj_pos``, events by ``event_order``. A
-    document is one row; a video with more than ``items_per_part`` items has several parts, and
-    a clip cut by a border is in both. ``part`` 0 is the whole document of an ordinary video.
+    Clips come in ``clip_index`` order, objects by ``obj_pos``, events by ``event_order``.
     """
     meta = F.struct(
         F.col("clip_index").cast("int").alias("clip_index"), "frame_indices", "start_time", "end_time",
@@ -71,31 +63,29 @@ def nest_documents(
         .unionByName(item(objects, 1, F.col("obj_pos"), obj=obj))
         .unionByName(item(events, 2, F.col(event_order), evt=evt))
     )
-    placed = row_index(items, ["clip_index", "kind", "pos"], ["video_id"], name="_at")
-    placed = placed.withColumn("part", F.floor(F.col("_at") / items_per_part))
 
     def listed(name: str):
         return F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), F.struct("pos", name))))
 
-    by_clip = placed.groupBy("video_id", "part", "clip_index").agg(
+    by_clip = items.groupBy("video_id", "clip_index").agg(
         listed("obj").alias("_o"), listed("evt").alias("_e"), F.first("meta", ignorenulls=True).alias("clip_metadata")
     )
     restored = F.transform("_o", lambda x: x["obj"].withField("attributes", F.map_from_entries(x["obj"]["attributes"])))
     nested = by_clip.select(
-        "video_id", "part", "clip_index",
+        "video_id", "clip_index",
         F.struct(restored.alias("objects"), F.transform("_e", lambda x: x["evt"]).alias("events"), "clip_metadata").alias("clip"),
     )
     order = lambda a, b: a["clip_index"] - b["clip_index"]
-    docs = nested.groupBy("video_id", "part").agg(
+    docs = nested.groupBy("video_id").agg(
         F.count(F.lit(1)).cast("int").alias("num_clips"),
         F.array_sort(F.collect_list(F.struct("clip_index", "clip")), order).alias("_c"),
     )
-    return docs.select("video_id", "part", "num_clips", F.transform("_c", lambda x: x["clip"]).alias("clips"))
+    return docs.select("video_id", "num_clips", F.transform("_c", lambda x: x["clip"]).alias("clips"))
 
 
 def to_json(docs: DataFrame) -> DataFrame:
     """Documents as JSON text; nulls are kept."""
-    body = F.struct(F.col("video_id").cast("string").alias("video_id"), *[c for c in docs.columns if c not in ("video_id", "part")])
+    body = F.struct(F.col("video_id").cast("string").alias("video_id"), *[c for c in docs.columns if c != "video_id"])
     return docs.select("video_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("value"))
 
 

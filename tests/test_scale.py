@@ -197,7 +197,7 @@ def test_halo_windows_equal_plain_windows(spark):
         assert d == pytest.approx(by_t[t] - by_t[t - 1] if t - 1 in by_t else 0.0)
 
 
-def test_long_documents_are_cut_into_parts(spark):
+def test_long_documents_stay_whole(spark):
     clips = spark.createDataFrame([("v", i, [i], "annotated") for i in range(5)], "video_id string, clip_index int, frame_indices array<int>, status string")
     events = spark.createDataFrame(
         [("v", i % 5, i, f"evt_{i}", i, "use", "a_1", None, None, None) for i in range(40)],
@@ -205,11 +205,11 @@ def test_long_documents_are_cut_into_parts(spark):
     )
     objects = spark.createDataFrame([("v", i, 0, "a_1", "a", 0, {"color": "red"}) for i in range(5)],
                                     "video_id string, clip_index int, obj_pos int, obj_id string, category string, first_seen_frame int, attributes map<string,string>")
-    docs = annotations.nest_documents(clips, objects, events, "event_seq", items_per_part=12)
-    assert docs.count() == 5
+    docs = annotations.nest_documents(clips, objects, events, "event_seq")
+    assert docs.count() == 1
     out = annotations.explode_events(annotations.explode_clips(docs))
     assert sorted(r["event_id"] for r in out.collect()) == sorted(f"evt_{i}" for i in range(40))
-    whole = annotations.nest_documents(clips, objects, events, "event_seq").collect()
+    whole = docs.collect()
     assert len(whole) == 1 and [c["clip_metadata"]["clip_index"] for c in whole[0]["clips"]] == [0, 1, 2, 3, 4]
 
 
@@ -311,6 +311,13 @@ def test_action_lists_are_whole(spark):
     assert len(rows) == 1 and rows[0]["l"][:2] == ["a149999", "a149998"] and len(rows[0]["l"]) == 150_000
 
 
+def test_exploded_input_is_cut_into_ranges(spark):
+    few = spark.range(8).select("id", F.explode(F.sequence(F.lit(1), F.lit(3000))).alias("k"))
+    placed = ordering.row_index(few, ["id", "k"], name="i", buckets=16)
+    assert "_bucket" in placed._jdf.queryExecution().toString()
+    assert placed.filter(F.col("i") != F.col("id") * 3000 + F.col("k") - 1).isEmpty()
+
+
 def test_repeated_objects_count_once(spark):
     placed = spark.createDataFrame([("c", "cup_01", 0), ("c", "cup_01", 4), ("c", "person_01", 1)], "clip string, obj_id string, idx int")
     events = spark.createDataFrame([("c", "person_01", "cup_01", None, None)], "clip string, agent string, target string, source string, destination string")
