@@ -369,27 +369,35 @@ def _alike(a: str, b: str, similarity: float) -> Column:
 
 
 def _pairs_left(left: DataFrame, similarity: float) -> DataFrame:
-    """MD5 of what is still alike: similar sets share one of the first shingles of both, in any fixed order.
+    """MD5 of what is still alike: similar sets share one of the rarest shingles of both.
 
-    Of linked texts, the one with the smallest key stays.
+    Shingles are ordered by their number of texts in the group. A set of n shingles shows its first
+    n - ceil(similarity * n) + 1; those that no other text has come first and need not be joined, so
+    texts that have only a common passage in common do not meet. Of linked texts, the one with the
+    smallest key stays.
     """
-    size = F.size("__set")
-    first = F.slice(F.sort_array("__set"), F.lit(1), size - F.ceil(size * similarity).cast("int") + 1)
-    shown = left.select("__md5", "component_id", size.alias("__n"), F.explode(first).alias("__shingle"))
+    rows = left.join(
+        left.groupBy("component_id").agg(F.count(F.lit(1)).alias("__many")).filter("__many > 1").select("component_id"), "component_id")
+    each = rows.select(F.xxhash64("__md5").alias("__id"), F.xxhash64("component_id").alias("__c"), F.size("__set").alias("__n"),
+                       F.explode("__set").alias("__shingle"))
+    shared = each.groupBy("__c", "__shingle").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
+    rank = F.row_number().over(Window.partitionBy("__id").orderBy("__df", "__shingle"))
+    alone = F.col("__n") - F.count(F.lit(1)).over(Window.partitionBy("__id"))
+    shown = stored(
+        each.join(shared, ["__c", "__shingle"]).withColumn("__at", alone + rank)
+        .filter(F.col("__at") <= F.col("__n") - F.ceil(F.col("__n") * similarity) + 1).select("__c", "__shingle", "__id", "__n"))
     a, b = shown.alias("a"), shown.alias("b")
-    near = a.join(b, (F.col("a.component_id") == F.col("b.component_id")) & (F.col("a.__shingle") == F.col("b.__shingle"))
-                  & (F.col("a.__md5") < F.col("b.__md5")) & (F.col("a.__n") >= F.col("b.__n") * similarity)
+    near = a.join(b, (F.col("a.__c") == F.col("b.__c")) & (F.col("a.__shingle") == F.col("b.__shingle"))
+                  & (F.col("a.__id") < F.col("b.__id")) & (F.col("a.__n") >= F.col("b.__n") * similarity)
                   & (F.col("b.__n") >= F.col("a.__n") * similarity)).select(
-        F.col("a.__md5").alias("__one"), F.col("b.__md5").alias("__two")).distinct()
-    sets = left.select("__md5", "__set")
+        F.col("a.__id").alias("__one"), F.col("b.__id").alias("__two")).distinct()
+    sets = left.select(F.xxhash64("__md5").alias("__id"), "__set")
     links = stored(
-        near.join(sets.withColumnsRenamed({"__md5": "__one", "__set": "__s1"}), "__one")
-        .join(sets.withColumnsRenamed({"__md5": "__two", "__set": "__s2"}), "__two")
-        .filter(_alike("__s1", "__s2", similarity)).select("__one", "__two"))
-    # numbers for the texts: the links are between few texts, and components() takes numbers
-    ends = links.select(F.col("__one").alias("__md5")).union(links.select("__two")).distinct().join(left.select("__md5", "__k"), "__md5")
-    named = stored(ends.withColumn("__id", F.xxhash64("__md5")))
-    tie = links.select(F.xxhash64("__one").alias("src"), F.xxhash64("__two").alias("dst"))
-    grouped = named.join(components(tie), F.col("__id") == F.col("node"))
+        near.join(sets.withColumnsRenamed({"__id": "__one", "__set": "__s1"}), "__one")
+        .join(sets.withColumnsRenamed({"__id": "__two", "__set": "__s2"}), "__two")
+        .filter(_alike("__s1", "__s2", similarity)).select(F.col("__one").alias("src"), F.col("__two").alias("dst")))
+    ends = links.select(F.col("src").alias("__id")).union(links.select("dst")).distinct()
+    named = ends.join(left.select("__md5", "__k", F.xxhash64("__md5").alias("__id")), "__id")
+    grouped = named.join(components(links), F.col("__id") == F.col("node"))
     stay = grouped.groupBy("component").agg(F.min(F.struct("__k", "__md5")).alias("__first")).select(F.col("__first.__md5").alias("__md5"))
     return grouped.select("__md5").join(stay, "__md5", "left_anti")
