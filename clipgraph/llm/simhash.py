@@ -10,6 +10,7 @@ the differences of their shared bits, added to those met before, are still withi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgraph.llm.common import ascii_lower, stored, tag
+from clipgraph.llm.common import stored, tag
 from clipgraph.llm.components import components
 
 #: Rows of an upper node that one task compares; larger nodes are cut into parts that are paired.
@@ -29,6 +30,8 @@ NODE_ROWS = 4096
 LEAF = 16
 #: Shingles that are hashed in one go.
 CHUNK = 1 << 16
+#: Factor between the words of a shingle in sets.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _votes(text: str, shingle: int, weighting: str) -> tuple[np.ndarray, float]:
@@ -294,14 +297,55 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return out.select(key, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = value = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+
+def shingle_set(text: str, shingle: int, hashes: dict[bytes, int] | None = None) -> np.ndarray:
+    """Hashes of the distinct shingles of a text in rising order; a text of fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    of = np.fromiter(map((_Hashes() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1 if words else 0
+    mixed = np.full(n, size, np.uint64)
+    for i in range(size):
+        mixed = mixed * FACTOR + of[i : n + i]
+    return np.unique(_scattered(mixed).view(np.int64))
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _described(text: Column, shingle: int) -> Column:
+    """Word-level fingerprint, shingle set, its checksum, and its least shingle in two other orders."""
+
+    @F.pandas_udf("fp long, __same string, __least1 long, __least2 long, __set array<long>")
+    def of(batch: pd.Series) -> pd.DataFrame:
+        hashes, rows = _Hashes(), []
+        for t in batch:
+            found = shingle_set(t, shingle, hashes)
+            least = [_scattered(found.view(np.uint64) + np.uint64(salt)).min().view(np.int64) for salt in (1, 2)]
+            rows.append((fingerprint(t, 1, "length"), hashlib.md5(found.tobytes()).hexdigest(), *least, found))
+        return pd.DataFrame(rows, columns=["fp", "__same", "__least1", "__least2", "__set"])
+
+    return of(text)
+
+
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
                      bits: int = 7) -> DataFrame:
     """``df`` less the rows that repeat another row's text or nearly so.
 
     Candidates are texts whose word-level fingerprints are linked at ``bits`` or fewer; they are
     held against each other by the Jaccard similarity of their shingle sets. A row goes if it is
-    linked, over rows at least ``similarity`` alike, to one that stays; rows that stay in one group of
-    candidates are never that alike. The smallest keys stay.
+    linked, over rows at least ``similarity`` alike, to one with a smaller key. The smallest key of
+    each such group stays.
 
     * Null texts and texts without words are never copies and all stay.
     * Repeated rows and rows of equal text: the one with the smallest key stays; if rows share
@@ -312,10 +356,11 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shi
     plain = df.select(
         F.col(f"`{key}`").alias("__k"), F.md5(body).alias("__md5"), body.alias("__text"),
         F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("__words"))
-    rows = plain.filter("__words").select("__k", "__md5", fingerprint_column(F.col("__text"), 1, "length").alias("fp"))
-    texts = stored(rows.groupBy("__md5", "fp").agg(F.min("__k").alias("__k")))
-    grouped = near_groups(texts.filter("__k is not null"), bits, "__k")
-    gone = _copies(plain, stored(grouped.select("__md5", "__k", "component_id")), shingle, similarity)
+    first_key = Window.partitionBy("__md5").orderBy(F.col("__k").asc_nulls_last())
+    each = plain.filter("__words").drop("__words").withColumn("__at", F.row_number().over(first_key)).filter("__at = 1")
+    texts = stored(each.select("__md5", "__k", _described(F.col("__text"), shingle).alias("__d"))
+                   .select("__md5", "__k", "__d.*").withColumn("__id", F.xxhash64("__same")).drop("__same"))
+    gone = _copies(texts.filter("__k is not null"), similarity, bits)
     stay = texts.select("__md5", "__k").join(gone, "__md5", "left_anti").select("__md5", tag(F.col("__k")).alias("__t"))
     named = df.withColumns({
         "__md5": F.when(F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.md5(body)),
@@ -331,73 +376,69 @@ def _all(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _copies(plain: DataFrame, grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """MD5 of the texts that go because of another text of their group."""
-    crowded = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("component_id")
-    members = stored(grouped.join(crowded, "component_id"))
-    gone = members.select("__md5").limit(0)
-    if members.isEmpty():
-        return gone
-    words = F.split(F.trim(F.regexp_replace(ascii_lower(F.col("__text")), r"[\x20\x09-\x0D]+", " ")), " ")
-    shingles = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("__w") - (shingle - 1))),
-        lambda i: F.xxhash64(F.array_join(F.slice(F.col("__w"), i, F.lit(shingle)), " ")))
-    left = stored(
-        plain.join(members, ["__md5", "__k"]).dropDuplicates(["__md5"]).withColumn("__w", words)
-        .select("__md5", "__k", "component_id", F.array_distinct(shingles).alias("__set")))
-    # Rounds of stars: the members of a bucket are held against its first one. Buckets are the groups, then their parts with
-    # one least shingle, which texts this similar share for four salts out of five; large groups of copies end here.
-    for salt in (None, 1, 2):
-        least = F.lit(0) if salt is None else _least(salt)
-        left = left.withColumn("__b", F.xxhash64("component_id", least))
-        heads = left.groupBy("__b").agg(F.min(F.struct("__k", "__md5")).alias("__head")).select("__b", F.col("__head.__md5").alias("__md5"))
-        leaders = left.join(heads, ["__b", "__md5"]).select("__b", F.col("__md5").alias("__head"), F.col("__set").alias("__lead"))
-        judged = stored(left.join(leaders, "__b").withColumn("__copy", (F.col("__md5") != F.col("__head")) & _alike("__set", "__lead", similarity))
-                        .drop("__lead", "__head", "__b"))
-        gone = gone.unionByName(judged.filter("__copy").select("__md5"))
-        left = judged.filter("not __copy").drop("__copy")
-    return gone.unionByName(_pairs_left(left, similarity))
-
-
-def _least(salt: int) -> Column:
-    return F.array_min(F.transform("__set", lambda x: F.xxhash64(x, F.lit(salt))))
-
-
-def _alike(a: str, b: str, similarity: float) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both) >= similarity
-
-
-def _pairs_left(left: DataFrame, similarity: float) -> DataFrame:
-    """MD5 of what is still alike: similar sets share one of the rarest shingles of both.
-
-    Shingles are ordered by their number of texts in the group. A set of n shingles shows its first
+def _copies(texts: DataFrame, similarity: float, bits: int) -> DataFrame:
+    """MD5 of the texts that are linked to one with a smaller key.
+
+    Texts of equal sets are one node. Links are only added, no node leaves before all its links
+    are made: first, nodes are held against the first one of their buckets (fingerprint group,
+    least shingle in two orders), which joins most of a large group with few comparisons; what
+    these links have not joined yet is compared pair by pair.
+    """
+    narrow = texts.drop("__set")
+    nodes = narrow.groupBy("__id").agg(*[F.min(c).alias(c) for c in ("__k", "fp", "__least1", "__least2")])
+    grouped = stored(near_groups(stored(nodes), bits, "__id"))
+    crowded = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+    met = grouped.join(crowded, "component_id", "left_semi").select("__id")
+    sets = stored(texts.select("__id", "__set").join(met, "__id", "left_semi").dropDuplicates(["__id"]))
+    buckets = grouped.join(sets, "__id", "left_semi").select("__id", "__k", F.explode(F.array(
+        F.xxhash64(F.lit(0), "component_id"), F.xxhash64(F.lit(1), "__least1"), F.xxhash64(F.lit(2), "__least2"))).alias("__b"))
+    heads = buckets.groupBy("__b").agg(F.min(F.struct("__k", "__id")).alias("__h")).select("__b", F.col("__h.__id").alias("__head"))
+    stars = buckets.join(heads, "__b").filter("__id <> __head").select(
+        F.least("__id", "__head").alias("__one"), F.greatest("__id", "__head").alias("__two")).distinct()
+    links = stored(_linked(stars, sets, similarity))
+    labels = stored(_labels(sets, links))
+    rest = stored(_linked(_pairs_left(sets.join(labels, "__id"), similarity), sets, similarity))
+    joined = narrow.select("__md5", "__k", "__id").join(_labels(nodes, links.union(rest)), "__id")
+    stay = joined.groupBy("__label").agg(F.min(F.struct("__k", "__md5")).alias("__first")).select(F.col("__first.__md5").alias("__md5"))
+    return joined.select("__md5").join(stay, "__md5", "left_anti")
+
+
+def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(__id, __label): the smallest node that each one reaches."""
+    return nodes.select("__id").join(components(links), F.col("__id") == F.col("node"), "left").select(
+        "__id", F.coalesce("component", "__id").alias("__label"))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): the pairs whose sets are alike."""
+    both = F.size(F.array_intersect("__s1", "__s2"))
+    return (
+        pairs.join(sets.withColumnsRenamed({"__id": "__one", "__set": "__s1"}), "__one")
+        .join(sets.withColumnsRenamed({"__id": "__two", "__set": "__s2"}), "__two")
+        .filter(both / (F.size("__s1") + F.size("__s2") - both) >= similarity).select(F.col("__one").alias("src"), F.col("__two").alias("dst")))
+
+
+def _pairs_left(rows: DataFrame, similarity: float) -> DataFrame:
+    """(__one, __two) of different labels that may be alike: similar sets share one of the rarest shingles of both.
+
+    Shingles are ordered by their number of texts. A set of n shingles shows its first
     n - ceil(similarity * n) + 1; those that no other text has come first and need not be joined, so
-    texts that have only a common passage in common do not meet. Of linked texts, the one with the
-    smallest key stays.
+    texts that have only a common passage in common do not meet. From a shared shingle on, the sets
+    must have enough shingles left.
     """
-    rows = left.join(
-        left.groupBy("component_id").agg(F.count(F.lit(1)).alias("__many")).filter("__many > 1").select("component_id"), "component_id")
-    each = rows.select(F.xxhash64("__md5").alias("__id"), F.xxhash64("component_id").alias("__c"), F.size("__set").alias("__n"),
-                       F.explode("__set").alias("__shingle"))
-    shared = each.groupBy("__c", "__shingle").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
+    each = rows.select("__id", "__label", F.size("__set").alias("__n"), F.explode("__set").alias("__shingle"))
+    shared = each.groupBy("__shingle").agg(
+        F.count(F.lit(1)).alias("__df"), F.min("__label").alias("__l1"), F.max("__label").alias("__l2")).filter("__df > 1")
     rank = F.row_number().over(Window.partitionBy("__id").orderBy("__df", "__shingle"))
     alone = F.col("__n") - F.count(F.lit(1)).over(Window.partitionBy("__id"))
     shown = stored(
-        each.join(shared, ["__c", "__shingle"]).withColumn("__at", alone + rank)
-        .filter(F.col("__at") <= F.col("__n") - F.ceil(F.col("__n") * similarity) + 1).select("__c", "__shingle", "__id", "__n"))
+        each.join(shared, "__shingle").withColumn("__at", alone + rank)
+        .filter(F.col("__at") <= F.col("__n") - F.ceil(F.col("__n") * similarity - 1e-9) + 1)
+        .filter("__l1 <> __l2").select("__shingle", "__id", "__label", "__n", "__at"))
     a, b = shown.alias("a"), shown.alias("b")
-    near = a.join(b, (F.col("a.__c") == F.col("b.__c")) & (F.col("a.__shingle") == F.col("b.__shingle"))
-                  & (F.col("a.__id") < F.col("b.__id")) & (F.col("a.__n") >= F.col("b.__n") * similarity)
-                  & (F.col("b.__n") >= F.col("a.__n") * similarity)).select(
+    # for the first shared shingle of a pair, which both show, nothing before its places is shared
+    most = 1 + F.least(F.col("a.__n") - F.col("a.__at"), F.col("b.__n") - F.col("b.__at"))
+    return a.join(b, (F.col("a.__shingle") == F.col("b.__shingle")) & (F.col("a.__id") < F.col("b.__id"))
+                  & (F.col("a.__label") != F.col("b.__label"))
+                  & (most * (1 + similarity) + 1e-6 >= (F.col("a.__n") + F.col("b.__n")) * similarity)).select(
         F.col("a.__id").alias("__one"), F.col("b.__id").alias("__two")).distinct()
-    sets = left.select(F.xxhash64("__md5").alias("__id"), "__set")
-    links = stored(
-        near.join(sets.withColumnsRenamed({"__id": "__one", "__set": "__s1"}), "__one")
-        .join(sets.withColumnsRenamed({"__id": "__two", "__set": "__s2"}), "__two")
-        .filter(_alike("__s1", "__s2", similarity)).select(F.col("__one").alias("src"), F.col("__two").alias("dst")))
-    ends = links.select(F.col("src").alias("__id")).union(links.select("dst")).distinct()
-    named = ends.join(left.select("__md5", "__k", F.xxhash64("__md5").alias("__id")), "__id")
-    grouped = named.join(components(links), F.col("__id") == F.col("node"))
-    stay = grouped.groupBy("component").agg(F.min(F.struct("__k", "__md5")).alias("__first")).select(F.col("__first.__md5").alias("__md5"))
-    return grouped.select("__md5").join(stay, "__md5", "left_anti")
