@@ -30,6 +30,10 @@ NODE_ROWS = 4096
 LEAF = 16
 #: Shingles that are hashed in one go.
 CHUNK = 1 << 16
+#: Rows from which common shingles are counted, how many of them make one common, and how many common ones are known at most.
+SAMPLE, COMMON, KNOWN = 4000, 3, 50_000
+#: Share of a set that it shows beyond what is needed to share one shingle.
+MORE = 0.1
 #: Factor between the words of a shingle in sets.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -323,17 +327,34 @@ def _scattered(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _described(text: Column, shingle: int) -> Column:
-    """Word-level fingerprint, shingle set, its checksum, and its least shingle in two other orders."""
+def _described(text: Column, shingle: int, similarity: float, common: np.ndarray) -> Column:
+    """Word-level fingerprint, checksum of the shingle set, its least shingle in two other orders, and the shingles it must show.
 
-    @F.pandas_udf("fp long, __same string, __least1 long, __least2 long, __set array<long>")
+    A set of n shingles shows its first n - ceil(similarity * n) + k in one order for all: that of the
+    hashes, ``common`` ones last. Two sets alike show k in common, whatever is taken as common; k is
+    1 + floor(MORE * n), and ``__need`` the least k of a set that may be alike.
+    """
+
+    @F.pandas_udf("fp long, __same string, __least1 long, __least2 long, __need long, __shown array<long>")
     def of(batch: pd.Series) -> pd.DataFrame:
         hashes, rows = _Hashes(), []
         for t in batch:
             found = shingle_set(t, shingle, hashes)
             least = [_scattered(found.view(np.uint64) + np.uint64(salt)).min().view(np.int64) for salt in (1, 2)]
-            rows.append((fingerprint(t, 1, "length"), hashlib.md5(found.tobytes()).hexdigest(), *least, found))
-        return pd.DataFrame(rows, columns=["fp", "__same", "__least1", "__least2", "__set"])
+            last = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found if len(common) else np.zeros(len(found), bool)
+            shown = np.concatenate((found[~last], found[last]))[: len(found) - int(np.ceil(len(found) * similarity - 1e-9)) + int(MORE * len(found)) + 1]
+            need = int(MORE * similarity * len(found) * (1 - 1e-9)) + 1
+            rows.append((fingerprint(t, 1, "length"), hashlib.md5(found.tobytes()).hexdigest(), *least, need, shown))
+        return pd.DataFrame(rows, columns=["fp", "__same", "__least1", "__least2", "__need", "__shown"])
+
+    return of(text)
+
+
+def _set_of(text: Column, shingle: int) -> Column:
+    @F.pandas_udf("array<long>")
+    def of(batch: pd.Series) -> pd.Series:
+        hashes = _Hashes()
+        return pd.Series([shingle_set(t, shingle, hashes) for t in batch], dtype=object)
 
     return of(text)
 
@@ -342,10 +363,11 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shi
                      bits: int = 7) -> DataFrame:
     """``df`` less the rows that repeat another row's text or nearly so.
 
-    Candidates are texts whose word-level fingerprints are linked at ``bits`` or fewer; they are
-    held against each other by the Jaccard similarity of their shingle sets. A row goes if it is
-    linked, over rows at least ``similarity`` alike, to one with a smaller key. The smallest key of
-    each such group stays.
+    Texts are held against each other by the Jaccard similarity of their shingle sets: first those
+    whose word-level fingerprints are linked at ``bits`` or fewer, then all that share one of the
+    shingles that similar sets must share. No pair at ``similarity`` or more is missed, unless 64-bit
+    hashes collide. A row goes if it is linked, over rows that alike, to one with a smaller key. The
+    smallest key of each such group stays.
 
     * Null texts and texts without words are never copies and all stay.
     * Repeated rows and rows of equal text: the one with the smallest key stays; if rows share
@@ -356,11 +378,12 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shi
     plain = df.select(
         F.col(f"`{key}`").alias("__k"), F.md5(body).alias("__md5"), body.alias("__text"),
         F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("__words"))
-    first_key = Window.partitionBy("__md5").orderBy(F.col("__k").asc_nulls_last())
-    each = plain.filter("__words").drop("__words").withColumn("__at", F.row_number().over(first_key)).filter("__at = 1")
-    texts = stored(each.select("__md5", "__k", _described(F.col("__text"), shingle).alias("__d"))
-                   .select("__md5", "__k", "__d.*").withColumn("__id", F.xxhash64("__same")).drop("__same"))
-    gone = _copies(texts.filter("__k is not null"), similarity, bits)
+    plain = plain.filter("__words").drop("__words")
+    common = _common(plain, shingle)
+    rows = stored(plain.select("__md5", "__k", _described(F.col("__text"), shingle, similarity, common).alias("__d"))
+                  .select("__md5", "__k", "__d.*").withColumn("__id", F.xxhash64("__same")).drop("__same"))
+    texts = rows.groupBy("__md5", "__id").agg(F.min("__k").alias("__k"))
+    gone = _copies(rows.filter("__k is not null"), plain, shingle, similarity, bits)
     stay = texts.select("__md5", "__k").join(gone, "__md5", "left_anti").select("__md5", tag(F.col("__k")).alias("__t"))
     named = df.withColumns({
         "__md5": F.when(F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.md5(body)),
@@ -376,20 +399,24 @@ def _all(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _copies(texts: DataFrame, similarity: float, bits: int) -> DataFrame:
+def _copies(rows: DataFrame, plain: DataFrame, shingle: int, similarity: float, bits: int) -> DataFrame:
     """MD5 of the texts that are linked to one with a smaller key.
 
-    Texts of equal sets are one node. Links are only added, no node leaves before all its links
-    are made: first, nodes are held against the first one of their buckets (fingerprint group,
-    least shingle in two orders), which joins most of a large group with few comparisons; what
-    these links have not joined yet is compared pair by pair.
+    Texts of equal sets are one node. Nodes that share no shown shingle with another have no near
+    copy. Links are only added, no node leaves before all its links are made: first, nodes are held
+    against the first one of their buckets (fingerprint group, least shingle in two orders), which
+    joins most of a large group with few comparisons; what these links have not joined yet is
+    compared pair by pair.
     """
-    narrow = texts.drop("__set")
-    nodes = narrow.groupBy("__id").agg(*[F.min(c).alias(c) for c in ("__k", "fp", "__least1", "__least2")])
-    grouped = stored(near_groups(stored(nodes), bits, "__id"))
-    crowded = grouped.groupBy("component_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    met = grouped.join(crowded, "component_id", "left_semi").select("__id")
-    sets = stored(texts.select("__id", "__set").join(met, "__id", "left_semi").dropDuplicates(["__id"]))
+    narrow = rows.drop("__shown")
+    nodes = stored(narrow.groupBy("__id").agg(F.min(F.struct("__k", "__md5")).alias("__one"), *[F.min(c).alias(c) for c in ("fp", "__least1", "__least2", "__need")])
+                   .select("__id", "__one.*", "fp", "__least1", "__least2", "__need"))
+    grouped = stored(near_groups(nodes, bits, "__id"))
+    met = stored(_met(rows))
+    enough = met.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).join(nodes.select("__id", "__need"), "__id").filter("__n >= __need")
+    met = stored(met.join(enough.select("__id"), "__id", "left_semi"))
+    ones = nodes.select("__id", "__k", "__md5").join(met.select("__id").distinct(), "__id", "left_semi")
+    sets = stored(plain.join(ones, ["__md5", "__k"]).dropDuplicates(["__id"]).select("__id", _set_of(F.col("__text"), shingle).alias("__set")))
     buckets = grouped.join(sets, "__id", "left_semi").select("__id", "__k", F.explode(F.array(
         F.xxhash64(F.lit(0), "component_id"), F.xxhash64(F.lit(1), "__least1"), F.xxhash64(F.lit(2), "__least2"))).alias("__b"))
     heads = buckets.groupBy("__b").agg(F.min(F.struct("__k", "__id")).alias("__h")).select("__b", F.col("__h.__id").alias("__head"))
@@ -397,12 +424,31 @@ def _copies(texts: DataFrame, similarity: float, bits: int) -> DataFrame:
         F.least("__id", "__head").alias("__one"), F.greatest("__id", "__head").alias("__two")).distinct()
     links = stored(_linked(stars, sets, similarity))
     labels = stored(_labels(sets, links))
-    rest = stored(_linked(_pairs_left(sets.join(labels, "__id"), similarity), sets, similarity))
-    joined = narrow.select("__md5", "__k", "__id").join(_labels(nodes, links.union(rest)), "__id")
+    between = met.join(labels, "__id")
+    mixed = between.groupBy("__shingle").agg(F.min("__label").alias("__l1"), F.max("__label").alias("__l2")).filter("__l1 <> __l2")
+    apart = labels.join(between.join(mixed, "__shingle", "left_semi").select("__id").distinct(), "__id", "left_semi")
+    rest = stored(_linked(_pairs_left(sets.join(apart, "__id"), similarity), sets, similarity))
+    joined = narrow.groupBy("__md5", "__id").agg(F.min("__k").alias("__k")).join(_labels(nodes, links.union(rest)), "__id")
     stay = joined.groupBy("__label").agg(F.min(F.struct("__k", "__md5")).alias("__first")).select(F.col("__first.__md5").alias("__md5"))
     return joined.select("__md5").join(stay, "__md5", "left_anti")
 
 
+def _common(plain: DataFrame, shingle: int) -> np.ndarray:
+    """Hashes of shingles that several texts of a hash sample hold; they only order the search and leave nothing out."""
+    every = max(1, plain.count() // SAMPLE)
+    some = plain.filter(F.pmod(F.xxhash64("__md5", F.lit(7)), F.lit(every)) == 0).dropDuplicates(["__md5"])
+    found = some.select(F.explode(_set_of(F.col("__text"), shingle)).alias("__shingle")).groupBy("__shingle").agg(F.count(F.lit(1)).alias("__n"))
+    most = found.filter(F.col("__n") >= COMMON).orderBy(F.desc("__n"), "__shingle").limit(KNOWN).collect()
+    return np.sort(np.array([r["__shingle"] for r in most], np.int64))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(__shingle, __id): shingles that several nodes show."""
+    of = Window.partitionBy("__shingle")
+    return rows.select("__id", F.explode("__shown").alias("__shingle")).withColumns(
+        {"__first": F.min("__id").over(of), "__last": F.max("__id").over(of)}).filter("__first <> __last").select("__shingle", "__id").distinct()
+
+
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(__id, __label): the smallest node that each one reaches."""
     return nodes.select("__id").join(components(links), F.col("__id") == F.col("node"), "left").select(

@@ -51,3 +51,12 @@ def test_copies_of_a_hub_with_the_largest_key(spark):
     assert want == [0, 100, 200, 300, 400, 500]
     assert len(smallest_of_components([r for r in rows if r[0] % 100 != 99])) == 48
     assert kept(spark, rows) == want
+
+
+def test_copies_with_an_added_passage(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        base = words(rng, 100)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + words(rng, 20)))]
+    assert kept(spark, rows) == smallest_of_components(rows) == list(range(0, 120, 2))
