@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipgraph.llm import decontaminate, langid, mixing, pages, pii, sharding, simhash, sql, tokencount, toxicity, weighted
+from clipgraph.llm import (
+    decontaminate, langid, mixing, pages, pieces, pii, resample, runs, sharding, simhash, sql, tokencount, toxicity, weighted,
+)
 from clipgraph.llm.common import table
 
 #: Vocabulary of public byte pieces, one a line.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Merge-type vocabulary with byte pieces.
+MERGES = "/opt/tokenizers/piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +88,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii")
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op11_importance_resampling", sql.RESAMPLING)
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample.resample(docs, target, percent=25, least_words=20, longest=2, buckets=10_000, seed=7)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = runs.detect(docs, least=24, repeats=3)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", "n_runs", "start", "length", "period", F.floor(F.col("length") * 1000 / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.concat_ws("", listed).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_sentencepiece")
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MERGES) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, model), model)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -93,3 +93,36 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(h.n, 0)::bigint as n_hit,
   sha256(coalesce(l.items, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
 from docs d left join hit h using (rid) left join listed l using (rid)
 """
+
+RESAMPLING = f"""
+with recursive {_CRC},
+docs as (select row_number() over () as rid, doc_id, coalesce({_WORDS.format("text")}, []) as w from documents),
+items as (select coalesce({_WORDS.format("text")}, []) as w from benchmark),
+doc_features as (
+  select rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from docs),
+item_features as (select unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from items),
+hashed as (
+  select f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(f)), '..'),
+      lambda x: ('0x' || x)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::bigint % 10000 as bucket
+  from (select f from doc_features union select f from item_features), crc_table),
+in_docs as (select bucket, count(*) as s from doc_features join hashed using (f) group by bucket),
+in_items as (select bucket, count(*) as t from item_features join hashed using (f) group by bucket),
+whole as (select (select coalesce(sum(s), 0) from in_docs)::double as sn, (select coalesce(sum(t), 0) from in_items)::double as tn),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (sn + 10000) / ((s + 1)::double * (tn + 10000))))::bigint as gain
+  from in_docs left join in_items using (bucket), whole),
+weights as (
+  select rid, count(*) as n, floor(sum(gain)::double / count(*))::bigint as weight
+  from doc_features join hashed using (f) join gains using (bucket) group by rid),
+scored as (
+  select rid, doc_id, len(w) as n_words, coalesce(n, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('7:' || coalesce(doc_id::varchar, 'null')), 8))::bigint + 0.5::double)
+      / 4294967296::double))))::bigint as score
+  from docs left join weights using (rid)),
+ranked as (
+  select rid, row_number() over (order by score desc, doc_id nulls last, n_features) as place, count(*) over () as able
+  from scored where n_words >= 20)
+select doc_id, n_features, weight, score, case when place <= 25 * able // 100 then place end::bigint as rank
+from scored left join ranked using (rid)
+"""
