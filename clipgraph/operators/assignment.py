@@ -1,64 +1,242 @@
 """Least-cost one-to-one assignment per group, on cost tables with multiplicities.
 
 Rows that are alike for the cost are one line with a count, so a group is as large as its
-number of distinct kinds, however many rows (or copies of a row) it has.
+number of distinct kinds. Only listed pairs are ever touched: a group falls apart into the connected
+components of its pairs, and each is solved by shortest augmenting paths over adjacency lists.
+Of several optimal pairings the one that is smallest line by line is taken, so results do not
+depend on the order of the input.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Costs are compared as whole multiples of this.
+UNIT = 1e-9
+
+Pairs = list[list[tuple[int, int]]]  # for each left line its (right line, cost), rising
+
+
+def component_labels(rows: np.ndarray, cols: np.ndarray, n: int, m: int) -> np.ndarray:
+    """For each pair the number of its connected component, by label passing with pointer jumping."""
+    at = cols + n
+    label = np.arange(n + m)
+    while True:
+        least = np.minimum(label[rows], label[at])
+        new = label.copy()
+        np.minimum.at(new, label[rows], least)  # hook the roots
+        np.minimum.at(new, label[at], least)
+        while True:
+            jump = new[new]
+            if np.array_equal(jump, new):
+                break
+            new = jump
+        if np.array_equal(new, label):
+            return label[rows]
+        label = new
+
+
+class Flow:
+    """Optimal flow from left lines (all of whose units leave) to right lines with room, and its prices.
+
+    The last right line is the slack: units that stay unmatched, at ``slack`` each and at most ``spare`` of them.
+    """
+
+    def __init__(self, pairs: Pairs, supply: list[int], room: list[int], slack: int, spare: int):
+        self.n, self.m = len(pairs), len(room) + 1
+        last = self.m - 1
+        self.pairs = [[*row, (last, slack)] if spare else row for row in pairs]
+        self.supply, self.size = supply, [*room, spare]
+        self.used = [0] * self.m
+        self.flow: list[dict[int, int]] = [{} for _ in pairs]  # left line -> right line -> units
+        self.back: list[set[int]] = [set() for _ in range(self.m)]  # right line -> left lines that use it
+        self.left_price = [min(c for _, c in row) if row else 0 for row in self.pairs]
+        self.price = [0] * self.m
+        for line in range(self.n):
+            left = supply[line]
+            while left:
+                left -= self._augment(line, left)
+
+    def _move(self, line: int, right: int, units: int) -> None:
+        flow = self.flow[line]
+        now = flow.get(right, 0) + units
+        if now:
+            flow[right] = now
+            self.back[right].add(line)
+        else:
+            del flow[right]
+            self.back[right].discard(line)
+        self.used[right] += units
+
+    def _augment(self, start: int, left: int) -> int:
+        """Send units of a left line along a cheapest path to a right line with room; how many went."""
+        price, left_price = self.price, self.left_price
+        reached = {start: 0}
+        via_left: dict[int, int] = {}
+        via_right: dict[int, int] = {}
+        best = {}
+        agenda = []
+        for right, cost in self.pairs[start]:
+            best[right] = cost - left_price[start] - price[right]
+            via_left[right] = start
+            agenda.append((best[right], right))
+        heapify(agenda)
+        done = {}
+        while True:
+            far, end = heappop(agenda)
+            if end in done:
+                continue
+            done[end] = far
+            if self.used[end] < self.size[end]:
+                break
+            for line in self.back[end]:
+                if line in reached:
+                    continue
+                reached[line] = far
+                via_right[line] = end
+                base = far - left_price[line]
+                for right, cost in self.pairs[line]:
+                    if right not in done:
+                        reach = base + cost - price[right]
+                        if reach < best.get(right, reach + 1):
+                            best[right] = reach
+                            via_left[right] = line
+                            heappush(agenda, (reach, right))
+        for line, at in reached.items():
+            left_price[line] += far - at
+        for right, at in done.items():
+            price[right] -= far - at
+        path, right = [], end
+        units = min(left, self.size[end] - self.used[end])
+        while True:
+            line = via_left[right]
+            path.append((line, right, 1))
+            if line == start:
+                break
+            right = via_right[line]
+            path.append((line, right, -1))
+            units = min(units, self.flow[line][right])
+        for line, right, sign in path:
+            self._move(line, right, sign * units)
+        return units
+
+    def settle(self) -> list[dict[int, int]]:
+        """Make the flow the one that is smallest line by line among all optimal ones.
+
+        Optimal flows use only tight pairs (cost equal to the two prices) and fill every right line
+        whose price is below zero. Left lines are gone through in order; each takes as many units as
+        it can of its first tight right line, then of the next, by cycles over tight pairs of later lines.
+        """
+        tight = [[r for r, c in row if c == self.left_price[i] + self.price[r]] for i, row in enumerate(self.pairs)]
+        self.loose = {r for r in range(self.m) if self.price[r] == 0 and self.used[r]}
+        for line, rights in enumerate(tight):
+            for k, right in enumerate(rights):
+                later = {r for r in rights[k + 1:] if self.flow[line].get(r)}
+                while later:
+                    if not (path := self._cycle(line, right, later, tight)):
+                        break
+                    end, steps, units = path
+                    self._move(line, right, units)
+                    for other, a, b in steps:
+                        self._move(other, a, -units)
+                        self._move(other, b, units)
+                    self._move(line, end, -units)
+                    for r in {right, end, *[x for s in steps for x in s[1:]]}:
+                        if self.price[r] == 0 and self.used[r]:
+                            self.loose.add(r)
+                        else:
+                            self.loose.discard(r)
+                    later = {r for r in later if self.flow[line].get(r)}
+        return self.flow
 
-def transport(cost: np.ndarray, supply: np.ndarray, demand: np.ndarray) -> np.ndarray:
-    """Flow of min(total supply, total demand) units at least cost (shortest augmenting paths)."""
-    if supply.sum() > demand.sum():
-        return transport(cost.T, demand, supply).T
-    n, m = cost.shape
-    flow = np.zeros((n, m), dtype=np.int64)
-    row_price, col_price = np.zeros(n), np.zeros(m)
-    left, room = supply.astype(np.int64).copy(), demand.astype(np.int64).copy()
-    for start in range(n):
-        while left[start] > 0:
-            col_dist = np.full(m, np.inf)
-            via_row = np.full(m, -1)
-            via_col = np.full(n, -1)
-            row_dist = np.full(n, np.inf)
-            row_dist[start] = 0.0
-            done = np.zeros(m, dtype=bool)
-            fresh = [start]
-            while True:
-                for r in fresh:
-                    reach = row_dist[r] + cost[r] - row_price[r] - col_price
-                    closer = ~done & (reach < col_dist)
-                    col_dist[closer] = reach[closer]
-                    via_row[closer] = r
-                end = int(np.argmin(np.where(done, np.inf, col_dist)))
-                done[end] = True
-                if room[end] > 0:
-                    break
-                fresh = [r for r in np.flatnonzero(flow[:, end] > 0) if np.isinf(row_dist[r])]
-                row_dist[fresh] = col_dist[end]
-                via_col[fresh] = end
-            reached = np.isfinite(row_dist)
-            row_price[reached] += col_dist[end] - row_dist[reached]
-            col_price[done] -= col_dist[end] - col_dist[done]
-            path, amount, c = [], min(left[start], room[end]), end
-            while True:
-                r = via_row[c]
-                path.append((r, c, 1))
-                if via_col[r] < 0:
-                    break
-                path.append((r, via_col[r], -1))
-                amount = min(amount, flow[r, via_col[r]])
-                c = via_col[r]
-            for r, c, sign in path:
-                flow[r, c] += sign * amount
-            left[start] -= amount
-            room[end] -= amount
-    return flow
+    def _cycle(self, line: int, right: int, later: set[int], tight: list[list[int]]):
+        """A way to put one more unit on (line, right): which later right line gives it up, and what moves between.
+
+        Goes over units of lines after ``line``, and once over free room: a right line with room takes
+        a unit more, one that need not be full gives one up.
+        """
+        came: dict[int, tuple | None] = {right: None}
+        queue = deque([right])
+        opened = False
+        while queue:
+            at = queue.popleft()
+            if at in later:
+                steps, units, x = [], self.flow[line][at], at
+                while came[x] is not None:
+                    before, other = came[x]
+                    if other is None:
+                        units = min(units, self.size[before] - self.used[before], self.used[x])
+                    else:
+                        units = min(units, self.flow[other][before])
+                        steps.append((other, before, x))
+                    x = before
+                return at, steps, units
+            if not opened and self.used[at] < self.size[at]:
+                opened = True
+                for x in self.loose:
+                    if x not in came:
+                        came[x] = (at, None)
+                        queue.append(x)
+            for other in self.back[at]:
+                if other > line:
+                    for x in tight[other]:
+                        if x not in came:
+                            came[x] = (at, other)
+                            queue.append(x)
+        return None
+
+
+def sparse_transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.ndarray, demand: np.ndarray,
+                     missing: float = 1.0) -> np.ndarray:
+    """Units matched on each listed pair at least total cost, pairs not listed costing ``missing``.
+
+    As many units are matched as the smaller side has, over listed or unlisted pairs; the least
+    pairing, line by line, of all optimal ones is given, and a match counts as less than none.
+    """
+    n, m = len(supply), len(demand)
+    price = np.rint(np.asarray(cost, float) / UNIT).astype(np.int64)
+    blank = int(round(missing / UNIT))
+    out = np.zeros(len(rows), np.int64)
+    if len(rows) == n * m:  # nothing is unlisted: all units of the smaller side go over listed pairs
+        slack, spare, label = 0, max(0, int(supply.sum() - demand.sum())), np.zeros(len(rows), np.int64)
+    elif len(price) and price.max() > blank:  # listed pairs dearer than the others: these are needed, too
+        full = np.full((n, m), blank)
+        full[rows, cols] = price
+        units = sparse_transport(*np.divmod(np.arange(n * m), m), full.ravel() * UNIT, supply, demand)
+        return units.reshape(n, m)[rows, cols]
+    else:  # what stays unmatched pays for an unlisted pair
+        slack, spare, label = blank, int(supply.sum()), component_labels(rows, cols, n, m)
+    order = np.lexsort((cols, rows, label))
+    starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0]) if len(order) else np.zeros(0, np.int64)
+    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        part = order[begin:end]
+        if len(part) == 1:
+            i = part[0]
+            out[i] = min(supply[rows[i]], demand[cols[i]])
+            continue
+        lines, of = np.unique(rows[part], return_inverse=True)
+        rights, to = np.unique(cols[part], return_inverse=True)
+        pairs: Pairs = [[] for _ in lines]
+        for i, j, c in zip(of.tolist(), to.tolist(), price[part].tolist(), strict=True):
+            pairs[i].append((j, c))
+        flow = Flow(pairs, supply[lines].tolist(), demand[rights].tolist(), slack, spare).settle()
+        out[part] = [flow[i].get(j, 0) for i, j in zip(of.tolist(), to.tolist(), strict=True)]
+    return out
+
+
+def _before(units: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Units of the same group that come earlier in ``order``."""
+    sums = np.cumsum(units[order]) - units[order]
+    first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    out = np.empty_like(units)
+    out[order] = sums - np.repeat(sums[first], np.diff(np.r_[first, len(order)]))
+    return out
 
 
 def assign_groups(
@@ -76,6 +254,10 @@ def assign_groups(
     Pairs not listed cost ``missing``. Returns the listed pairs that were matched with their
     ``cost``, the number of units ``n`` and the first unit on each side (``left_from``,
     ``right_from``), so that matched kinds can be spread over their rows.
+
+    Costs are compared at nine decimals. Of several optimal pairings the first one is taken: the
+    first left line gets as many units as it can of the first right line that an optimum allows it, then
+    of the next, and so on line by line; being matched comes before being left over.
     """
     full = costs.select(
         *keys,
@@ -94,20 +276,17 @@ def assign_groups(
         part = pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
         row_ids, rows = np.unique(part[left], return_inverse=True)
         col_ids, cols = np.unique(part[right], return_inverse=True)
-        matrix = np.full((len(row_ids), len(col_ids)), missing)
-        matrix[rows, cols] = part["cost"]
-        listed = np.zeros(matrix.shape, dtype=bool)
-        listed[rows, cols] = True
         supply = np.zeros(len(row_ids), dtype=np.int64)
         demand = np.zeros(len(col_ids), dtype=np.int64)
         supply[rows] = part["_ln"]
         demand[cols] = part["_rn"]
-        flow = np.where(listed, transport(matrix, supply, demand), 0)
-        r, c = np.nonzero(flow)
-        left_from = (np.cumsum(flow, axis=1) - flow)[r, c]
-        right_from = (np.cumsum(flow, axis=0) - flow)[r, c]
-        head = [np.repeat(part[k][:1], len(r)) for k in keys]
-        return [*head, row_ids[r], col_ids[c], matrix[r, c], flow[r, c], left_from, right_from]
+        units = sparse_transport(rows, cols, part["cost"], supply, demand, missing)
+        used = np.flatnonzero(units)
+        rows, cols, units = rows[used], cols[used], units[used]
+        left_from = _before(units, rows, np.lexsort((cols, rows)))
+        right_from = _before(units, cols, np.lexsort((rows, cols)))
+        head = [np.repeat(part[k][:1], len(used)) for k in keys]
+        return [*head, row_ids[rows], col_ids[cols], part["cost"][used], units, left_from, right_from]
 
     def run(batches):
         # Rows arrive sorted by key. The last group of a batch may go on in the next one.

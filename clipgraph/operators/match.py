@@ -45,7 +45,7 @@ def align(objects: DataFrame, detections: DataFrame, threshold: float = 0.3) ->
         pairs.withColumn("cost", 1 - F.col("match_score")),
         ["video_id", "category"], "first_seen_frame", "track_id", left_n="n_objects",
     )
-    kept = explode_range(solved.where(1 - F.col("cost") >= threshold), F.col("n").cast("int"), "_i")
+    kept = explode_range(solved.where(1 - F.col("cost") >= threshold), F.col("n"), "_i")
     wanted = kept.select(
         "video_id", F.col("category").alias("_cat"), "first_seen_frame",
         (F.col("left_from") + F.col("_i")).alias("_at"), "track_id", (1 - F.col("cost")).alias("score"),
@@ -120,21 +120,32 @@ def event_costs(truth: DataFrame, pred: DataFrame, clip: list[str]) -> DataFrame
     return a.join(b, clip).withColumn("cost", cost)
 
 
+def _kind_text(kind: str) -> Column:
+    """An event kind as a text that sorts like its four fields."""
+    frame = F.lpad((F.col(f"{kind}.frame").cast("bigint") + F.lit(1 << 33)).cast("string"), 10, "0")
+    return F.concat_ws("\x01", f"{kind}.action", frame, f"{kind}.agent_category", f"{kind}.target_category")
+
+
 def match_event_kinds(truth: DataFrame, pred: DataFrame, clip: list[str], below: float = 2.0) -> DataFrame:
-    """Optimal assignment of event kinds per clip with the matched count ``n``; only costs under ``below``."""
-    costs = event_costs(truth, pred, clip)
-    named = costs.withColumns({"gt_kind": F.to_json("gt"), "pred_kind": F.to_json("pred")})
+    """Optimal assignment of event kinds per clip with the matched count ``n``; only costs under ``below``.
+
+    Kinds are lines in the order of action, frame, agent and target category, which decides among equal optima.
+    """
+    named = event_costs(truth, pred, clip).withColumns({"gt_kind": _kind_text("gt"), "pred_kind": _kind_text("pred")})
     solved = assign_groups(named, clip, "gt_kind", "pred_kind", "cost", "n_gt", "n_pred", missing=3.0)
-    kind = truth.select(*EVENT_KIND).schema
-    return solved.where(F.col("cost") < below).withColumns(
-        {"gt": F.from_json("gt_kind", kind), "pred": F.from_json("pred_kind", kind)}
-    )
+
+    def kind(text: str) -> Column:
+        at = F.split(text, "\x01")
+        frame = (at[1].cast("bigint") - F.lit(1 << 33)).cast(truth.schema["frame"].dataType)
+        return F.struct(at[0].alias("action"), frame.alias("frame"), at[2].alias("agent_category"), at[3].alias("target_category"))
+
+    return solved.where(F.col("cost") < below).withColumns({"gt": kind("gt_kind"), "pred": kind("pred_kind")})
 
 
 def match_events(truth: DataFrame, pred: DataFrame, clip: list[str], ident: str, below: float = 2.0) -> DataFrame:
     """Matched events as (clip, gt_id, pred_id, cost): kinds are matched, then spread over their rows."""
     kinds = match_event_kinds(truth, pred, clip, below)
-    units = explode_range(kinds, F.col("n").cast("int"), "_i")
+    units = explode_range(kinds, F.col("n"), "_i")
     pairs = units.select(
         *clip, "gt", "pred", "cost",
         (F.col("left_from") + F.col("_i")).alias("_a"), (F.col("right_from") + F.col("_i")).alias("_b"),
@@ -194,11 +205,13 @@ def event_match_costs(pred: DataFrame, truth: DataFrame, key: str = "sample_id",
 def match_queries(pred: DataFrame, truth: DataFrame, key: str = "sample_id", with_frame: bool = False) -> DataFrame:
     """Optimal query-to-truth assignment per sample: (sample, q, gt_id, cost)."""
     kind = [*TRUTH_KIND, *(["event_frame_index"] if with_frame else [])]
-    costs = event_match_costs(pred, truth, key, with_frame).withColumn("_kind", F.concat_ws("|", *kind))
+    # a text that sorts like the numbers
+    text = F.concat_ws("|", *[F.lpad((F.col(c).cast("bigint") + F.lit(1 << 33)).cast("string"), 10, "0") for c in kind])
+    costs = event_match_costs(pred, truth, key, with_frame).withColumn("_kind", text)
     solved = assign_groups(costs, [key], "q", "_kind", "cost", right_n="n_gt")
     at = (F.col("right_from")).alias("_at")
     wanted = solved.select(key, "q", "_kind", "cost", at)
-    ranked = row_index(truth.withColumn("_kind", F.concat_ws("|", *kind)), ["gt_id"], [key, "_kind"], name="_at")
+    ranked = row_index(truth.withColumn("_kind", text), ["gt_id"], [key, "_kind"], name="_at")
     return wanted.join(ranked.select(key, "_kind", "_at", "gt_id"), [key, "_kind", "_at"]).select(key, "q", "gt_id", "cost")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays
 from clipgraph.operators import match
+from clipgraph.session import settle
 from clipgraph.operators.decode import active_queries, argmax_heads
 from clipgraph.operators.ordering import prefix_sums, row_index
 
@@ -210,7 +211,8 @@ def scoring_losses(
     divided by the number of matched pairs. A missing source or destination counts as the
     last pointer.
     """
-    pairs = matched if matched is not None else match.match_queries(pred, truth, key, with_frame=True)
+    # two parts read the pairs; they are solved once
+    pairs = matched if matched is not None else settle(match.match_queries(pred, truth, key, with_frame=True))
     hit = pairs.select(key, "q", F.lit(1.0).alias("_y"), "gt_id")
     # A sample has a fixed number of queries, so the left join keeps its size.
     tagged = pred.join(hit, [key, "q"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import ids
 from clipgraph.operators import match
+from clipgraph.session import settle
 from clipgraph.vocab import AXES
 
 
@@ -103,7 +104,7 @@ def action_lists(events: DataFrame, clip: list[str], order: str, out: str) -> Da
 
 def quality_report(truth: DataFrame, pred: DataFrame, clips: DataFrame, clip: list[str]) -> DataFrame:
     """One row: summary counts, object and event detection, accuracies, false positives, per-name tables."""
-    kinds = match.match_event_kinds(truth, pred, clip)
+    kinds = settle(match.match_event_kinds(truth, pred, clip))  # five parts read it; it is solved once
     objects = object_counts(truth, pred, clip, "target_category")
     actions = event_counts_by_action(truth, pred, kinds, clip)
     counts = clip_counts(clips, truth, pred, clip)

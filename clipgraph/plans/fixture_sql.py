@@ -30,19 +30,20 @@ select concat(lpad(cast(extract(year from o_orderdate) as string),4,'0'), lpad(c
 from {orders}
 """
 
+# Every line is a box: the rn-th line of one order and number is a track of its own, seven numbers up.
 BOTH["v_detections"] = """
-select cast(floor(l_orderkey / 16) as int) as video_id, cast(l_orderkey % 16 as int) as frame_index, l_linenumber as track_id,
+select cast(floor(l_orderkey / 16) as int) as video_id, cast(l_orderkey % 16 as int) as frame_index, cast(l_linenumber + 7 * (rn - 1) as int) as track_id,
   concat('cat', cast(l_linenumber % 3 as string)) as category, x1, y1, x1 + 50 + l_tax * 1000 as x2, y1 + 40 + l_discount * 800 as y2,
   1 - l_discount * 5 as score
 from (select l_orderkey, l_linenumber, l_tax, l_discount, l_quantity * 2 as x1, cast((l_suppkey % 50) * 5 as double) as y1,
         row_number() over (partition by l_orderkey, l_linenumber
-          order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount) as rn from {lineitem}) d where rn = 1
+          order by l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_discount) as rn from {lineitem}) d
 """
 
 BOTH["v_vlm_objects"] = """
 select video_id, concat(case when track_id % 2 = 0 then upper(category) else category end) as category,
   concat(category, '_', lpad(cast(track_id as string), 2, '0')) as obj_id, min(frame_index) as first_seen_frame
-from {v_detections} where track_id <= 6 group by video_id, track_id, category
+from {v_detections} group by video_id, track_id, category
 """
 
 BOTH["v_ann_events"] = """

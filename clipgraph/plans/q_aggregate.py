@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays, ids
 from clipgraph.operators import graph, match, report, tracks, validate, windows
-from clipgraph.plans.q_match import NMS_SQL, sides
+from clipgraph.plans.q_match import ALIGN_SQL, EVENTS_SQL, NMS_SQL, sides
 from clipgraph.plans.q_scalar import VALIDATED, action_rules
 from clipgraph.plans.registry import query
 from clipgraph.session import settle
@@ -115,15 +115,31 @@ def prf_by_category(v):
     return _rounded(report.prf_by(_object_counts(v), ["target_category"]))
 
 
-@query("prf_by_action")
+_BY_ACTION = """
+(select a.action, coalesce(h.n, 0) as tp, coalesce(p.n, 0) - coalesce(k.n, 0) as fp, coalesce(g.n, 0) - coalesce(h.n, 0) as fn from (select distinct action from v_gt) a
+  left join (select action, count(*) as n from v_gt where side = 'gt' group by 1) g on g.action = a.action
+  left join (select action, count(*) as n from v_gt where side = 'pred' group by 1) p on p.action = a.action
+  left join (select gt_action as action, count(*) as n from mt group by 1) h on h.action = a.action
+  left join (select pred_action as action, count(*) as n from mt group by 1) k on k.action = a.action)
+"""
+
+
+@query("prf_by_action", EVENTS_SQL + f"select action, tp, fp, fn, {_PRF_SQL} from {_BY_ACTION} a")
 def prf_by_action(v):
-    kinds = match.match_event_kinds(*sides(v), CLIP)
-    return report.prf_by(report.event_counts_by_action(*sides(v), kinds, CLIP), ["action"])
+    kinds = settle(match.match_event_kinds(*sides(v), CLIP))
+    return _rounded(report.prf_by(report.event_counts_by_action(*sides(v), kinds, CLIP), ["action"]))
+
+
+_MATCHED = """
+(select round(coalesce(avg(case when gt_action = pred_action then 1.0e0 else 0 end), 0), 6) as action_accuracy, round(coalesce(avg(case when same_agent then 1.0e0 else 0 end), 0), 6) as agent_accuracy,
+  round(coalesce(avg(case when same_target then 1.0e0 else 0 end), 0), 6) as target_accuracy, count(*) as n_matched from mt)
+"""
 
 
-@query("matched_accuracy")
+@query("matched_accuracy", EVENTS_SQL + f"select * from {_MATCHED} m")
 def matched_accuracy(v):
-    return report.matched_accuracy(match.match_event_kinds(*sides(v), CLIP))
+    out = report.matched_accuracy(match.match_event_kinds(*sides(v), CLIP))
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns[:3]], "n_matched")
 
 
 @query("attribute_accuracy", """
@@ -180,22 +196,46 @@ def clip_details(v):
     return out
 
 
-@query("quality_report")
+def _table_sql(name: str, counts: str) -> str:
+    listed = "string_agg(concat({0}, ':', tp, '/', fp, '/', fn, '=', cast(round(f1 * 1e6) as bigint)), ',' order by {0})"
+    return f"(select {listed.format(name)} from (select {name}, tp, fp, fn, {_PRF_SQL} from {counts} a) t)"
+
+
+_BY_CATEGORY = f"""
+(select target_category, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn from {_COUNTS_SQL} c group by 1)
+"""
+
+
+@query("quality_report", EVENTS_SQL + f"""
+select count(*) as n_clips, count(*) filter (where g > 0) as n_clips_with_gt_events, count(*) filter (where g = 0) as n_clips_no_gt_events,
+  (select round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) from {_BY_CATEGORY} o) as object_f1,
+  (select round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) from {_BY_ACTION} e) as event_f1,
+  (select action_accuracy from {_MATCHED} m) as action_accuracy, (select agent_accuracy from {_MATCHED} m) as agent_accuracy,
+  (select target_accuracy from {_MATCHED} m) as target_accuracy, (select n_matched from {_MATCHED} m) as n_matched,
+  count(*) filter (where g = 0) as no_event_clips_total, count(*) filter (where g = 0 and p > 0) as no_event_clips_with_pred_events,
+  cast(sum(case when g = 0 then p else 0 end) as bigint) as total_spurious_events,
+  {_table_sql("target_category", _BY_CATEGORY)} as per_category, {_table_sql("action", _BY_ACTION)} as per_action from {_CLIP_COUNTS} c
+""")
 def quality_report(v):
     row = report.quality_report(*sides(v), clips_of(v), CLIP)
+
+    def listed(col: str, name: str):
+        part = lambda x: F.concat(x[name], F.lit(":"), x["tp"], F.lit("/"), x["fp"], F.lit("/"), x["fn"], F.lit("="),
+                                  F.round(x["f1"] * 1e6).cast("bigint"))
+        return F.array_join(F.transform(col, part), ",")
+
     return row.select(
-        "summary.*", F.col("object_detection.f1").alias("object_f1"), F.col("event_detection.f1").alias("event_f1"),
-        "matched_accuracy.*", "false_positive_analysis.*", F.to_json("object_per_category").alias("per_category"),
-        F.to_json("event_per_action").alias("per_action"),
+        "summary.*", F.round("object_detection.f1", 6).alias("object_f1"), F.round("event_detection.f1", 6).alias("event_f1"),
+        *[F.round(f"matched_accuracy.{c}", 6).alias(c) for c in ("action_accuracy", "agent_accuracy", "target_accuracy")],
+        "matched_accuracy.n_matched", "false_positive_analysis.*", listed("object_per_category", "target_category").alias("per_category"),
+        listed("event_per_action", "action").alias("per_action"),
     )
 
 
-@query("alignment_mean_score", """
-select video_id, n, round(c, 6) as confidence from (select video_id, count(*) as n, avg(score) as c from v_detections where score >= 0.3 group by 1) x
-""")
+@query("alignment_mean_score", ALIGN_SQL + "select video_id, count(*) as n, round(avg(score), 6) as confidence from kept group by video_id")
 def alignment_mean_score(v):
-    """Mean score of the boxes kept at the alignment threshold, per video."""
-    kept = v["v_detections"].where("score >= 0.3")
+    """Mean score of the objects aligned to a track, per video."""
+    kept = match.align(v["v_vlm_objects"], v["v_detections"])
     return kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("confidence"))
 
 

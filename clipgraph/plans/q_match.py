@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays
 from clipgraph.operators import decode, encode, match, nms, tracks, windows
 from clipgraph.operators.assignment import assign_groups
+from clipgraph.plans.pairing_sql import pairing
 from clipgraph.plans.q_scalar import ACTION_RULES, action_rules
 from clipgraph.plans.q_windows import FEATURES
 from clipgraph.plans.registry import query
@@ -123,32 +124,31 @@ def candidate_pairs(v):
     )
 
 
-@query("align")
-def align(v):
-    return match.align(v["v_vlm_objects"], v["v_detections"])
-
-
-# At most two objects share a video and category here, so the optimum is found by listing all choices.
 ALIGN_SQL = f"""
-with cand as (select o.video_id, lower(o.category) as cat, o.obj_id, s.track_id, s.match_score as sc from v_vlm_objects o
-    join {SEPARATION} s on s.video_id = o.video_id and s.frame_index = o.first_seen_frame and lower(s.category) = lower(o.category)),
-obj as (select video_id, lower(category) as cat, obj_id, row_number() over (partition by video_id, lower(category) order by obj_id) as rn from v_vlm_objects),
-o1 as (select obj.*, cand.track_id, cand.sc from obj join cand using (video_id, cat, obj_id) where rn = 1
-       union all select obj.*, null, 0 from obj where rn = 1),
-o2 as (select obj.*, cand.track_id, cand.sc from obj join cand using (video_id, cat, obj_id) where rn = 2
-       union all select obj.*, null, 0 from obj where rn = 2),
-combo as (select o1.video_id, o1.cat, o1.track_id as t1, o1.sc as s1, o2.track_id as t2, coalesce(o2.sc, 0) as s2
-          from o1 left join o2 on o2.video_id = o1.video_id and o2.cat = o1.cat where o1.track_id is null or o2.track_id is null or o1.track_id <> o2.track_id),
-best as (select *, row_number() over (partition by video_id, cat order by s1 + s2 desc, greatest(s1, s2) desc) as rn from combo),
-kept as (select video_id, s1 as sc from best where rn = 1 and s1 >= 0.3 union all select video_id, s2 from best where rn = 1 and s2 >= 0.3)
+with recursive sep as materialized (select * from {SEPARATION} s),
+obj as materialized (select video_id, lower(category) as cat, obj_id, first_seen_frame,
+  row_number() over (partition by video_id, lower(category) order by first_seen_frame, obj_id) as i from v_vlm_objects),
+trk as materialized (select video_id, cat, track_id, row_number() over (partition by video_id, cat order by track_id) - 1 as j, null as prev
+  from (select distinct video_id, lower(category) as cat, track_id from v_detections) t),
+prs as materialized (select o.video_id, o.cat, o.i, t.j, cast(round((1 - s.match_score) * 1e9) as bigint) as ic, s.match_score as sc
+  from obj o join sep s on s.video_id = o.video_id and s.frame_index = o.first_seen_frame and lower(s.category) = o.cat
+  join trk t on t.video_id = o.video_id and t.cat = o.cat and t.track_id = s.track_id),
+{pairing("pr", "obj", "trk", "prs", "video_id, cat", partial=1_000_000_000)},
+kept as (select video_id, obj_id, track_id, 1 - (1 - sc) as score from pr join obj using (video_id, cat, i) join trk using (video_id, cat, j)
+  join prs using (video_id, cat, i, j) where 1 - (1 - sc) >= 0.3)
 """
 
 
+@query("align", ALIGN_SQL + "select video_id, obj_id, track_id, round(score, 8) as score from kept")
+def align(v):
+    return match.align(v["v_vlm_objects"], v["v_detections"]).withColumn("score", F.round("score", 8))
+
+
 @query("alignment_confidence", ALIGN_SQL + """
 select coalesce(o.video_id, t.video_id) as video_id, coalesce(k.n, 0) as n_matched, coalesce(o.n, 0) - coalesce(k.n, 0) as unmatched_objects,
   coalesce(t.n, 0) - coalesce(k.n, 0) as unmatched_tracks, round(case when coalesce(o.n, 0) = 0 then 1.0 else coalesce(k.c, 0.0) end, 6) as confidence
 from (select video_id, count(*) as n from v_vlm_objects group by 1) o full join (select video_id, count(distinct track_id) as n from v_detections group by 1) t on o.video_id = t.video_id
-left join (select video_id, count(*) as n, avg(sc) as c from kept group by 1) k on k.video_id = coalesce(o.video_id, t.video_id)
+left join (select video_id, count(*) as n, avg(score) as c from kept group by 1) k on k.video_id = coalesce(o.video_id, t.video_id)
 """)
 def alignment_confidence(v):
     mapping = match.align(v["v_vlm_objects"], v["v_detections"])
@@ -218,34 +218,49 @@ def assignment(v):
 
 
 @query("assign_groups", f"""
-with recursive f as materialized (select * from {FEATURES} f),
-a as (select video_id, track_id, avg(cx) as px, avg(cy) as py, row_number() over (partition by video_id order by track_id) as i, count(*) over (partition by video_id) as n from f where t_idx < 8 group by 1, 2),
-b as (select video_id, track_id, avg(cx) as qx, avg(cy) as qy, row_number() over (partition by video_id order by track_id) - 1 as j, count(*) over (partition by video_id) as m from f where t_idx >= 8 group by 1, 2),
-c as (select a.video_id, i, n, j, m, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) as cost from a join b on a.video_id = b.video_id),
-opt as (select video_id, i, n, m, cast(1 as bigint) << j as bit, cost from c
-        union all select distinct video_id, i, n, m, cast(0 as bigint), 1000e0 from c where n > m),
-dp as (select video_id, cast(1 as bigint) as i, n, m, bit as mask, cost from opt where i = 1
-       union all select d.video_id, d.i + 1, d.n, d.m, d.mask | o.bit, min(d.cost + o.cost)
-       from dp d join opt o on o.video_id = d.video_id and o.i = d.i + 1 and (o.bit & d.mask) = 0 group by 1, 2, 3, 4, 5)
-select video_id, least(any_value(n), any_value(m)) as n_pairs, round(min(cost) - 1000 * greatest(any_value(n) - any_value(m), 0), 6) as total_cost
-from dp where i = n group by video_id
+with recursive f as materialized (select video_id, track_id, t_idx, cx, cy, track_id % 7 % 3 as kind from {FEATURES} f),
+a as materialized (select video_id, kind, avg(cx) as px, avg(cy) as py, row_number() over (partition by video_id, kind order by track_id) as i from f where t_idx < 8 group by video_id, kind, track_id),
+b as materialized (select video_id, kind, avg(cx) as qx, avg(cy) as qy, row_number() over (partition by video_id, kind order by track_id) - 1 as j, null as prev from f where t_idx >= 8 group by video_id, kind, track_id),
+a2 as materialized (select * from a semi join b using (video_id, kind)),
+c as materialized (select video_id, kind, i, j, sqrt((px - qx) * (px - qx) + (py - qy) * (py - qy)) as cost, cast(round(cost * 1e9) as bigint) as ic from a join b using (video_id, kind)),
+{pairing("pr", "a2", "b", "c", "video_id, kind")}
+select video_id, cast(kind as int) as kind, count(*) as n_pairs, round(sum(cost), 6) as total_cost from pr join c using (video_id, kind, i, j) group by all
 """)
 def assign_groups_query(v):
-    """Least total centre distance between the tracks of each video's first and second half."""
+    """Least total centre distance between the tracks of one kind in each video's first and second half."""
     placed = tracks.box_features(v["v_detections"].withColumn("t_idx", F.col("frame_index")), 400, 400)
-    early = placed.where("t_idx < 8").groupBy("video_id", "track_id").agg(F.avg("cx").alias("ax"), F.avg("cy").alias("ay"))
-    late = placed.where("t_idx >= 8").groupBy("video_id", F.col("track_id").alias("late_id")).agg(
+    placed = placed.withColumn("kind", F.col("track_id") % 7 % 3)
+    early = placed.where("t_idx < 8").groupBy("video_id", "kind", "track_id").agg(F.avg("cx").alias("ax"), F.avg("cy").alias("ay"))
+    late = placed.where("t_idx >= 8").groupBy("video_id", "kind", F.col("track_id").alias("late_id")).agg(
         F.avg("cx").alias("bx"), F.avg("cy").alias("by")
     )
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    costs = early.join(late, "video_id").withColumn("cost", F.sqrt(dx * dx + dy * dy))
-    solved = assign_groups(costs, ["video_id"], "track_id", "late_id")
-    return solved.groupBy("video_id").agg(F.sum("n").alias("n_pairs"), F.round(F.sum("cost"), 6).alias("total_cost"))
+    costs = early.join(late, ["video_id", "kind"]).withColumn("cost", F.sqrt(dx * dx + dy * dy))
+    solved = assign_groups(costs, ["video_id", "kind"], "track_id", "late_id")
+    return solved.groupBy("video_id", "kind").agg(F.sum("n").alias("n_pairs"), F.round(F.sum("cost"), 6).alias("total_cost"))
+
+
+EVENTS_SQL = f"""
+with recursive gt as materialized (select *, row_number() over (partition by video_id, clip_index order by action, frame, agent_category, target_category, event_seq) as i
+  from v_gt where side = 'gt'),
+pd as materialized (select *, case when j > 0 and lag((action, frame, agent_category, target_category)) over (partition by video_id, clip_index order by j) = (action, frame, agent_category, target_category)
+    then j - 1 end as prev
+  from (select *, row_number() over (partition by video_id, clip_index order by action, frame, agent_category, target_category, event_seq) - 1 as j from v_gt where side = 'pred') p),
+pc as materialized (select gt.video_id, gt.clip_index, gt.i, pd.j, (case when gt.action = pd.action then 0 else 1 end) + least(abs(gt.frame - pd.frame) / 16.0e0, 1)
+    + (case when gt.agent_category = pd.agent_category then 0 else 0.5e0 end) + (case when gt.target_category = pd.target_category then 0 else 0.5e0 end) as cost,
+    cast(round(cost * 1e9) as bigint) as ic from gt join pd using (video_id, clip_index)),
+g2 as materialized (select * from gt semi join pd using (video_id, clip_index)),
+{pairing("pr", "g2", "pd", "pc", "video_id, clip_index")},
+mt as materialized (select pr.video_id, pr.clip_index, gt.event_seq as gt_id, pd.event_seq as pred_id, cost, gt.action as gt_action, pd.action as pred_action,
+    gt.agent_category = pd.agent_category as same_agent, gt.target_category = pd.target_category as same_target
+  from pr join pc using (video_id, clip_index, i, j) join gt using (video_id, clip_index, i) join pd using (video_id, clip_index, j) where cost < 2)
+"""
 
 
-@query("match_events")
+@query("match_events", EVENTS_SQL + "select video_id, clip_index, gt_id, pred_id, round(cost, 6) as cost from mt")
 def match_events(v):
-    return match.match_events(*sides(v), ["video_id", "clip_index"], "event_seq")
+    out = match.match_events(*sides(v), ["video_id", "clip_index"], "event_seq")
+    return out.withColumn("cost", F.round("cost", 6))
 
 
 @query("gt_clip_join", """
@@ -317,6 +332,45 @@ def event_match_cost(v):
     return match.event_match_costs(v["v_pred"], v["v_truth"]).withColumn("cost", F.round("cost", 6))
 
 
+def _queries_sql(with_frame: bool) -> str:
+    """CTEs up to qm: (sample_id, q, gt_id, cost) of the first optimal assignment of queries to truths."""
+    kind = ["action_class", "agent_track_id", "target_track_id", *(["event_frame_index"] if with_frame else [])]
+    terms = " ".join(_nll(f"p.{h}", f"t.{k}") for h, k in zip(("action", "agent_ptr", "target_ptr", "frame"), kind, strict=False))
+    cols = ", ".join(kind)
+    return f"""
+tr as materialized (select *, case when j > 0 and lag(({cols})) over (partition by sample_id order by j) = ({cols}) then j - 1 end as prev
+  from (select *, row_number() over (partition by sample_id order by {cols}, gt_id) - 1 as j from v_truth) t),
+qs as materialized (select sample_id, q, row_number() over (partition by sample_id order by q) as i from v_pred semi join v_truth using (sample_id)),
+qc as materialized (select p.sample_id, s.i, t.j, {terms} as cost, cast(round(cost * 1e9) as bigint) as ic
+  from v_pred p join qs s using (sample_id, q) join tr t using (sample_id)),
+{pairing("qp", "qs", "tr", "qc", "sample_id")},
+qm as materialized (select sample_id, q, gt_id, cost from qp join qs using (sample_id, i) join tr using (sample_id, j) join qc using (sample_id, i, j))
+"""
+
+
+QUERIES_SQL, QUERIES_FRAME_SQL = _queries_sql(False), _queries_sql(True)
+
+SLOTS_SQL = f"""
+ob as materialized (select *, case when j > 0 and lag(category_id) over (partition by sample_id order by j) = category_id then j - 1 end as prev
+  from (select *, row_number() over (partition by sample_id order by category_id, obj_idx) - 1 as j from v_truth_objects) t),
+sl as materialized (select sample_id, slot, row_number() over (partition by sample_id order by slot) as i from v_slots semi join v_truth_objects using (sample_id)),
+sc as materialized (select s.sample_id, l.i, o.j, -ln(greatest(exp(cast(cat_logits[o.category_id + 1] as double)) / list_sum(list_transform(cat_logits, lambda x: exp(cast(x as double)))), 1e-8))
+    - 0.5e0 * ln(greatest(existence, 1e-8)) as cost, cast(round(cost * 1e9) as bigint) as ic from v_slots s join sl l using (sample_id, slot) join ob o using (sample_id)),
+{pairing("sp", "sl", "ob", "sc", "sample_id")},
+sm as materialized (select sample_id, slot, obj_idx, cost from sp join sl using (sample_id, i) join ob using (sample_id, j) join sc using (sample_id, i, j))
+"""
+
+
+@query("match_queries", f"with recursive {QUERIES_SQL} select sample_id, q, gt_id, round(cost, 6) as cost from qm")
+def match_queries(v):
+    return match.match_queries(v["v_pred"], v["v_truth"]).withColumn("cost", F.round("cost", 6))
+
+
+@query("match_slots", f"with recursive {SLOTS_SQL} select sample_id, slot, obj_idx, round(cost, 6) as cost from sm")
+def match_slots(v):
+    return match.match_slots(v["v_slots"], v["v_truth_objects"]).withColumn("cost", F.round("cost", 6))
+
+
 _ARG = ", ".join(
     f"cast(list_position({h}, list_max({h})) - 1 as int) as {h}"
     for h in ("action", "agent_ptr", "target_ptr", "source_ptr", "dest_ptr", "frame")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipgraph.functions import arrays
-from clipgraph.operators import match, metrics
+from clipgraph.operators import metrics
+from clipgraph.plans.q_match import QUERIES_FRAME_SQL, QUERIES_SQL, SLOTS_SQL
 from clipgraph.plans.registry import query
 
 _AM = lambda c: f"cast(list_position({c}, list_max({c})) - 1 as int)"
@@ -34,9 +35,12 @@ def average_precision(v):
     return out.select(F.round("average_precision", 6).alias("average_precision"))
 
 
-@query("detection_labels")
+@query("detection_labels", f"""
+with recursive {QUERIES_SQL} select p.sample_id, p.q, round(1 / (1 + exp(-p.interaction)), 6) as score, case when m.q is null then 0.0e0 else 1.0e0 end as label
+from v_pred p left join qm m on m.sample_id = p.sample_id and m.q = p.q
+""")
 def detection_labels(v):
-    return metrics.detection_labels(v["v_pred"], v["v_truth"])
+    return metrics.detection_labels(v["v_pred"], v["v_truth"]).withColumn("score", F.round("score", 6))
 
 
 _ACTIVE = f"""
@@ -115,9 +119,26 @@ def metric_suite(v):
     return out.withColumn("value", F.round("value", 6))
 
 
-@query("metric_suite_all")
+@query("metric_suite_all", f"""
+with recursive {QUERIES_SQL},
+ap_r as (select row_number() over (order by -1 / (1 + exp(-p.interaction)), p.sample_id, p.q) as rank, case when m.q is null then 0.0e0 else 1.0e0 end as y
+  from v_pred p left join qm m on m.sample_id = p.sample_id and m.q = p.q),
+ap_c as (select rank, y, sum(y) over (order by rank rows unbounded preceding) as tp from ap_r),
+ap_p as (select rank, tp / (rank + 1e-8) * y as h, tp / ((select sum(y) from ap_r) + 1e-8) as rec from ap_c),
+ap_t as (select (rec - lag(rec) over (order by rank)) * (h + lag(h) over (order by rank)) / 2 as area from ap_p),
+act as materialized (select * from {_ACTIVE} a), tru as materialized (select * from {_TRUTH} b),
+pr2 as materialized (select a.action_class as a0, b.action_class as b0, a.agent_track_id as a1, b.agent_track_id as b1, a.target_track_id as a2, b.target_track_id as b2,
+  a.event_frame_index as a3, b.event_frame_index as b3 from act a join tru b on a.pos = b.pos),
+gp as (select distinct agent_track_id, action_class, target_track_id from act), gg as (select distinct agent_track_id, action_class, target_track_id from tru),
+gn as (select (select count(*) from gp) as np, (select count(*) from gg) as ng, (select count(*) from (select * from gp intersect select * from gg) i) as tp)
+select 'event_detection_map' as metric, round(coalesce(sum(area), 0), 6) as value from ap_t
+union all select 'action_accuracy', round(coalesce(avg(case when a0 = b0 then 1.0e0 else 0.0e0 end), 0), 6) from pr2
+union all select 'pointer_accuracy', round(coalesce(sum((case when a1 = b1 then 1.0e0 else 0.0e0 end) + (case when a2 = b2 then 1.0e0 else 0.0e0 end)), 0) / greatest(2 * count(*), 1), 6) from pr2
+union all select 'frame_mae', round(coalesce(avg(abs(a3 - b3)), 0), 6) from pr2
+union all select 'graph_f1', round(case when np = 0 and ng = 0 then 1 when tp = 0 then 0 else 2.0e0 * tp / (np + ng) end, 6) from gn
+""")
 def metric_suite_all(v):
-    return metrics.metric_suite(v["v_pred"], v["v_truth"])
+    return metrics.metric_suite(v["v_pred"], v["v_truth"]).withColumn("value", F.round("value", 6))
 
 
 @query("metric_inputs", f"""
@@ -128,9 +149,8 @@ def metric_inputs(v):
     return metrics.metric_inputs(v["v_pred"], v["v_truth"])
 
 
-@query("scoring_losses")
-def scoring_losses(v):
-    return metrics.scoring_losses(v["v_pred"], v["v_truth"])
+def _rounded_losses(out):
+    return out.select(*[F.round(c, 6).alias(c) for c in metrics.LOSS_WEIGHTS], "n_matched", F.round("total", 5).alias("total"))
 
 
 def _given_pairs(v):
@@ -153,15 +173,34 @@ select round(interaction, 6) as interaction, round(action, 6) as action, round(a
   round(2 * interaction + action + agent_ptr + target_ptr + 0.5 * source_ptr + 0.5 * dest_ptr + 0.5 * frame, 5) as total from i, h
 """)
 def scoring_losses_paired(v):
-    out = metrics.scoring_losses(v["v_pred"], v["v_truth"], matched=_given_pairs(v))
-    return out.select(
-        *[F.round(c, 6).alias(c) for c in metrics.LOSS_WEIGHTS], "n_matched", F.round("total", 5).alias("total")
-    )
+    return _rounded_losses(metrics.scoring_losses(v["v_pred"], v["v_truth"], matched=_given_pairs(v)))
 
 
-@query("slot_losses")
+@query("scoring_losses", f"""
+with recursive {QUERIES_FRAME_SQL},
+j as (select p.*, t.gt_id, t.action_class, t.agent_track_id, t.target_track_id, coalesce(t.source_track_id, 6) as src, coalesce(t.dest_track_id, 6) as dst, t.event_frame_index
+  from v_pred p left join qm on qm.sample_id = p.sample_id and qm.q = p.q left join v_truth t on t.sample_id = qm.sample_id and t.gt_id = qm.gt_id),
+i as (select avg(l) as interaction from (select sample_id, avg(greatest(interaction, 0) - interaction * (case when gt_id is null then 0 else 1 end) + ln(1 + exp(-abs(interaction)))) as l from j group by 1) s),
+h as (select {_ce('action', 'action_class')} as action, {_ce('agent_ptr', 'agent_track_id')} as agent_ptr, {_ce('target_ptr', 'target_track_id')} as target_ptr,
+  {_ce('source_ptr', 'src')} as source_ptr, {_ce('dest_ptr', 'dst')} as dest_ptr, {_ce('frame', 'event_frame_index')} as frame, count(*) as n_matched from j where gt_id is not null)
+select round(interaction, 6) as interaction, round(action, 6) as action, round(agent_ptr, 6) as agent_ptr, round(target_ptr, 6) as target_ptr, round(source_ptr, 6) as source_ptr,
+  round(dest_ptr, 6) as dest_ptr, round(frame, 6) as frame, n_matched,
+  round(2 * interaction + action + agent_ptr + target_ptr + 0.5 * source_ptr + 0.5 * dest_ptr + 0.5 * frame, 5) as total from i, h
+""")
+def scoring_losses(v):
+    return _rounded_losses(metrics.scoring_losses(v["v_pred"], v["v_truth"]))
+
+
+@query("slot_losses", f"""
+with recursive {SLOTS_SQL},
+j as (select s.*, o.category_id from v_slots s left join sm on sm.sample_id = s.sample_id and sm.slot = s.slot left join v_truth_objects o on o.sample_id = sm.sample_id and o.obj_idx = sm.obj_idx)
+select round((select sum(ln(list_sum(list_transform(cat_logits, lambda x: exp(cast(x as double))))) - cast(cat_logits[category_id + 1] as double)) from j where category_id is not null)
+    / greatest((select count(*) from v_truth_objects), 1), 6) as category,
+  round(avg(e), 6) as existence from (select sample_id, avg(-(case when category_id is null then ln(1 - existence) else ln(existence) end)) as e from j group by 1) x
+""")
 def slot_losses(v):
-    return metrics.slot_losses(v["v_slots"], v["v_truth_objects"])
+    out = metrics.slot_losses(v["v_slots"], v["v_truth_objects"])
+    return out.select(F.round("category", 6).alias("category"), F.round("existence", 6).alias("existence"))
 
 
 @query("slot_losses_paired", f"""
@@ -174,13 +213,3 @@ def slot_losses_paired(v):
     given = v["v_truth_objects"].select("sample_id", "obj_idx", F.col("obj_idx").alias("slot"))
     out = metrics.slot_losses(v["v_slots"], v["v_truth_objects"], matched=given)
     return out.select(F.round("category", 6).alias("category"), F.round("existence", 6).alias("existence"))
-
-
-@query("match_queries")
-def match_queries(v):
-    return match.match_queries(v["v_pred"], v["v_truth"])
-
-
-@query("match_slots")
-def match_slots(v):
-    return match.match_slots(v["v_slots"], v["v_truth_objects"])
