@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from clipgraph.llm.common import stored
 
 #: Bits of a digit of the radix sort, and rows of a block: a pass counts rows by (block, digit).
-DIGIT_BITS, BLOCK = 12, 1 << 20
+DIGIT_BITS, BLOCK = 9, 1 << 13
 
 # bytes of words as they are (A-Z in lower case), every other byte a space
 _WORD_BYTES = bytes(
