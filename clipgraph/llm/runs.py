@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from clipgraph.llm.common import without
 
 #: Words of texts that are taken apart side by side.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 17
 
 Run = tuple[int, int, int]  # start, length, period
 
@@ -152,12 +152,11 @@ def detect(df: DataFrame, text: str = "text", least: int = 24, repeats: int = 3)
 
     @F.pandas_udf("runs array<struct<start: long, length: long, period: long>>, start long, length long, period long, collapsed string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for texts in _batches((t or "").encode("utf-8", "surrogatepass").split() for batch in batches for t in batch):
             rows = []
-            for texts in _batches((t or "").encode("utf-8", "surrogatepass").split() for t in batch):
-                for words, runs in zip(texts, find_runs(texts, least, repeats), strict=True):
-                    kept = b" ".join(collapse(words, runs)).decode("utf-8", "surrogatepass")
-                    rows.append(([dict(zip(("start", "length", "period"), r, strict=True)) for r in runs], *(strongest(runs) or (None,) * 3), kept))
+            for words, runs in zip(texts, find_runs(texts, least, repeats), strict=True):
+                kept = b" ".join(collapse(words, runs)).decode("utf-8", "surrogatepass")
+                rows.append(([dict(zip(("start", "length", "period"), r, strict=True)) for r in runs], *(strongest(runs) or (None,) * 3), kept))
             out = pd.DataFrame(rows, columns=["runs", "start", "length", "period", "collapsed"])
             yield out.astype({"start": "Int64", "length": "Int64", "period": "Int64"})
 
