@@ -184,3 +184,28 @@ def validation_stats(checked: DataFrame, clips: DataFrame, extra_warnings: DataF
         F.round(F.coalesce(F.try_divide(lost, F.col("total_events_input")), F.lit(0.0)), 4).alias("discard_rate"),
         (F.col("_warned") + F.coalesce(F.col("_extra"), F.lit(0))).alias("total_warnings"),
     )
+
+
+def validation_stats_by(checked: DataFrame, clips: DataFrame, by: list[str], resorted: DataFrame | None = None) -> DataFrame:
+    """The totals of ``validation_stats`` for each group of ``by``.
+
+    ``clips`` has one row an annotation, ``resorted`` one row an annotation whose events were out of order.
+    All rows meet in one aggregation; groups without events have zeros.
+    """
+    zero = {c: F.lit(0).cast("bigint") for c in ("annotations", "events", "kept", "warned")}
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select(*by, *[given.get(c, z).cast("bigint").alias(f"_{c}") for c, z in zero.items()])
+
+    one = F.lit(1)
+    parts = rows(clips, annotations=one).unionByName(
+        rows(checked, events=one, kept=F.col("keep").cast("int"), warned=F.size("warnings")))
+    if resorted is not None:
+        parts = parts.unionByName(rows(resorted, warned=one))
+    sums = parts.groupBy(*by).agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in zero])
+    lost = F.col("_events") - F.col("_kept")
+    return sums.select(
+        *by, F.col("_annotations").alias("total_annotations"), F.col("_events").alias("total_events_input"),
+        F.col("_kept").alias("total_events_output"), lost.alias("total_events_discarded"),
+        F.round(F.coalesce(F.try_divide(lost, F.col("_events")), F.lit(0.0)), 4).alias("discard_rate"), F.col("_warned").alias("total_warnings"),
+    )

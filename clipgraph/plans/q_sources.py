@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from clipgraph.functions import arrays
-from clipgraph.operators import compact, ordering, windows
+from clipgraph.functions import arrays, times
+from clipgraph.operators import compact, ordering, validate, windows
+from clipgraph.plans.q_scalar import ACTION_RULES, VALIDATED, action_rules
 from clipgraph.plans.registry import query
 from clipgraph.session import checkpoint_dir
-from clipgraph.sources import annotations, datasets, inventory
+from clipgraph.sources import annotations, datasets, inventory, vocabulary
+from clipgraph.sources import compact_docs as codec
 from clipgraph.vocab import vocab_from_table
 
 
@@ -119,6 +121,92 @@ def write_annotation_docs(v):
     )
 
 
+_RUNS = """
+(select video_id, string_agg(concat(a, '/', b), ',' order by first) as ranges from (
+  select video_id, min(clip_index) as first, strftime(timestamp '2026-01-01 12:00:00' + to_microseconds(cast(min(frame_indices[1]) * 50000 as bigint)), '%Y-%m-%dT%H:%M:%S') as a,
+    strftime(timestamp '2026-01-01 12:00:00' + to_microseconds(cast(max(frame_indices[16]) * 50000 as bigint)), '%Y-%m-%dT%H:%M:%S') as b
+  from (select *, place - row_number() over (partition by video_id order by clip_index) as run
+        from (select *, row_number() over (partition by video_id order by clip_index) as place from v_doc_clips) p where status = 'motion_filtered') q group by video_id, run) r group by video_id)
+"""
+
+
+@query("annotation_docs", f"""
+select cast(c.video_id as varchar) as video_id, concat('/videos/', c.video_id, '.mp4') as video_path, 20.0e0 as source_fps, cast(72000 + c.video_id as int) as total_frames,
+  round_even((72000 + c.video_id) / 20.0e0, 1) as duration_sec, concat('2026-01-01T12:00:00 ~ ', strftime(timestamp '2026-01-01 12:00:00' + to_microseconds(cast((72000 + c.video_id) * 50000::bigint as bigint)), '%Y-%m-%dT%H:%M:%S')) as time_range,
+  cast(count(*) as int) as total_clips, cast(count(*) filter (where status = 'annotated') as int) as annotated_clips, cast(count(*) filter (where status = 'motion_filtered') as int) as motion_filtered_clips,
+  cast(count(*) filter (where exists (select 1 from v_doc_events e where e.video_id = c.video_id and e.clip_index = c.clip_index)) as int) as clips_with_events, coalesce(any_value(r.ranges), '') as ranges,
+  cast(any_value(s.a) as int) as total_annotations, cast(any_value(s.n) as int) as total_events_input, cast(any_value(s.k) as int) as total_events_output, cast(any_value(s.n - s.k) as int) as total_events_discarded,
+  any_value(round((s.n - s.k) / s.n, 4)) as discard_rate, cast(any_value(s.w) as int) as total_warnings
+from v_doc_clips c left join {_RUNS} r on r.video_id = c.video_id
+left join (select clip_id, 1 as a, count(*) as n, count(*) filter (where keep) as k, sum(case when warnings = '' then 0 else len(string_split(warnings, '; ')) end)
+    + max(case when keep and before > frame then 1 else 0 end) as w
+  from (select *, lag(frame) over (partition by clip_id, keep order by event_seq) as before from ({VALIDATED}) x) y group by clip_id) s on s.clip_id = c.video_id
+group by c.video_id
+""")
+def annotation_docs(v):
+    """Whole documents, written and read back: users are videos of an hour at 20 fps, validated as one annotation each."""
+    clips, objects, events = doc_rows(v)
+    start = F.lit("2026-01-01 12:00:00").cast("timestamp_ntz")
+    first, last = F.get("frame_indices", F.lit(0)) / 20.0, F.element_at("frame_indices", -1) / 20.0
+    timed = clips.withColumns({
+        "start_offset_sec": F.round(first, 3), "end_offset_sec": F.round(last, 3),
+        "start_time": times.offset_to_iso(start, first), "end_time": times.offset_to_iso(start, last)})
+    users = clips.select("video_id").distinct()
+    frames = (F.lit(72000) + F.col("video_id")).cast("int")
+    videos = users.select(
+        "video_id", F.format_string("/videos/%d.mp4", "video_id").alias("video_path"), start.alias("start_ts"), F.lit(20.0).alias("source_fps"),
+        F.lit(1.0).alias("target_fps"), frames.alias("total_frames"), times.duration_sec(frames, F.lit(20.0)).alias("duration_sec"))
+    checked = validate.validate_events(v["v_ann_events"], v["v_ann_objects"], action_rules(v), "clip_id")
+    resorted = validate.order_events(checked.where("keep").select("clip_id", "frame", "event_seq"), "clip_id", "frame", "event_seq")
+    moved = resorted.where("resorted").select("clip_id").distinct()
+    stats = validate.validation_stats_by(checked, v["v_ann_events"].select("clip_id").distinct(), ["clip_id"], moved)
+    docs = annotations.annotation_documents(timed, objects, events, "event_seq", videos, stats.withColumnRenamed("clip_id", "video_id"))
+    path = _folder(v, "documents")
+    annotations.write_annotation_docs(docs, path)
+    read = annotations.scan_annotations(v.spark, path, multi_line=False)
+    ranges = F.array_join(F.transform("coverage.motion_filtered_ranges", lambda r: F.concat(r["start"], F.lit("/"), r["end"])), ",")
+    return read.select(
+        "video_id", "video_path", "video_metadata.source_fps", "video_metadata.total_frames", "video_metadata.duration_sec", "coverage.time_range",
+        *[f"coverage.{c}" for c in ("total_clips", "annotated_clips", "motion_filtered_clips", "clips_with_events")], ranges.alias("ranges"), "validation_stats.*")
+
+
+@query("ordered_ids", """
+select split, row_number() over (partition by split order by sample_id) - 1 as pos, sample_id from (
+  select sample_id, case when pos < floor(n * 0.8e0) then 'train' when pos < floor(n * 0.8e0) + floor(n * 0.1e0) then 'val' else 'test' end as split
+  from (select sample_id, row_number() over (order by md5(concat(sample_id, '|42')), sample_id) - 1 as pos, (select count(*) from documents) as n from v_samples) s) t
+""")
+def ordered_ids(v):
+    """Three sorted id lists, read back with each id's place."""
+    path = _folder(v, "ids")
+    split = ordering.seeded_split(v["v_samples"].select("sample_id"), "sample_id")
+    datasets.write_ordered_ids(split, path, "sample_id")
+    return datasets.read_ordered_ids(v.spark, path, "sample_id")
+
+
+@query("vocab_files", f"""
+select 'category' as part, p_type as name, cast(row_number() over (order by p_type) - 1 as int) as id, false as requires_source, false as requires_destination, count(*) as n from part group by p_type
+union all select 'action', r.action, cast(r.action_id as int), r.requires_source, r.requires_destination, (select count(*) from v_ann_events e where e.action = r.action) from {ACTION_RULES} r
+""")
+def vocab_files(v):
+    """Vocabularies of the tables, written as a file, loaded from it and joined to the rows that use them."""
+    types = v["part"].groupBy().agg(F.sort_array(F.collect_set("p_type")).alias("categories"))
+    rules = action_rules(v).select("action_id", F.col("action").alias("name"), "requires_source", "requires_destination")
+    actions = rules.groupBy().agg(F.sort_array(F.collect_list(F.struct("action_id", "name", "requires_source", "requires_destination"))).alias("actions"))
+    whole = types.select(F.to_json(F.struct("categories", actions.scalar().alias("actions"))).alias("value"))
+    path = f"{_folder(v, 'vocabulary')}.json"
+    whole.coalesce(1).write.text(path)
+    (file,) = v.spark.read.text(path).select(F.col("_metadata.file_path").alias("path")).first()
+    known = vocabulary.load(v.spark, file.replace("file:///", "/"), "category").where("category <> 'unknown'")
+    used = v["part"].groupBy(F.col("p_type").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    a = known.join(used, "category", "left").select(
+        F.lit("category").alias("part"), F.col("category").alias("name"), F.col("category_id").alias("id"), F.lit(False).alias("requires_source"),
+        F.lit(False).alias("requires_destination"), "n")
+    done = v["v_ann_events"].groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+    b = vocabulary.load(v.spark, file.replace("file:///", "/"), "action").join(done, "action", "left").select(
+        F.lit("action").alias("part"), F.col("action").alias("name"), F.col("action_id").alias("id"), "requires_source", "requires_destination", "n")
+    return a.unionByName(b)
+
+
 @query("write_splits", """
 select sample_id, case when pos < floor(n * 0.8e0) then 'train' when pos < floor(n * 0.8e0) + floor(n * 0.1e0) then 'val' else 'test' end as split
 from (select sample_id, row_number() over (order by md5(concat(sample_id, '|42')), sample_id) - 1 as pos, (select count(*) from documents) as n from v_samples) s
@@ -286,15 +374,70 @@ def roundtrip_check(v):
     return compact.roundtrip_differences(before, after, columns).agg(F.count(F.lit(1)).alias("n_differences"))
 
 
-@query("compression_ratio")
+def _documents_in_sql(clip: str) -> str:
+    return f"(select video_id, string_agg({clip}, ',' order by clip_index) as body from cl group by video_id)"
+
+
+# The two texts put together by hand: all values are numbers or names without marks.
+_TEXTS = f"""
+q as (select *, concat('"', obj_id, '"') as qo from v_doc_objects),
+d as (select video_id, obj_id, arg_min(category, clip_index * 1000 + obj_pos) as cat from v_doc_objects group by 1, 2),
+pf as (select video_id, profile, profile_id from {_PROFILES} p),
+ob as (select q.video_id, q.clip_index, string_agg(concat('{{"obj_id":', qo, ',"category":"', category, '","first_seen_frame":', first_seen_frame, ',"attributes":{{"color":', coalesce('"' || color || '"', 'null'),
+      ',"material":', coalesce('"' || material || '"', 'null'), '}}}}'), ',' order by obj_pos) as full_o,
+    string_agg(concat('[', qo, ',', first_seen_frame, ',', profile_id, case when category <> cat then concat(',"', category, '"') else '' end, ']'), ',' order by obj_pos) as short_o
+  from q join d on d.video_id = q.video_id and d.obj_id = q.obj_id
+  join pf on pf.video_id = q.video_id and pf.profile = concat_ws(',', case when color is not null then concat('color=', color) end, case when material is not null then concat('material=', material) end)
+  group by 1, 2),
+ev as (select video_id, clip_index, string_agg(concat('{{"event_id":"', event_id, '","frame":', frame, ',"action":"', action, '","agent":"', agent, '","target":', coalesce('"' || target || '"', 'null'),
+      ',"source":null,"destination":', coalesce('"' || destination || '"', 'null'), '}}'), ',' order by event_seq) as full_e,
+    string_agg(concat('["', event_id, '",', frame, ',"', action, '","', agent, '"', case when destination is not null then concat(',', coalesce('"' || target || '"', 'null'), ',null,"', destination, '"')
+      when target is not null then concat(',"', target, '"') else '' end, ']'), ',' order by event_seq) as short_e
+  from v_doc_events group by 1, 2),
+cl as (select c.video_id, c.clip_index, c.status, concat('[', array_to_string(c.frame_indices, ','), ']') as fr, i.frame_indices is not null as odd, coalesce(full_o, '') as full_o, short_o, coalesce(full_e, '') as full_e, short_e
+  from v_doc_clips c left join ob on ob.video_id = c.video_id and ob.clip_index = c.clip_index left join ev on ev.video_id = c.video_id and ev.clip_index = c.clip_index
+  left join {_IRREGULAR} i on i.video_id = c.video_id and i.clip_index = c.clip_index),
+fullt as (select video_id, concat('{{"video_id":"', video_id, '","num_clips":', (select count(*) from v_doc_clips c where c.video_id = f.video_id), ',"clips":[', body, ']}}') as t from {_documents_in_sql("""concat('{"objects":[', full_o, '],"events":[', full_e,
+      '],"clip_metadata":{"clip_index":', clip_index, ',"frame_indices":', fr, ',"start_time":null,"end_time":null,"start_offset_sec":null,"end_offset_sec":null,"status":"', status, '"}}')""")} f),
+shortt as (select f.video_id, concat('{{"format_version":1,"video_id":"', f.video_id, '","video_path":null,"video_metadata":null,"coverage":null,"num_clips":', (select count(*) from v_doc_clips c where c.video_id = f.video_id),
+    ',"validation_stats":null,"frame_index_params":{{"step":', p.step, ',"stride":', p.stride, ',"length":16}},"object_defs":{{', coalesce(dd.t, ''), '}},"attribute_profiles":[', coalesce(pp.t, ''), '],"clips":[', body, ']}}') as t
+  from {_documents_in_sql("""concat('{"i":', clip_index, ',"s":"', left(status, 1), '"', coalesce(',"o":[' || short_o || ']', ''), coalesce(',"e":[' || short_e || ']', ''), case when odd then concat(',"fi":', fr) else '' end, '}')""")} f
+  left join (select video_id, max(case when rn = 1 then frame_indices[2] - frame_indices[1] end) as step, max(case when rn = 2 then frame_indices[1] end) - max(case when rn = 1 then frame_indices[1] end) as stride
+    from (select *, row_number() over (partition by video_id order by clip_index) as rn from v_doc_clips) r where rn <= 2 group by video_id) p on p.video_id = f.video_id
+  left join (select video_id, string_agg(concat('"', obj_id, '":"', cat, '"'), ',' order by obj_id) as t from d group by 1) dd on dd.video_id = f.video_id
+  left join (select video_id, string_agg(concat('{{', case when profile = '' then '' else concat('"', replace(replace(profile, '=', '":"'), ',', '","'), '"') end, '}}'), ',' order by profile_id) as t from pf group by 1) pp on pp.video_id = f.video_id)
+"""
+
+
+@query("compact_document", f"with {_TEXTS} select cast(video_id as varchar) as video_id, t as value from shortt")
+def compact_document(v):
+    """Compact documents as they are written, read as plain text."""
+    path = _folder(v, "compact")
+    codec.write(codec.encode(documents(v)), path)
+    text = v.spark.read.text(path)
+    return text.select(F.get_json_object("value", "$.video_id").alias("video_id"), "value")
+
+
+@query("expand_document", "select cast(video_id as varchar) as video_id, clip_index, obj_pos, obj_id, category, first_seen_frame, color, material, 7 as n_axes from v_doc_objects")
+def expand_document(v):
+    """Objects of compact documents that were written and read back."""
+    path = _folder(v, "compact")
+    codec.write(codec.encode(documents(v)), path)
+    docs = codec.decode(codec.read(v.spark, path))
+    objects = annotations.explode_objects(annotations.explode_clips(docs))
+    return objects.select(
+        "video_id", "clip_index", "obj_pos", "obj_id", "category", "first_seen_frame", F.element_at("attributes", "color").alias("color"),
+        F.element_at("attributes", "material").alias("material"), F.size("attributes").alias("n_axes"))
+
+
+@query("compression_ratio", f"""
+with {_TEXTS} select a.video_id, octet_length(encode(a.t)) as before, octet_length(encode(b.t)) as after, round(100.0e0 * (octet_length(encode(a.t)) - octet_length(encode(b.t))) / octet_length(encode(a.t)), 3) as saved_pct
+from fullt a join shortt b on a.video_id = b.video_id
+""")
 def compression_ratio(v):
-    """JSON bytes of each video before and after compaction, and the percentage saved."""
-    full = annotations.to_json(documents(v)).groupBy("video_id").agg(F.sum(F.octet_length("value")).alias("before"))
-    after = None
-    for df in compacted(v).values():
-        body = [c for c in df.columns if c != "video_id"]
-        size = df.groupBy("video_id").agg(F.sum(F.octet_length(F.to_json(F.struct(*body)))).alias("n"))
-        after = size if after is None else after.unionByName(size)
-    both = full.join(after.groupBy("video_id").agg(F.sum("n").alias("after")), "video_id")
+    """Bytes of each annotation document before and after compaction, and the percentage saved."""
+    docs = documents(v)
+    full = annotations.to_json(docs).select("video_id", F.octet_length("value").cast("bigint").alias("before"))
+    short = codec.encode(docs).select("video_id", F.octet_length("value").cast("bigint").alias("after"))
     b, a, saved = compact.compression(F.col("before"), F.col("after"))
-    return both.select("video_id", b.alias("before"), a.alias("after"), F.round(saved, 1).alias("saved_pct"))
+    return full.join(short, "video_id").select("video_id", b.alias("before"), a.alias("after"), F.round(saved, 3).alias("saved_pct"))
