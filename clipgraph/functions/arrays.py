@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,9 +53,24 @@ def csv(a: Column) -> Column:
     return F.array_join(a.cast("array<string>"), ",", "null")
 
 
-def mean_vector(vec: str, dim: int) -> Column:
-    """Element-wise mean of ``array`` column ``vec`` as one aggregate of ``dim`` running means.
+#: Dimensions that one row of a vector aggregate holds.
+VECTOR_BLOCK = 16
+
+
+def vector_aggregate(
+    rows: DataFrame, keys: list[str], vec: str, dim: int, item: Callable[[Column], Column], name: str, **others: Column,
+) -> DataFrame:
+    """(keys, name, others): the aggregate ``item`` of each of the first ``dim`` dimensions per key.
 
-    Only ``dim`` sums and counts per group cross the shuffle; no vector is collected.
+    A row is taken apart into blocks of ``VECTOR_BLOCK`` dimensions inside one generated loop, so an
+    aggregate has that many buffers whatever the width; only sums of blocks cross the shuffle, and no
+    vector is collected. ``others`` are further aggregates of the rows of a key. Dimensions that a
+    vector lacks are null for ``item``.
     """
-    return F.array(*[F.avg(F.get(F.col(vec), F.lit(i)).cast("double")) for i in range(dim)])
+    blocks = -(-dim // VECTOR_BLOCK)
+    cut = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    values = [F.get(F.col(vec), F.col("_b") * VECTOR_BLOCK + i).cast("double") for i in range(VECTOR_BLOCK)]
+    sums = cut.groupBy(*keys, "_b").agg(*[item(x).alias(f"_v{i}") for i, x in enumerate(values)], *[c.alias(n) for n, c in others.items()])
+    entry = F.struct("_b", F.array(*[f"_v{i}" for i in range(VECTOR_BLOCK)]).alias("v"))
+    whole = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_all"), *[F.first(n).alias(n) for n in others])
+    return whole.select(*keys, F.slice(F.flatten(F.transform("_all", lambda x: x["v"])), 1, dim).alias(name), *others)

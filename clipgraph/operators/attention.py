@@ -130,6 +130,6 @@ def slot_similarity(attn: DataFrame) -> DataFrame:
 def weighted_pooling(attn: DataFrame, tokens: DataFrame, token_key: list[str], vec: str, dim: int, group: list[str]) -> DataFrame:
     """Attention-weighted mean of token vectors per group: sum(w*x) / (sum(w) + 1e-8)."""
     joined = attn.join(tokens.select(*token_key, vec), token_key)
-    sums = [F.sum(F.col("w") * F.get(F.col(vec), F.lit(i)).cast("double")) for i in range(dim)]
-    weight = F.sum("w") + F.lit(1e-8)
-    return joined.groupBy(*group).agg(F.array(*[s / weight for s in sums]).alias("pooled"))
+    sums = arrays.vector_aggregate(joined, group, vec, dim, lambda x: F.sum(F.col("w") * x), "_sums", _w=F.sum("w"))
+    weight = F.col("_w") + F.lit(1e-8)
+    return sums.withColumn("_w", weight).select(*group, F.transform("_sums", lambda s: s / F.col("_w")).alias("pooled"))

@@ -74,23 +74,27 @@ def track_pairs(features: DataFrame, video: str = "video_id", t: str = "t_idx",
 
 
 def gather_windows(
-    rows: DataFrame, keys: list[str], values: list[str], n_frames: int, length: int, stride: int, t: str = "t_idx"
+    rows: DataFrame, keys: list[str], values: list[str], n_frames: int | str, length: int, stride: int, t: str = "t_idx"
 ) -> DataFrame:
     """Dense ``length`` x ``len(values)`` matrix per (keys, clip), zero where a frame has no row.
 
-    Every key gets every window (at least one), also those it is absent from. A group holds
-    at most ``length`` rows because (keys, t) is unique.
+    ``n_frames`` is the frame count of every video, or the column that holds it, equal in all rows of a key. Every key gets
+    every window of its video (at least one), also those it is absent from; rows at or beyond its end are in none. A group
+    holds at most ``length`` rows because (keys, t) is unique.
     """
-    n_clips = window_count(F.lit(n_frames), length, stride, "at_least_one")
+    total = F.lit(n_frames) if isinstance(n_frames, int) else F.col(n_frames).cast("int")
+    rows = rows.where(F.col(t) < total)
+    n_clips = window_count(total, length, stride, "at_least_one")
     vec = F.array(*[F.col(c).cast("double") for c in values])
     placed = clip_membership(rows.withColumn("_vec", vec), t, n_clips, length, stride)
     local = F.col(t) - F.col("clip_index") * stride
     filled = placed.groupBy(*keys, "clip_index").agg(
         F.map_from_entries(F.collect_list(F.struct(local.alias("t"), F.col("_vec")))).alias("_by_t")
     )
-    every = rows.select(*keys).distinct().withColumn("clip_index", F.explode(F.sequence(F.lit(0), n_clips - 1)))
+    ends = rows.groupBy(*keys).agg(F.max(total).alias("_total"))
+    every = ends.withColumn("clip_index", F.explode(F.sequence(F.lit(0), window_count(F.col("_total"), length, stride, "at_least_one") - 1)))
     zeros = F.array(*[F.lit(0.0) for _ in values])
-    win = F.least(F.lit(length), F.lit(n_frames) - F.col("clip_index") * stride)
+    win = F.least(F.lit(length), F.col("_total") - F.col("clip_index") * stride)
     matrix = F.transform(F.sequence(F.lit(0), win - 1), lambda i: F.coalesce(F.element_at("_by_t", i), zeros))
     return every.join(filled, [*keys, "clip_index"], "left").select(*keys, "clip_index", matrix.alias("matrix"))
 
@@ -129,7 +133,7 @@ def separation_scores(detections: DataFrame, cell: float = 256.0) -> DataFrame:
 
 def mean_embedding(rows: DataFrame, keys: list[str], vec: str, dim: int) -> DataFrame:
     """Element-wise mean vector and row count per key."""
-    return rows.groupBy(*keys).agg(arrays.mean_vector(vec, dim).alias("embedding"), F.count(F.lit(1)).alias("n"))
+    return arrays.vector_aggregate(rows, keys, vec, dim, F.avg, "embedding", n=F.count(F.lit(1)))
 
 
 def category_ids(detections: DataFrame, video: str = "video_id", track: str = "track_id", t: str = "frame_index") -> DataFrame:

@@ -36,7 +36,22 @@ def stream_static_ranges(v):
     return out.select("user_id", text("first_ts"), text("last_ts"), "n")
 
 
-@query("stream_nms")
+# As the batch form, but an event waits while a better one may still come or waits itself: of frames before the watermark all is there.
+@query("stream_nms", """
+with recursive h as (select floor((epoch(max(ts)) - 3600 - 1704067200) / 21600) as horizon from events),
+e as (select *, cast((extract(day from ts) - 1) * 4 + floor(extract(hour from ts) / 6) as int) as fr,
+    row_number() over (partition by video_id, action, agent_track_id, target_track_id order by confidence desc, event_seq) as rn
+  from (select event_id as event_seq, concat('v', user_id % 5) as video_id, event_type as action, cast(user_id % 30 as int) as agent_track_id,
+    cast(regexp_extract(props, '[0-9]+', 0) as int) % 10 as target_track_id, ts, value / (value + 50e0) as confidence from events) x),
+n as (select e.*, cast([] as int[]) as kept, cast([] as int[]) as waiting, -1 as state, cast(0 as bigint) as place from e where rn = 1
+  union all
+  select o.*, case when d = 1 then list_append(n.kept, o.fr) else n.kept end, case when d = -1 then list_append(n.waiting, o.fr) else n.waiting end, d, n.place + 1
+  from n join e o on o.video_id = n.video_id and o.action = n.action and o.agent_track_id = n.agent_track_id
+    and o.target_track_id = n.target_track_id and o.rn = n.place + 1,
+  lateral (select case when len(list_filter(n.kept, lambda k: abs(k - o.fr) <= 3)) > 0 then 0
+    when o.fr + 3 < (select horizon from h) and len(list_filter(n.waiting, lambda k: abs(k - o.fr) <= 3)) = 0 then 1 else -1 end as d) s)
+select video_id, action, agent_track_id, target_track_id, event_seq, fr as frame, round(confidence, 6) as confidence from n where place > 0 and state = 1
+""")
 def stream_nms(v):
     """Suppression over the event stream; frames are the 6-hour steps of January 2024."""
     k = F.regexp_extract("props", "[0-9]+", 0).cast("int")
@@ -48,7 +63,8 @@ def stream_nms(v):
     )
     keys = ["video_id", "action", "agent_track_id", "target_track_id"]
     jan = 1704067200.0  # epoch second of 2024-01-01
-    return jobs.run_available(jobs.suppress_duplicates(stream, keys, "ts", (jan, 21600.0), "1 hour"), v.spark, "nms")
+    out = jobs.run_available(jobs.suppress_duplicates(stream, keys, "ts", (jan, 21600.0), "1 hour"), v.spark, "nms")
+    return out.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("sql_functions", """

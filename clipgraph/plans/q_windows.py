@@ -109,6 +109,22 @@ def temporal_deltas(v):
 _GEO = ["cx", "cy", "w", "h", "area", "dcx", "dcy", "darea", "velocity"]
 
 
+@query("window_gather_lengths", f"""
+with f as (select f.*, 5 + video_id % 12 as nf from {FEATURES} f where t_idx < 5 + video_id % 12)
+select p.video_id, p.track_id, p.clip_index, cast(least(8, p.nf - p.clip_index * 4) as int) as n_rows, count(f.t_idx) as n_present, round(coalesce(sum(f.cx), 0), 5) as cx
+from (select video_id, track_id, nf, cast(unnest(range(cast(ceil(greatest(1, nf - 7) / 4.0e0) as int))) as int) as clip_index from (select distinct video_id, track_id, nf from f) d) p
+left join f on f.video_id = p.video_id and f.track_id = p.track_id and f.t_idx >= p.clip_index * 4 and f.t_idx < p.clip_index * 4 + 8
+group by p.video_id, p.track_id, p.clip_index, p.nf
+""")
+def window_gather_lengths(v):
+    """Videos of 5 to 16 frames, each with the windows of its own length."""
+    long = features(v).withColumn("n_frames", 5 + F.col("video_id") % 12)
+    packed = tracks.gather_windows(long, ["video_id", "track_id"], tracks.GEOMETRY, "n_frames", 8, 4)
+    total = lambda i: F.aggregate("matrix", F.lit(0.0), lambda acc, row: acc + F.get(row, F.lit(i)))
+    return packed.select(
+        "video_id", "track_id", "clip_index", F.size("matrix").alias("n_rows"), total(7).cast("bigint").alias("n_present"), F.round(total(0), 5).alias("cx"))
+
+
 @query("window_gather", f"""
 select p.video_id, p.track_id, p.clip_index, count(f.t_idx) as n_present,
   coalesce(string_agg(cast(f.t_idx - p.clip_index * 4 as varchar), ',' order by f.t_idx), '') as present,
@@ -224,6 +240,27 @@ def motion_filter(v):
     return motion.annotate_moving(prompts, ["clip_id"], 28.5, _stub).select("clip_id", "inferred", "raw", "error")
 
 
+class _StubClient:
+    """A model that turns prompts round; every tenth clip has no answer."""
+
+    def __call__(self, request: dict) -> str:
+        if request["clip_index"] % 10 == 7:
+            raise RuntimeError("no answer")
+        return f"{request['user_prompt'][::-1]} of {len(request['frames'])}"
+
+
+@query("annotate_batches", """
+select video_id, clip_index, case when clip_index % 10 <> 7 then concat(reverse(concat('clip ', clip_index)), ' of 2') end as raw,
+  case when clip_index % 10 = 7 then 'no answer' end as error from v_ann_clips where n_events + n_objects > 0
+""")
+def annotate_batches(v):
+    moving = v["v_ann_clips"].where("n_events + n_objects > 0")
+    prompts = moving.withColumns({
+        "user_prompt": F.concat(F.lit("clip "), F.col("clip_index").cast("string")),
+        "frames": F.array(*[F.encode(F.concat(F.lit(f"{k}:"), F.col("clip_index").cast("string")), "utf-8") for k in range(2)])})
+    return motion.annotate_batches(prompts, ["video_id", "clip_index"], _StubClient, ["clip_index", "user_prompt", "frames"], most=4)
+
+
 @query("annotate_clips", """
 select video_id, clip_index, case when clip_index % 10 <> 7 then reverse(concat('clip ', clip_index)) end as raw,
   case when clip_index % 10 = 7 then 'no answer' end as error from v_ann_clips where n_events + n_objects > 0

@@ -39,24 +39,18 @@ def settle_events(
     one within ``distance`` and no better one can still come; its neighbours are dropped.
     """
     state = np.full(len(frames), -1)
-    order = np.lexsort((seq, -conf))
-    kept = list(kept_before)
-    changed = True
-    while changed:
-        changed = False
-        blocked: list[int] = []
-        for i in order:
-            if state[i] >= 0:
-                continue
-            if any(abs(frames[i] - k) <= distance for k in kept):
-                state[i] = 0
-                changed = True
-            elif frames[i] + distance < horizon and not any(abs(frames[i] - frames[j]) <= distance for j in blocked):
-                state[i] = 1
-                kept.append(frames[i])
-                changed = True
-            else:
-                blocked.append(i)
+    kept, blocked = set(kept_before.tolist()), set()
+    # in falling order no later decision touches an earlier one, and only the frames around an event are looked up
+    for i in np.lexsort((seq, -conf)).tolist():
+        f = int(frames[i])
+        near = range(f - distance, f + distance + 1)
+        if not kept.isdisjoint(near):
+            state[i] = 0
+        elif f + distance < horizon and blocked.isdisjoint(near):
+            state[i] = 1
+            kept.add(f)
+        else:
+            blocked.add(f)
     return state
 
 
@@ -96,8 +90,9 @@ def suppress_duplicates(
         kept = still_needed([*kept, *f[go].tolist()], float(horizon), f[rest].tolist(), distance)
         if rest.any() or kept:
             state.update((f[rest].astype(int).tolist(), c[rest].tolist(), s[rest].tolist(), kept))
-            newest = int(f[rest].max()) if rest.any() else max(kept)
-            wake = int((zero + (newest + distance + 2) * per_frame) * 1000)
+            # called again when the next open event can be decided, or when the last kept frame can suppress nothing more
+            next_ = int(f[rest].min()) if rest.any() else max(kept) + distance
+            wake = int((zero + (next_ + distance + 1) * per_frame) * 1000)
             state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
         elif state.exists:
             state.remove()
