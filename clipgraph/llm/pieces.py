@@ -26,7 +26,9 @@ from clipgraph.llm.common import without
 #: The character that stands for a space inside pieces. Fixed value of the vocabulary format.
 SPACE = "▁"
 #: Parts whose pieces a task remembers before it starts anew, and characters of the longest one that it remembers.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 300_000, 48
+#: Characters of texts that are split and merged side by side.
+TOGETHER = 1 << 20
 
 codecs.register_error("one_by_one", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -104,6 +106,18 @@ class Vocabulary:
         self.pairs = {piece[i:i + 2] for piece in self.ids for i in range(len(piece) - 1)}
         apart = not any(p[0] != SPACE and p[1] == SPACE for p in self.pairs)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if apart else "(?s).+")
+        # the same in arrays: pieces by score, equal scores of equal rank, and the piece that two neighbours make
+        by_score = sorted(self.ids, key=lambda piece: (self.scores[piece], piece))
+        at = {piece: k for k, piece in enumerate(by_score)}
+        made = sorted(
+            (at[p[:i]] << 32 | at[p[i:]], k) for p, k in at.items() for i in range(1, len(p)) if p[:i] in at and p[i:] in at)
+        self.pair_keys, self.pair_goal = (np.array([x[k] for x in made], np.int64) for k in (0, 1))
+        self.rank = np.append(np.unique([self.scores[p] for p in by_score], return_inverse=True)[1], -1)  # -1: nothing to merge
+        self.number = np.array([self.ids[p] for p in by_score], "<u4")
+        self.letter = np.full(0x110000, -1, np.int32)
+        for piece, k in at.items():
+            if len(piece) == 1:
+                self.letter[ord(piece)] = k
         self.opens = {number for piece, number in self.ids.items() if piece.startswith(SPACE)}
         self.silent = {number for number, s in enumerate(self.surface) if not s}
         self.first, self.last = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
@@ -140,6 +154,62 @@ class Vocabulary:
             out += [number] if number is not None else [self.bytes[b] for b in symbol.encode()]
         return out
 
+    def _goals(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each two neighbours make, -1 for none."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (left >= 0), self.pair_goal[at], -1)
+
+    def merge_rows(self, parts: list[str]) -> list[bytes]:
+        """Packed numbers of many short parts, merged side by side: the agenda of a part is one row of an array.
+
+        In a round every part of one length takes the best pair off its row, the leftmost of equal ones.
+        """
+        out: list[bytes] = [b""] * len(parts)
+        by_size: dict[int, list[int]] = {}
+        for k, part in enumerate(parts):
+            by_size.setdefault(len(part), []).append(k)
+        for size, members in by_size.items():
+            text = "".join([parts[k] for k in members]).encode("utf-32-le", "surrogatepass")
+            codes = np.frombuffer(text, "<u4").reshape(-1, size).astype(np.int64)
+            known = self.letter[codes].astype(np.int64)
+            symbols = np.where(known >= 0, known, -1 - codes)  # characters without a piece are below zero
+            goals = self._goals(symbols[:, :-1], symbols[:, 1:])
+            live = np.array(members)
+            while True:
+                score = self.rank[goals]
+                first = score.argmax(1) if goals.shape[1] else np.zeros(len(live), np.int64)
+                rows = np.arange(len(live))
+                more = score[rows, first] >= 0 if goals.shape[1] else np.zeros(len(live), bool)
+                self._pack(symbols[~more], live[~more].tolist(), out)
+                if not more.any():
+                    break
+                symbols, goals, live, first = symbols[more], goals[more], live[more], first[more]
+                rows = np.arange(len(live))
+                symbols[rows, first] = goals[rows, first]
+                take = np.arange(symbols.shape[1] - 1)
+                symbols = np.take_along_axis(symbols, take + (take > first[:, None]), 1)  # less the right neighbour
+                take = take[:-1]
+                goals = np.take_along_axis(goals, take + (take >= first[:, None]), 1)
+                if goals.shape[1]:
+                    to = first < goals.shape[1]
+                    goals[rows[to], first[to]] = self._goals(symbols[rows[to], first[to]], symbols[rows[to], first[to] + 1])
+                    to = first > 0
+                    goals[rows[to], first[to] - 1] = self._goals(symbols[rows[to], first[to] - 1], symbols[rows[to], first[to]])
+        return out
+
+    def _pack(self, symbols: np.ndarray, places: list[int], out: list[bytes]) -> None:
+        plain = (symbols >= 0).all(1)
+        raw, step = self.number[np.where(symbols >= 0, symbols, 0)].tobytes(), 4 * symbols.shape[1]
+        for k, (place, whole) in enumerate(zip(places, plain.tolist(), strict=True)):
+            if whole:
+                out[place] = raw[k * step : (k + 1) * step]
+                continue
+            numbers: list[int] = []
+            for symbol in symbols[k].tolist():
+                numbers += [int(self.number[symbol])] if symbol >= 0 else [self.bytes[b] for b in chr(-1 - symbol).encode()]
+            out[place] = array("I", numbers).tobytes()
+
     def cut(self, part: str) -> Iterator[str]:
         """``part`` cut between characters that no piece holds side by side."""
         start = 0
@@ -149,20 +219,19 @@ class Vocabulary:
                 start = i
         yield part[start:]
 
-    def encode(self, text: str, known: dict[str, bytes] | None = None) -> bytes:
-        """Packed piece numbers of a whole text between the begin and the end piece."""
+    def split(self, text: str) -> list[str]:
+        """The parts of a text, with the space in front."""
+        return self.parts.findall(self.prefix + text.replace(" ", SPACE)) if text else []
+
+    def encode(self, texts: list[str], known: dict[str, bytes] | None = None) -> list[bytes]:
+        """Packed piece numbers of whole texts between the begin and the end piece; ``known`` holds parts met before."""
         known = {} if known is None else known
-        out = [self.first]
-        if text:
-            for part in self.parts.findall(self.prefix + text.replace(" ", SPACE)):
-                packed = known.get(part)
-                if packed is None:
-                    packed = array("I", [n for piece in (self.cut(part) if len(part) > LONGEST else [part]) for n in self.merge(piece)]).tobytes()
-                    if len(part) <= LONGEST:
-                        known[part] = packed
-                out.append(packed)
-        out.append(self.last)
-        return b"".join(out)
+        split = [self.split(t) for t in texts]
+        fresh = list({p for parts in split for p in parts if p not in known})
+        short = [p for p in fresh if len(p) <= LONGEST]
+        long = {p: array("I", [n for piece in self.cut(p) for n in self.merge(piece)]).tobytes() for p in fresh if len(p) > LONGEST}
+        known.update(zip(short, self.merge_rows(short), strict=True))
+        return [b"".join([self.first, *[known[p] if len(p) <= LONGEST else long[p] for p in parts], self.last]) for parts in split]
 
     def decode(self, packed: bytes) -> str:
         """The text of packed piece numbers: control pieces are silent, the space that encoding put in front goes,
@@ -181,13 +250,19 @@ def read_model(path: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-def encode_batch(texts: Iterable[str | None], vocabulary: Vocabulary, known: dict[str, bytes]) -> list[bytes]:
-    out = []
+def encode_batch(texts: Iterable[str | None], vocabulary: Vocabulary, known: dict[str, bytes]) -> Iterator[bytes]:
+    """Packed numbers of texts, about ``TOGETHER`` characters at a time."""
+    some, size = [], 0
     for text in texts:
-        if len(known) > REMEMBERED:
-            known.clear()
-        out.append(vocabulary.encode(text or "", known))
-    return out
+        some.append(text or "")
+        size += len(some[-1])
+        if size >= TOGETHER:
+            yield from vocabulary.encode(some, known)
+            some, size = [], 0
+            if len(known) > REMEMBERED:
+                known.clear()
+    if some:
+        yield from vocabulary.encode(some, known)
 
 
 def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
@@ -206,7 +281,7 @@ def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         vocabulary, known = shared.value, {}
         for batch in batches:
-            yield pd.Series(encode_batch(batch, vocabulary, known), dtype=object)
+            yield pd.Series(list(encode_batch(batch, vocabulary, known)), dtype=object)
 
     return without(df, ["ids", "n_tokens"]).withColumn("ids", packed(F.col(f"`{text}`"))).withColumn(
         "n_tokens", F.floor(F.octet_length("ids") / 4))

@@ -162,7 +162,7 @@ def test_pieces_beside_the_library():
     for k in range(4000):
         text = "".join(rng.choices(letters, k=rng.randrange(120 if k % 3 else 20)))
         want = library.encode(text, add_bos=True, add_eos=True)
-        packed = own.encode(text, known)
+        (packed,) = own.encode([text], known)
         assert packed == np.array(want, "<u4").tobytes() and own.decode(packed) == library.decode(want)
     for _ in range(4000):
         ids = [rng.choice([rng.randrange(300), rng.randrange(32_000), 28705, 259, 13, 0, 1, 2]) for _ in range(rng.randrange(9))]
@@ -193,7 +193,7 @@ def test_pieces_of_odd_rows(docs):
 def test_long_unbroken_text():
     library, own = sentencepiece.SentencePieceProcessor(model_file=MERGES), pieces.read_model(MERGES)
     for text in ("ab" * 100_000, "漢字" * 50_000, " " * 100_000):
-        assert own.encode(text) == np.array(library.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
+        assert own.encode([text])[0] == np.array(library.encode(text, add_bos=True, add_eos=True), "<u4").tobytes()
 
 
 def test_other_models_are_refused():
