@@ -22,7 +22,9 @@ def example_json(axes: list[str]) -> str:
          "attributes": {axis: filled.get(axis) if at else None for axis in axes}}
         for at, name in enumerate(names)
     ]
-    told = {"event_id": "evt_001", "frame": 7, "action": vocab.ACTIONS[-1][0], "agent": names[0], "target": names[1]}
+    # an action that needs neither of the two roles left open, and that no later step drops
+    action = next(a for a, source, destination in vocab.ACTIONS if not source and not destination and a != vocab.NO_EVENT)
+    told = {"event_id": "evt_001", "frame": 7, "action": action, "agent": names[0], "target": names[1]}
     return json.dumps({"objects": objects, "events": [told | {"source": None, "destination": None}]}, indent=2)
 
 

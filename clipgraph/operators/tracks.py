@@ -99,24 +99,31 @@ def gather_windows(
     return every.join(filled, [*keys, "clip_index"], "left").select(*keys, "clip_index", matrix.alias("matrix"))
 
 
-def separation_scores(detections: DataFrame, cell: float = 256.0) -> DataFrame:
+def separation_scores(detections: DataFrame) -> DataFrame:
     """Add ``match_score`` of each box as a stand-in for an object of its category.
 
     1.0 for the only box of its category in the frame; else (1 - max IoU with the others) *
     max(score, 0.1). Overlapping boxes meet in a grid cell, so far-apart boxes are never
-    paired; copies of a box are counted once and overlap each other fully.
+    paired; copies of a box are counted once and overlap each other fully. The cells of a frame and category are as
+    large as its mean box, or a sixteenth of its largest one, in whatever unit the coordinates are.
     """
     group = ["video_id", "frame_index", "_cat"]
     corner = ["x1", "y1", "x2", "y2"]
     tagged = detections.withColumn("_cat", F.lower("category"))
     distinct = tagged.where("x1 is not null").groupBy(*group, *corner).agg(F.count(F.lit(1)).alias("_copies"))
-    sizes = distinct.groupBy(*group).agg(F.sum("_copies").alias("_n"))
-    sized = distinct.join(sizes, group)
+    whole = Window.partitionBy(*group)
 
-    def span(lo: str, hi: str) -> Column:
-        return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    def cell(lo: str, hi: str) -> Column:
+        extent = F.abs(F.col(hi) - F.col(lo))
+        return F.greatest(F.avg(extent).over(whole), F.max(extent).over(whole) / 16, F.lit(1e-9))
 
-    placed = sized.withColumn("_gx", F.explode(span("x1", "x2"))).withColumn("_gy", F.explode(span("y1", "y2")))
+    # the distinct boxes of one category in one frame; their partitioning serves the grid join, too
+    sized = distinct.withColumns({"_n": F.sum("_copies").over(whole), "_wx": cell("x1", "x2"), "_wy": cell("y1", "y2")})
+
+    def span(lo: str, hi: str, size: str) -> Column:
+        return F.sequence(F.floor(F.col(lo) / F.col(size)), F.floor(F.col(hi) / F.col(size)))
+
+    placed = sized.withColumn("_gx", F.explode(span("x1", "x2", "_wx"))).withColumn("_gy", F.explode(span("y1", "y2", "_wy"))).drop("_wx", "_wy")
     others = placed.select(*group, "_gx", "_gy", F.struct(*corner).alias("o"))
     # A box meets itself too, so boxes without any overlap stay in the result.
     itself = F.struct(*corner) == F.col("o")

@@ -154,3 +154,26 @@ def test_a_stream_settles_as_its_watermark_moves(spark, tmp_path):
     f, c, s = (np.array([r[i] for r in rows]) for i in (2, 3, 4))
     want = sorted(greedy(f, c, s))
     assert got == want[: len(got)] and len(got) >= len(want) - 4
+
+
+def test_separation_in_any_unit(spark):
+    """Scores do not depend on the unit of the coordinates, and boxes far apart do not meet whatever it is."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(60):
+        x, y, w, h = *rng.integers(0, 1000, 2), *rng.integers(1, 120, 2)
+        rows.append(("v", 0, i, "c", float(x), float(y), float(x + w), float(y + h), 0.5))
+    rows.append(("v", 0, 60, "c", 0.0, 0.0, 1000.0, 1000.0, 0.5))  # one box over all others
+    schema = "video_id string, frame_index int, track_id int, category string, x1 double, y1 double, x2 double, y2 double, score double"
+    df = spark.createDataFrame(rows, schema)
+    small = df.withColumns({c: F.col(c) / 1024 for c in ("x1", "y1", "x2", "y2")})
+    a, b = ({r["track_id"]: r["match_score"] for r in tracks.separation_scores(d).collect()} for d in (df, small))
+
+    def iou(p, q):
+        w, h = min(p[6], q[6]) - max(p[4], q[4]), min(p[7], q[7]) - max(p[5], q[5])
+        both = max(w, 0) * max(h, 0)
+        return both / ((p[6] - p[4]) * (p[7] - p[5]) + (q[6] - q[4]) * (q[7] - q[5]) - both)
+
+    for p in rows:
+        want = (1 - max(iou(p, q) for q in rows if q is not p)) * 0.5
+        assert a[p[2]] == pytest.approx(want) and b[p[2]] == pytest.approx(want)
