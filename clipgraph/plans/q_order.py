@@ -89,9 +89,36 @@ def top_slots(v):
     return attention.top_slots(v["v_slots"], 3).select("sample_id", "slot", "rank")
 
 
-@query("stratified_select")
+SELECTED_ACTIONS = ["click", "purchase", "signup", "view"]
+
+
+def _selection_sql() -> str:
+    """One CTE a choice, each of which sees those before it."""
+    ctes = ["""
+base as materialized (
+  select c.video_id, c.clip_index, c.n_events, case when c.n_events = 0 and c.n_objects = 0 then 'motion_filtered' else 'annotated' end as status, coalesce(acts, []) as acts,
+    md5(concat(c.video_id, '|', c.clip_index, '|42')) as tie
+  from v_ann_clips c left join (select video_id, clip_index, list(distinct action) as acts from v_gt where action <> 'error' group by all) g
+    on g.video_id = c.video_id and g.clip_index = c.clip_index),
+c0 as (select null::bigint as video_id, null::int as clip_index, '' as reason where false)"""]
+    strata = [(f"action_type:{a}", f"list_contains(acts, '{a}')", "-len(acts)", "1", True) for a in SELECTED_ACTIONS]
+    strata += [
+        ("fill_event", "len(acts) > 0", "-n_events", f"15 - (select count(*) from c{len(strata)})", False),
+        ("no_event_annotated", "status = 'annotated' and len(acts) = 0 and n_events = 0", "0", "5", False),
+        ("motion_filtered", "status = 'motion_filtered'", "0", "5", False),
+    ]
+    for k, (name, where, weight, quota, again) in enumerate(strata):
+        taken = f"exists (select 1 from c{k} t where t.video_id = b.video_id and t.clip_index = b.clip_index)"
+        seen = f"b.video_id in (select video_id from c{k})"
+        ctes.append(f"""
+c{k + 1} as materialized (select * from c{k} union all select video_id, clip_index, '{name}' from (
+  select *, row_number() over (order by {taken}, {seen}, {weight}, tie) as place from base b where {where} {'' if again else f'and not {taken}'}) p where place <= {quota})""")
+    return f"with {','.join(ctes)} select video_id, clip_index, reason as selection_reason from c{len(strata)}"
+
+
+@query("stratified_select", _selection_sql())
 def stratified_select(v):
-    return selection.stratified_select(selection_clips(v), ["click", "purchase", "signup", "view"])
+    return selection.stratified_select(selection_clips(v), SELECTED_ACTIONS)
 
 
 def selection_clips(v):
