@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Words whose counts a task remembers before it starts anew.
 REMEMBERED = 1 << 19
+#: Bytes of the longest word that is read side by side with others, a byte of each in a step; and of the longest one that is remembered.
+SIDE_BY_SIDE = 1024
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -75,10 +77,17 @@ class Automaton:
         for at in row[1:]:
             rest[at] = pops[at] + rest[link[at]]
         self.rest = rest
+        self.edges: dict[int, int] | None = None  # made in the task that meets a long word
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word, all words read side by side."""
         out = np.zeros(len(words), np.int64)
+        long = [i for i, w in enumerate(words) if len(w) > SIDE_BY_SIDE]
+        if long:
+            short = [i for i, w in enumerate(words) if len(w) <= SIDE_BY_SIDE]
+            out[long] = [self._walk(words[i]) for i in long]
+            out[short] = self.count([words[i] for i in short])
+            return out
         if not words:
             return out
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -104,6 +113,20 @@ class Automaton:
         return out
 
 
+    def _walk(self, word: bytes) -> int:
+        """Pieces of one long word, read alone; every byte is read once."""
+        if self.edges is None:
+            self.edges = dict(zip(self.keys.tolist(), self.goal.tolist(), strict=True))
+        edges, link, pops = self.edges, self.link, self.pops
+        state = count = 0
+        for byte in word:
+            while (after := edges.get(state << 8 | byte)) is None:
+                count += int(pops[state])
+                state = int(link[state])
+            state = after
+        return count + int(self.rest[state])
+
+
 def count_tokens(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, n_tokens, longest) for every row: words, their greedy pieces, and the most pieces of a word.
 
@@ -142,4 +165,7 @@ def count_batch(texts: Iterable[str | None], machine: Automaton, known: dict[byt
     for words in split:
         counts = [known[w] for w in words]
         rows.append((len(words), sum(counts), max(counts, default=0)))
+    for w in fresh:  # the memory is bounded in bytes, too
+        if len(w) > SIDE_BY_SIDE:
+            del known[w]
     return pd.DataFrame(rows, columns=["n_words", "n_tokens", "longest"])

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -75,6 +76,20 @@ def test_greedy_pieces(spark):
         assert (got[key]["n_words"], got[key]["n_tokens"], got[key]["longest"]) == (len(counts), sum(counts), max(counts))
 
 
+def test_long_words():
+    machine = tokencount.Automaton(tokencount.read_ranks(VOCABULARY))
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"abcdeth ", k=n)) for n in (1000, 1024, 1025, 3000)]
+    apart = [machine._walk(w) for w in words]
+    assert machine.count([*words, b"a"]).tolist()[:4] == apart
+    small = [bytes(rng.choices(range(256), k=rng.randrange(40))) for _ in range(500)]
+    assert machine.count(small).tolist() == [machine._walk(w) for w in small]
+    began = time.time()
+    known = {}
+    out = tokencount.count_batch(["x" * 1_000_000 + " " + "ab" * 700_000], machine, known)
+    assert time.time() - began < 10 and out["n_words"][0] == 2 and known == {}
+
+
 def test_vocabulary_without_bytes_is_refused():
     with pytest.raises(ValueError):
         tokencount.Automaton([b"a", b"ab"])
@@ -244,6 +259,22 @@ def test_added_spans_and_redaction(spark):
 
 # pages
 
+def test_excluded_inline_elements_and_wrappers():
+    story = " ".join(["the story of the day was told in a long way and it was for all of us"] * 4)
+    cases = {
+        f"<article><p>{story} <button>Subscribe</button> and then {story}</p></article>": f"{story} and then {story}",
+        f"<article><p>{story}</p><span class='ad'>Buy <b>pills</b></span><p>{story}</p><button>Go</button></article>": f"{story}\n{story}",
+        f"<article><p>{story} <label>Name</label> {story}</p></article>": f"{story} {story}",
+        f"<div class='content with-sidebar'><article><p>{story}</p></article></div>": story,
+        f"<div class='site has-header no-ads'><div class='post-body ad-free'><article><p>{story}</p></article></div></div>": story,
+        f"<div class='related'><article><p>{story}</p></article></div>": "",
+        f"<div class='main-sidebar'><p>{story}</p></div>": "",
+        f"<article><p>{story}</p><span class='ad'>never closed</article><p>{story}": story,
+    }
+    for html, text in cases.items():
+        assert pages.main_text(html)[0] == text, html
+
+
 def test_blocks_of_a_page():
     html = """<html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body><header><p>Site</p></header>
     <nav><ul><li><a href=x>Home</a></li></ul></nav><article class="post"><header><h1>A &amp; B</h1></header><p>One<b>two</b>
