@@ -44,6 +44,9 @@ cookies copyright discussion disqus footer gdpr header login masthead menu modal
 pagination pager popup promo promoted promotion related recommended replies reply respond share sharing sidebar signup social
 sponsor sponsored subscribe subscription teaser toolbar widget widgets
 """.split())
+# fixed values: first and last parts of names that only say what an element has around it or lacks
+ABOUT = frozenset("has is no not with without".split())
+LACKS = frozenset("free less".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -58,6 +61,16 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"\w+")
 
 
+def out_name(attributes: str) -> bool:
+    """Whether a class, id or role names something that is not the article; ``with-sidebar`` or ``ad-free`` do not."""
+    for value in _NAMES.findall(attributes):
+        for name in value.strip("\"'").split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if parts and parts[0] not in ABOUT and parts[-1] not in LACKS and not OUT_NAMES.isdisjoint(parts):
+                return True
+    return False
+
+
 @dataclass
 class Rules:
     """Limits of the block rules; lengths in characters."""
@@ -80,10 +93,13 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Blocks in page order; ``out`` marks excluded places, ``area`` the article or main element they are in (0: none)."""
+    """Blocks in page order; ``out`` marks excluded places, ``area`` the article or main element they are in (0: none).
+
+    The text of an excluded inline element is passed over, and the block around it goes on.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []
-    out, area, areas = False, 0, 0
+    stack: list[tuple[str, bool, int, bool]] = []
+    out, area, areas, skip = False, 0, 0, False
     pieces: list[str] = []
     linked = 0
     in_link = 0
@@ -99,12 +115,12 @@ def blocks(html: str) -> list[Block]:
         pieces, linked = [], 0
 
     def enter() -> None:
-        nonlocal out, area
-        out, area = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        nonlocal out, area, skip
+        out, area, skip = stack[-1][1:] if stack else (False, 0, False)
 
     at = 0
     for token in _TOKEN.finditer(html):
-        if token.start() > at:
+        if token.start() > at and not skip:
             piece = unescape(html[at : token.start()])
             pieces.append(piece)
             if in_link:
@@ -141,7 +157,7 @@ def blocks(html: str) -> list[Block]:
         if token.group(2):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if not is_block and any(t in BLOCK_TAGS for t, _, _ in stack[i + 1 :]):
+                    if not is_block and any(entry[0] in BLOCK_TAGS for entry in stack[i + 1 :]):
                         break  # a stray end of an inline element doesn't close blocks
                     del stack[i:]
                     enter()
@@ -152,21 +168,19 @@ def blocks(html: str) -> list[Block]:
             if is_block and stack and stack[-1][0] == "p":
                 stack.pop()
                 enter()
-            named = set()
-            if "=" in attributes and name not in ("html", "body", "main"):
-                named = {p.lower() for value in _NAMES.findall(attributes) for p in _PARTS.findall(value)}
-            hides = bool(named & OUT_NAMES) or "hidden" in attributes.lower().split() or (
+            named = "=" in attributes and name not in ("html", "body", "main") and out_name(attributes)
+            hides = named or "hidden" in attributes.lower().split() or (
                 name in OUT_TAGS and not (name == "header" and area))
             if is_block or hides or name in OUT_TAGS:
                 if name in ("article", "main") and not area and not out and not hides:
                     areas += 1
-                    stack.append((name, out, areas))
+                    stack.append((name, out, areas, skip))
                 else:
-                    stack.append((name, out or hides, area))
-                if hides and not is_block:
-                    close()
+                    # an inline element is only left out of its block, a block is out as a whole
+                    inline = hides and not is_block
+                    stack.append((name, out or (hides and is_block), area, skip or inline))
                 enter()
-    if at < len(html):
+    if at < len(html) and not skip:
         piece = unescape(html[at:])
         pieces.append(piece)
         if in_link:
