@@ -161,6 +161,8 @@ class Model:
                 s = known[w] = self.scores(w)
             scored.append(s)
         spans = self.path(scored, penalty)
+        if all(own < 0 for own, _ in scored):  # no script of a learned language: a name is given, but nothing speaks for it
+            return self.langs[spans[0][1]], 0.0, f"{self.langs[spans[0][1]]}:0:{len(body)}"
         if len(spans) == 1:
             return self.langs[spans[0][1]], 1.0, f"{self.langs[spans[0][1]]}:0:{len(body)}"
         share, ends = [0] * len(self.langs), [s[0] for s in spans[1:]] + [len(words)]
@@ -230,7 +232,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", penalty: float = 8.
     lists the spans as language:start:end, in code points.
 
     * Null text, or no letter: ``und``, score 0, no spans. Words in a script of no learned
-      language go with their neighbours. A model without languages: ``und``.
+      language go with their neighbours; a text of nothing else has score 0. A model without languages: ``und``.
     * Ties: the language first in the alphabet. Repeated rows are labelled each. Empty table: no rows.
     * Columns named like a result are replaced.
 

@@ -92,6 +92,8 @@ def test_languages(docs):
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model()).filter("doc_id is not null").collect()}
     assert got[2] == got[3] == got[4] == "und" and got[7] == "ru" and got[1] == "en"
     assert langid.predict(docs, langid.Model([])).filter("lang_pred <> 'und'").isEmpty()
+    other = docs.limit(1).selectExpr("explode(array('καλημέρα κόσμε', '漢字', 'the καλημέρα')) as text")
+    assert [(r["lang_pred"], r["score"]) for r in langid.predict(other, model()).collect()] == [("en", 0.0), ("en", 0.0), ("en", 1.0)]
 
 
 def test_models_without_examples(spark, docs):
