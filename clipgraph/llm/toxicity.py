@@ -9,6 +9,7 @@ round, the word of each toxic text that explains its label.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -133,7 +134,7 @@ class Kernel:
         The norm of a word is 1 or more, so only words that come above ``floor`` without it need theirs.
         """
         out = np.zeros(len(words), np.float32)
-        for n, part in _by_length(words, 2_000_000):
+        for n, part in _by_length(words, 400_000):
             out[part] = table[self.triples([words[i] for i in part])] @ self.weights[n]
         high = np.flatnonzero(out > floor)
         out[high] = np.maximum(out[high] / self.norms([words[i] for i in high.tolist()]), floor)
@@ -231,7 +232,7 @@ def _disturbed(words: list[str], rng: np.random.Generator, letters: str) -> list
     return out
 
 
-def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float = 0.6, rounds: int = 3, witnesses: int | None = None,
+def fit(bags: Iterable[tuple[int, list[str]]], landmarks: int = 200, decay: float = 0.6, rounds: int = 3, witnesses: int | None = None,
         seed: int = 1) -> Model | None:
     """Machine from (label, words of a text) pairs; None if one of the labels is missing.
 
@@ -240,9 +241,16 @@ def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float =
     examples. Toxic texts without such a word give, each round, their word with the largest margin
     if it is on the toxic side. Clean words that come too near are added as examples, too.
     """
-    toxic = [sorted(set(p for w in words for p in pieces(w))) for label, words in bags if label == 1]
-    clean = [set(p for w in words for p in pieces(w)) for label, words in bags if label == 0]
-    toxic = [b for b in toxic if b]
+    toxic: list[tuple[str, ...]] = []
+    clean: list[tuple[str, ...]] = []
+    once: dict[str, str] = {}  # texts share their words
+    for label, words in bags:
+        bag = tuple(sorted({once.setdefault(p, p) for w in words for p in pieces(w)}))
+        if label == 0:
+            clean.append(bag)
+        elif bag:
+            toxic.append(bag)
+    del once
     if not toxic or not clean:
         return None
     rng = np.random.default_rng(seed)
@@ -252,8 +260,7 @@ def fit(bags: list[tuple[int, list[str]]], landmarks: int = 200, decay: float =
     alphabet = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])
     kernel = Kernel(alphabet, decay)
     telling = {p: n for p, n in toxic_count.items() if not clean_count[p]}
-    toxic = [[p for p in b if len(p) >= ORDER] for b in toxic]
-    toxic = [b for b in toxic if b]
+    toxic = [b for b in (tuple(p for p in b if len(p) >= ORDER) for b in toxic) if b]
     if not toxic:
         return None
     witnesses = witnesses or max(3, min(12, len(toxic) // 50))
@@ -317,8 +324,8 @@ def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
           toxic: int = 1500, clean: int = 4000, **options) -> Model | None:
     """Machine from labelled texts: about ``toxic`` and ``clean`` texts of the two labels, chosen by a hash of the key.
 
-    These texts are read whole; the driver gets their distinct words. Rows without a label or a
-    text are left out. None if either label is missing.
+    These texts are read whole; one task gets their distinct words and fits the machine, the driver gets
+    the machine only. Rows without a label or a text are left out. None if either label is missing.
     """
     known = labels.select(F.col(f"`{key}`").alias("__k"), F.col(f"`{label}`").cast("int").alias("__y")).filter("__k is not null and __y in (0, 1)").distinct()
     sizes = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -330,13 +337,15 @@ def learn(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"k": frame["__k"], "y": frame["__y"], "words": [" ".join(sorted(set(units(t)))) for t in frame["__text"]]})
+            yield pd.DataFrame({"y": frame["__y"], "words": [" ".join(sorted(set(units(t)))) for t in frame["__text"]]})
 
-    kind = dict(texts.dtypes)[key]
-    found = rows.mapInPandas(words, f"k {kind}, y int, words string").collect()
-    # copies of a text would count as several witnesses
-    bags = sorted({(r["y"], r["words"]) for r in found})
-    return fit([(y, w.split()) for y, w in bags], **options)
+    def fitted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # copies of a text would count as several witnesses
+        bags = sorted({(int(y), w) for frame in frames for y, w in zip(frame["y"], frame["words"], strict=True)})
+        yield pd.DataFrame({"model": [pickle.dumps(fit(((y, w.split()) for y, w in bags), **options))]})
+
+    found = rows.mapInPandas(words, "y int, words string").coalesce(1).mapInPandas(fitted, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def score(df: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
