@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipgraph.llm.common import stored, tag
+from clipgraph.llm.common import Scratch, stored, tag
 from clipgraph.llm.components import components
 
 #: Rows of an upper node that one task compares; larger nodes are cut into parts that are paired.
@@ -360,7 +360,7 @@ def _set_of(text: Column, shingle: int) -> Column:
 
 
 def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
-                     bits: int = 7) -> DataFrame:
+                     bits: int = 4) -> DataFrame:
     """``df`` less the rows that repeat another row's text or nearly so.
 
     Texts are held against each other by the Jaccard similarity of their shingle sets: first those
@@ -373,22 +373,31 @@ def drop_near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", shi
     * Repeated rows and rows of equal text: the one with the smallest key stays; if rows share
       even the key, one of them stays. Texts that have only null keys: one row of each stays.
     * Empty table: no rows. All columns are kept as they are.
+
+    Intermediate tables are written to the shared folder and deleted as soon as nothing needs them.
     """
     body = F.col(f"`{text}`")
     plain = df.select(
         F.col(f"`{key}`").alias("__k"), F.md5(body).alias("__md5"), body.alias("__text"),
         F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("__words"))
     plain = plain.filter("__words").drop("__words")
+    scratch = Scratch(df.sparkSession, "near-copies")
     common = _common(plain, shingle)
-    rows = stored(plain.select("__md5", "__k", _described(F.col("__text"), shingle, similarity, common).alias("__d"))
-                  .select("__md5", "__k", "__d.*").withColumn("__id", F.xxhash64("__same")).drop("__same"))
-    texts = rows.groupBy("__md5", "__id").agg(F.min("__k").alias("__k"))
-    gone = _copies(rows.filter("__k is not null"), plain, shingle, similarity, bits)
-    stay = texts.select("__md5", "__k").join(gone, "__md5", "left_anti").select("__md5", tag(F.col("__k")).alias("__t"))
+    rows = scratch.keep("rows", plain.select("__md5", "__k", _described(F.col("__text"), shingle, similarity, common).alias("__d"))
+                        .select("__md5", "__k", "__d.*").withColumn("__id", F.xxhash64("__same")).drop("__same"))
+    texts = scratch.keep("texts", rows.groupBy("__md5", "__id").agg(F.min("__k").alias("__k")))
+    # texts of equal sets are one node, however many copies there are
+    least = [F.min(c).alias(c) for c in ("fp", "__least1", "__least2", "__need")]
+    nodes = scratch.keep("nodes", rows.filter("__k is not null").groupBy("__id").agg(
+        F.min(F.struct("__k", "__md5")).alias("__one"), F.first("__shown").alias("__shown"), *least).select("__id", "__one.*", "__shown", "fp", "__least1", "__least2", "__need"))
+    scratch.drop("rows")
+    gone = _copies(scratch, texts.filter("__k is not null"), nodes, plain, shingle, similarity, bits)
+    stay = scratch.keep("stay", texts.select("__md5", "__k").join(gone, "__md5", "left_anti").select("__md5", tag(F.col("__k")).alias("__t")))
+    scratch.drop("texts", "nodes", "met", "sets", "links", "labels", "rest")
     named = df.withColumns({
         "__md5": F.when(F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.md5(body)),
         "__t": tag(F.col(f"`{key}`"))})
-    once = Window.partitionBy("__md5", "__t").orderBy(F.lit(1))
+    once = Window.partitionBy("__md5", "__t").orderBy(F.xxhash64(*_all(df)))  # rows alike in key and text differ in other columns at most
     first = (
         named.filter("__md5 is not null").join(stay, ["__md5", "__t"], "left_semi")
         .withColumn("__first", F.row_number().over(once)).filter("__first = 1"))
@@ -399,36 +408,33 @@ def _all(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _copies(rows: DataFrame, plain: DataFrame, shingle: int, similarity: float, bits: int) -> DataFrame:
+def _copies(scratch: Scratch, texts: DataFrame, nodes: DataFrame, plain: DataFrame, shingle: int, similarity: float, bits: int) -> DataFrame:
     """MD5 of the texts that are linked to one with a smaller key.
 
-    Texts of equal sets are one node. Nodes that share no shown shingle with another have no near
-    copy. Links are only added, no node leaves before all its links are made: first, nodes are held
-    against the first one of their buckets (fingerprint group, least shingle in two orders), which
-    joins most of a large group with few comparisons; what these links have not joined yet is
-    compared pair by pair.
+    Nodes that share no shown shingle with another have no near copy. Links are only added, no node
+    leaves before all its links are made: first, nodes are held against the first one of their
+    buckets (fingerprint group, least shingle in two orders), which joins most of a large group with
+    few comparisons; what these links have not joined yet is compared pair by pair.
     """
-    narrow = rows.drop("__shown")
-    nodes = stored(narrow.groupBy("__id").agg(F.min(F.struct("__k", "__md5")).alias("__one"), *[F.min(c).alias(c) for c in ("fp", "__least1", "__least2", "__need")])
-                   .select("__id", "__one.*", "fp", "__least1", "__least2", "__need"))
-    grouped = stored(near_groups(nodes, bits, "__id"))
-    met = stored(_met(rows))
-    enough = met.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).join(nodes.select("__id", "__need"), "__id").filter("__n >= __need")
-    met = stored(met.join(enough.select("__id"), "__id", "left_semi"))
+    shared = scratch.keep("shared", _met(nodes))
+    enough = shared.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).join(nodes.select("__id", "__need"), "__id").filter("__n >= __need")
+    met = scratch.keep("met", shared.join(enough.select("__id"), "__id", "left_semi"))
+    scratch.drop("shared")
     ones = nodes.select("__id", "__k", "__md5").join(met.select("__id").distinct(), "__id", "left_semi")
-    sets = stored(plain.join(ones, ["__md5", "__k"]).dropDuplicates(["__id"]).select("__id", _set_of(F.col("__text"), shingle).alias("__set")))
-    buckets = grouped.join(sets, "__id", "left_semi").select("__id", "__k", F.explode(F.array(
+    sets = scratch.keep("sets", plain.join(ones, ["__md5", "__k"]).dropDuplicates(["__id"]).select("__id", _set_of(F.col("__text"), shingle).alias("__set")))
+    grouped = near_groups(nodes.select("__id", "__k", "fp", "__least1", "__least2"), bits, "__id")
+    buckets = grouped.join(met.select("__id").distinct(), "__id", "left_semi").select("__id", "__k", F.explode(F.array(
         F.xxhash64(F.lit(0), "component_id"), F.xxhash64(F.lit(1), "__least1"), F.xxhash64(F.lit(2), "__least2"))).alias("__b"))
     heads = buckets.groupBy("__b").agg(F.min(F.struct("__k", "__id")).alias("__h")).select("__b", F.col("__h.__id").alias("__head"))
     stars = buckets.join(heads, "__b").filter("__id <> __head").select(
         F.least("__id", "__head").alias("__one"), F.greatest("__id", "__head").alias("__two")).distinct()
-    links = stored(_linked(stars, sets, similarity))
-    labels = stored(_labels(sets, links))
+    links = scratch.keep("links", _linked(stars, sets, similarity))
+    labels = scratch.keep("labels", _labels(sets, links))
     between = met.join(labels, "__id")
     mixed = between.groupBy("__shingle").agg(F.min("__label").alias("__l1"), F.max("__label").alias("__l2")).filter("__l1 <> __l2")
     apart = labels.join(between.join(mixed, "__shingle", "left_semi").select("__id").distinct(), "__id", "left_semi")
-    rest = stored(_linked(_pairs_left(sets.join(apart, "__id"), similarity), sets, similarity))
-    joined = narrow.groupBy("__md5", "__id").agg(F.min("__k").alias("__k")).join(_labels(nodes, links.union(rest)), "__id")
+    rest = scratch.keep("rest", _linked(_pairs_left(sets.join(apart, "__id"), similarity), sets, similarity))
+    joined = texts.join(_labels(nodes, links.union(rest)), "__id")
     stay = joined.groupBy("__label").agg(F.min(F.struct("__k", "__md5")).alias("__first")).select(F.col("__first.__md5").alias("__md5"))
     return joined.select("__md5").join(stay, "__md5", "left_anti")
 
@@ -446,7 +452,7 @@ def _met(rows: DataFrame) -> DataFrame:
     """(__shingle, __id): shingles that several nodes show."""
     of = Window.partitionBy("__shingle")
     return rows.select("__id", F.explode("__shown").alias("__shingle")).withColumns(
-        {"__first": F.min("__id").over(of), "__last": F.max("__id").over(of)}).filter("__first <> __last").select("__shingle", "__id").distinct()
+        {"__first": F.min("__id").over(of), "__last": F.max("__id").over(of)}).filter("__first <> __last").select("__shingle", "__id")
 
 
 def _labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
