@@ -26,7 +26,7 @@ from clipgraph.llm.common import without
 #: The character that stands for a space inside pieces. Fixed value of the vocabulary format.
 SPACE = "▁"
 #: Parts whose pieces a task remembers before it starts anew, and characters of the longest one that it remembers.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 #: Characters of texts that are split and merged side by side.
 TOGETHER = 1 << 20
 
@@ -250,41 +250,50 @@ def read_model(path: str) -> Vocabulary:
         return Vocabulary(file.read())
 
 
-def encode_batch(texts: Iterable[str | None], vocabulary: Vocabulary, known: dict[str, bytes]) -> Iterator[bytes]:
-    """Packed numbers of texts, about ``TOGETHER`` characters at a time."""
+def _groups(texts: Iterable[str | None]) -> Iterator[list[str]]:
+    """Texts, about ``TOGETHER`` characters at a time."""
     some, size = [], 0
     for text in texts:
         some.append(text or "")
         size += len(some[-1])
         if size >= TOGETHER:
-            yield from vocabulary.encode(some, known)
+            yield some
             some, size = [], 0
-            if len(known) > REMEMBERED:
-                known.clear()
     if some:
-        yield from vocabulary.encode(some, known)
+        yield some
 
 
-def encode(df: DataFrame, model: str, text: str = "text") -> DataFrame:
+def encode_all(texts: Iterable[str | None], vocabulary: Vocabulary) -> Iterator[list[bytes]]:
+    """Packed numbers of texts, one list for each group of them; parts met before are remembered up to a limit."""
+    known: dict[str, bytes] = {}
+    for group in _groups(texts):
+        yield vocabulary.encode(group, known)
+        if len(known) > REMEMBERED:
+            known.clear()
+
+
+def encode(df: DataFrame, model: str, text: str = "text", decoded: str | None = None) -> DataFrame:
     """``df`` with ids (piece numbers as little-endian unsigned 32-bit integers, begin and end included) and n_tokens.
 
-    The model file is read where the query is built; its vocabulary, of fixed size, goes to the tasks.
+    With ``decoded`` a column of that name holds the text that the numbers decode to, made in the same pass. The model file
+    is read where the query is built; its vocabulary, of fixed size, goes to the tasks.
 
     * Null and empty texts: the begin and the end piece only. Repeated rows are encoded each; empty table: no rows.
     * White space, order and length are kept: a text is read whole. A part of the text that
       nothing cuts is merged at once, in time n log n.
-    * Columns named ids or n_tokens are replaced, all others stay.
+    * Columns named like a result are replaced, all others stay.
     """
     shared = df.sparkSession.sparkContext.broadcast(read_model(model))
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary, known = shared.value, {}
-        for batch in batches:
-            yield pd.Series(list(encode_batch(batch, vocabulary, known)), dtype=object)
+    @F.pandas_udf("ids binary, decoded string")
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocabulary = shared.value
+        for ids in encode_all((t for batch in batches for t in batch), vocabulary):
+            yield pd.DataFrame({"ids": ids, "decoded": [vocabulary.decode(i) for i in ids] if decoded else None}, dtype=object)
 
-    return without(df, ["ids", "n_tokens"]).withColumn("ids", packed(F.col(f"`{text}`"))).withColumn(
-        "n_tokens", F.floor(F.octet_length("ids") / 4))
+    out = without(df, ["ids", "n_tokens", *([decoded] if decoded else [])]).withColumn("__p", packed(F.col(f"`{text}`")))
+    named = {"ids": F.col("__p.ids"), "n_tokens": F.floor(F.octet_length("__p.ids") / 4)} | ({decoded: F.col("__p.decoded")} if decoded else {})
+    return out.withColumns(named).drop("__p")
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -317,5 +326,5 @@ def disagreements(df: DataFrame, model: str, text: str = "text") -> DataFrame:
             want = library.encode([t or "" for t in texts], add_bos=True, add_eos=True, num_threads=1)
             yield pd.Series([np.array(w, "<u4").tobytes() != i or library.decode(w) != d for w, i, d in zip(want, ids, decoded, strict=True)])
 
-    both = decode(encode(df, model, text), model)
+    both = encode(df, model, text, decoded="decoded")
     return both.filter(differs(F.col(f"`{text}`"), F.col("ids"), F.col("decoded")))

@@ -111,5 +111,5 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_sentencepiece")
 def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MERGES) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.encode(docs, model, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

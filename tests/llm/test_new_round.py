@@ -188,6 +188,8 @@ def test_pieces_of_odd_rows(docs):
     assert all(r["n_tokens"] == 2 for r in rows if not r["text"])
     assert pieces.disagreements(docs, MERGES).count() == 0
     assert pieces.encode(docs.limit(0), MERGES).collect() == []
+    once = pieces.encode(docs, MERGES, decoded="decoded")
+    assert sorted((r["ids"], r["decoded"]) for r in once.collect()) == sorted((r["ids"], r["decoded"]) for r in rows)
 
 
 def test_long_unbroken_text():
