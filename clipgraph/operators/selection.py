@@ -26,7 +26,8 @@ def middle_clip(clips: DataFrame, video: str = "video_id", order: str = "clip_in
 
     placed = row_index(clips, [order], [video], name="_at")
     n = clips.groupBy(video).agg(F.count(F.lit(1)).alias("_n"))
-    return placed.join(n, video).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_at", "_n")
+    # Estimates know nothing of exploded clips: without the hint either side may be broadcast at any size.
+    return placed.join(n.hint("merge"), video).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_at", "_n")
 
 
 def shortlist(clips: DataFrame, actions: list[str], quotas: tuple[int, int, int], seed: int) -> DataFrame:

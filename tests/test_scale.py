@@ -343,3 +343,12 @@ def test_frame_params_reads_two_rows_per_video(spark):
                                  F.sequence(F.col("id").cast("int") * 8, F.col("id").cast("int") * 8 + 15).alias("frame_indices"))
     assert compact.frame_params(df, "video_id").first()[1:] == (1, 8, 16)
     assert "WindowGroupLimit" in plan_of(compact.frame_params(df, "video_id"))
+
+
+def test_middle_clip_broadcasts_no_exploded_clips(spark):
+    """The estimate of exploded rows is that of their videos, so nothing may be broadcast by it."""
+    videos = spark.createDataFrame([(f"v{i}", i) for i in range(40)], "video_id string, n int")
+    clips = videos.withColumn("clip_index", F.explode(F.sequence(F.lit(0), "n"))).drop("n")
+    got = selection.middle_clip(clips)
+    assert "BroadcastHashJoin" not in plan_of(got)
+    assert sorted(map(tuple, got.collect())) == sorted((f"v{i}", (i + 1) // 2) for i in range(40))
