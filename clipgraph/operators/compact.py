@@ -73,8 +73,9 @@ def attribute_profiles(objects: DataFrame, video: str, order: list[str]) -> Data
 def frame_params(clips: DataFrame, video: str) -> DataFrame:
     """``step``, ``stride`` and ``length`` per video from its first two clips with frames."""
     used = clips.where(F.size("frame_indices") > 0)
-    # The rank filter is pushed below the shuffle, so at most two rows per video and task move.
-    ranked = used.withColumn("_rn", F.row_number().over(Window.partitionBy(video).orderBy("clip_index"))).where("_rn <= 2")
+    # The rank filter is pushed below the shuffle, so at most two clips per video and task move. Copies of
+    # a clip share its rank, so that the second one is never a copy of the first.
+    ranked = used.withColumn("_rn", F.dense_rank().over(Window.partitionBy(video).orderBy("clip_index"))).where("_rn <= 2")
     fi = F.col("frame_indices")
     head = F.when(F.col("_rn") == 1, F.get(fi, F.lit(0)))
     row = ranked.groupBy(video).agg(

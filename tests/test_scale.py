@@ -347,8 +347,15 @@ def test_frame_params_reads_two_rows_per_video(spark):
 
 def test_middle_clip_broadcasts_no_exploded_clips(spark):
     """The estimate of exploded rows is that of their videos, so nothing may be broadcast by it."""
-    videos = spark.createDataFrame([(f"v{i}", i) for i in range(40)], "video_id string, n int")
+    videos = spark.range(40).select(F.concat(F.lit("v"), "id").alias("video_id"), F.col("id").cast("int").alias("n"))
     clips = videos.withColumn("clip_index", F.explode(F.sequence(F.lit(0), "n"))).drop("n")
     got = selection.middle_clip(clips)
     assert "BroadcastHashJoin" not in plan_of(got)
     assert sorted(map(tuple, got.collect())) == sorted((f"v{i}", (i + 1) // 2) for i in range(40))
+
+
+def test_frame_params_of_copied_clips(spark):
+    """Rows of one clip that occur twice are one clip: the stride goes to the next index."""
+    clip = lambda i: ("v", i, list(range(i * 160, i * 160 + 320, 20)))
+    df = spark.createDataFrame([clip(i) for i in (1, 0, 0, 1, 2)], "video_id string, clip_index int, frame_indices array<int>")
+    assert [tuple(r) for r in compact.frame_params(df, "video_id").collect()] == [("v", 20, 160, 16)]
