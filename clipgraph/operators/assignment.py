@@ -318,5 +318,7 @@ def assign_groups(
 
     # Many small groups share one Python call; a task holds one group and one batch at a time.
     # Solving costs far more than the bytes show, so the partitions must not be merged by size.
+    # Dealt by a hash of the keys: a repartition by the keys themselves is left out where a join before it is planned
+    # with that partitioning, and when the join then becomes a broadcast at run time the groups are apart.
     tasks = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return full.repartition(tasks, F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInPandas(run, schema)

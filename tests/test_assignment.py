@@ -116,3 +116,21 @@ def test_events_of_equal_cost_go_by_order(spark):
     kinds = match.match_event_kinds(truth, pred, ["clip"]).select("gt.*", F.col("pred.frame").alias("to"), "n").collect()
     assert sorted((r["frame"], r["to"], r["n"]) for r in kinds) == [(9, 9, 2), (10, 3, 1)]
     assert match.match_events(truth.limit(0), pred, ["clip"], "id").collect() == []
+
+
+def test_groups_stay_whole_when_a_join_becomes_a_broadcast(spark):
+    """The join is planned over sorted sides and turns into a broadcast at run time, which reads its rows where they lie."""
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10m")
+    try:
+        lines = spark.range(0, 80, 1, 4).select((F.col("id") % 4).alias("g"), F.col("id").alias("a"))
+        kinds = spark.range(0, 8, 1, 1).select((F.col("id") % 4).alias("g"), F.col("id").alias("b"))
+        costs = lines.join(kinds, "g").withColumn("cost", (F.col("a") * 7 + F.col("b") * 3) % 11 / 11.0)
+        solved = assignment.assign_groups(costs, ["g"], "a", "b")
+        assert "REPARTITION_BY_NUM" in solved._jdf.queryExecution().executedPlan().toString()
+        got = solved.collect()
+    finally:
+        for k, x in held.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+    assert sorted(r["b"] for r in got) == list(range(8))
