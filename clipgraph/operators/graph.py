@@ -37,10 +37,52 @@ def build_graph(nodes: DataFrame, edges: DataFrame, metadata: Column | None = No
     return n.join(e, video, "full").withColumn("metadata", meta)
 
 
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
+
+
 def graph_json(graphs: DataFrame) -> DataFrame:
-    """Graph rows as JSON text; nulls are kept and timestamps are ISO."""
-    options = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}
-    return graphs.select("video_id", F.to_json(F.struct(*graphs.columns), options).alias("json"))
+    """Graph rows as JSON text; nulls are kept and timestamps are ISO. One text a video: see :func:`graph_json_parts`."""
+    return graphs.select("video_id", F.to_json(F.struct(*graphs.columns), JSON_OPTIONS).alias("json"))
+
+
+#: Sections of a graph text: its start, the nodes, what lies between, the edges, its end.
+HEAD, NODES, MIDDLE, EDGES, TAIL = range(5)
+
+
+def graph_json_parts(nodes: DataFrame, edges: DataFrame, metadata: Column | None = None, size: int = 1024) -> DataFrame:
+    """The texts of :func:`graph_json` in parts ``(video_id, section, part, json)`` of at most ``size`` nodes or edges.
+
+    The parts of a video, joined in the order of section and part, are its text, so that a video of any
+    size is written without a row that holds it whole. ``edges`` come from :func:`number_events`.
+    """
+    video = "video_id"
+
+    def listed(df: DataFrame, pos: str, section: int) -> DataFrame:
+        fields = F.struct(pos, F.struct(*[c for c in df.columns if c not in (video, pos)]).alias("v"))
+        part = F.floor(F.col(pos) / size).alias("part")
+        cut = df.groupBy(video, part).agg(F.sort_array(F.collect_list(fields)).alias("_l"))
+        text = F.to_json(F.transform("_l", lambda x: x["v"]), JSON_OPTIONS)
+        opened = F.concat(F.when(F.col("part") == 0, "[").otherwise(","), text.substr(F.lit(2), F.length(text) - 2))
+        return cut.select(video, F.lit(section).alias("section"), "part", opened.alias("json"))
+
+    meta = metadata if metadata is not None else F.create_map().cast("map<string,string>")
+    placed = row_index(nodes, ["track_id"], [video], name="node_pos")
+    n, e = nodes.select(video).distinct().withColumn("_n", F.lit(1)), edges.select(video).distinct().withColumn("_e", F.lit(1))
+    id_text = F.to_json(F.struct(video), JSON_OPTIONS)
+    around = n.join(e, video, "full").select(video, F.explode(F.array(*[
+        F.struct(F.lit(section).alias("section"), text.alias("json")) for section, text in (
+            (HEAD, F.concat(id_text.substr(F.lit(1), F.length(id_text) - 1), F.lit(',"nodes":'), F.when(F.isnull("_n"), "null").otherwise(""))),
+            (MIDDLE, F.concat(F.when(F.isnull("_n"), "").otherwise("]"), F.lit(',"edges":'), F.when(F.isnull("_e"), "null").otherwise(""))),
+            (TAIL, F.concat(F.when(F.isnull("_e"), "").otherwise("]"), F.lit(',"metadata":'), F.to_json(meta), F.lit("}"))),
+        )])).alias("_s")).select(video, "_s.section", F.lit(0).cast("bigint").alias("part"), "_s.json")
+    return around.unionByName(listed(placed, "node_pos", NODES)).unionByName(listed(edges, "event_pos", EDGES))
+
+
+def edges_of_parts(parts: DataFrame, edge: str) -> DataFrame:
+    """``(video_id, edge fields)`` read back from the texts of :func:`graph_json_parts`; ``edge`` is the fields' DDL."""
+    body = F.concat(F.lit("["), F.col("json").substr(F.lit(2), F.length("json")), F.lit("]"))
+    listed = F.from_json(body, f"array<struct<{edge}>>")
+    return parts.where(F.col("section") == EDGES).select("video_id", F.explode(listed).alias("e")).select("video_id", "e.*")
 
 
 def object_timeline(edges: DataFrame, track: int | None = None) -> DataFrame:

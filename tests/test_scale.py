@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipgraph.operators import assignment, attention, compact, encode, match, metrics, nms, ordering, report, selection, tracks
+from clipgraph.operators import assignment, attention, compact, encode, graph, match, metrics, nms, ordering, report, selection, tracks
 from clipgraph.sources import annotations
 
 
@@ -359,3 +359,22 @@ def test_frame_params_of_copied_clips(spark):
     clip = lambda i: ("v", i, list(range(i * 160, i * 160 + 320, 20)))
     df = spark.createDataFrame([clip(i) for i in (1, 0, 0, 1, 2)], "video_id string, clip_index int, frame_indices array<int>")
     assert [tuple(r) for r in compact.frame_params(df, "video_id").collect()] == [("v", 20, 160, 16)]
+
+
+def test_graph_texts_in_parts(spark):
+    """Parts joined in order are the text in one piece, also without nodes or without edges, and no part holds more than its share."""
+    edges = spark.range(23).select(
+        F.concat(F.lit("v"), F.col("id") % 2).alias("video_id"), F.col("id").alias("event_seq"), (F.col("id") % 5).cast("int").alias("frame"),
+        F.when(F.col("id") % 3 > 0, F.lit('a"[b],')).alias("action"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"))
+    nodes = spark.createDataFrame([("v0", 7, "cup"), ("v0", 3, None), ("v0", 5, "x"), ("v2", 1, "cup")], "video_id string, track_id int, category string")
+    numbered = graph.number_events(edges, ["frame", "event_seq"])
+    for meta in (None, F.create_map(F.lit("source"), F.lit("events"))):
+        whole = dict(map(tuple, graph.graph_json(graph.build_graph(nodes, numbered, meta)).collect()))
+        rows = sorted(map(tuple, graph.graph_json_parts(nodes, numbered, meta, size=2).collect()))
+        joined = {v: "".join(r[3] for r in rows if r[0] == v) for v in whole}
+        assert joined == whole and set(whole) == {"v0", "v1", "v2"} and {r[0] for r in rows} == set(whole)
+        assert max(r[3].count("event_id") for r in rows) == 2
+    parts = graph.graph_json_parts(nodes, numbered, size=4)
+    back = graph.edges_of_parts(parts, "event_id:string,action:string,frame:int,event_seq:bigint")
+    want = numbered.select("video_id", "event_id", "action", "frame", "event_seq")
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
