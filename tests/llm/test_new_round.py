@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from clipgraph.llm import pieces, resample, runs
+from clipgraph.llm import pieces, pii, resample, runs
 from clipgraph.llm.queries import MERGES, QUERIES
 from compare import differences
 
@@ -201,3 +201,21 @@ def test_long_unbroken_text():
 def test_other_models_are_refused():
     with pytest.raises(ValueError):
         pieces.Vocabulary(b"")
+
+
+def test_pii_learns_from_every_candidate(spark):
+    """40,000 alike candidates that are no personal data and 300 that are: each counts, none is drawn."""
+    rows = spark.range(40_300).select(
+        F.lit(0).cast("long").alias("__t"), F.col("id").alias("__h"), F.lit("email").alias("kind"), F.lit(0).cast("long").alias("start"),
+        F.lit(5).cast("long").alias("end"), (F.col("id") < 300).cast("double").alias("label"),
+        *[F.when((F.col("id") < 300) & F.lit(f == "length"), 9.0).otherwise(F.lit(1.0)).alias(f) for f in pii.FEATURES])
+    seen = []
+    real = pii.stored
+    pii.stored = lambda df: seen.append(real(df)) or seen[-1]
+    try:
+        model, limits = pii.learn(rows)
+    finally:
+        pii.stored = real
+    table = seen[-1]
+    assert table.count() == 4 and table.agg(F.sum("weight")).first()[0] == 40_300
+    assert limits["email"] > 0.5 and model is not None
