@@ -99,43 +99,80 @@ def gather_windows(
     return every.join(filled, [*keys, "clip_index"], "left").select(*keys, "clip_index", matrix.alias("matrix"))
 
 
+#: Most boxes of one category in one frame that are compared inside their own rows; more meet in a grid.
+_CLOSE = 64
+_CORNER = ["x1", "y1", "x2", "y2"]
+
+
 def separation_scores(detections: DataFrame) -> DataFrame:
     """Add ``match_score`` of each box as a stand-in for an object of its category.
 
     1.0 for the only box of its category in the frame; else (1 - max IoU with the others) *
-    max(score, 0.1). Overlapping boxes meet in a grid cell, so far-apart boxes are never
-    paired; copies of a box are counted once and overlap each other fully. The cells of a frame and category are as
+    max(score, 0.1). Copies of a box overlap each other fully. All boxes go to their frame and category once; up to 64
+    of them are compared as an array beside each box. In larger groups overlapping boxes meet in a grid cell, so
+    far-apart boxes are never paired and copies of a box are counted once. The cells of a frame and category are as
     large as its mean box, or a sixteenth of its largest one, in whatever unit the coordinates are.
     """
     group = ["video_id", "frame_index", "_cat"]
-    corner = ["x1", "y1", "x2", "y2"]
     tagged = detections.withColumn("_cat", F.lower("category"))
-    distinct = tagged.where("x1 is not null").groupBy(*group, *corner).agg(F.count(F.lit(1)).alias("_copies"))
+    return separation_in(tagged, group).select(*detections.columns, "match_score")
+
+
+def separation_in(tagged: DataFrame, group: list[str]) -> DataFrame:
+    """``separation_scores`` of the boxes of each ``group``; rows already dealt by the group are not moved again."""
+    whole = Window.partitionBy(*group)
+    counted = tagged.withColumn("_n", F.count("x1").over(whole))
+    close = F.col("_n") <= _CLOSE
+    box = F.struct(*_CORNER)
+    complete = F.lit(True)
+    for c in [*group, *_CORNER]:
+        complete = complete & F.col(c).isNotNull()
+    near = counted.where(close).withColumn("_all", F.collect_list(F.when(complete, box)).over(whole))
+    near = near.withColumn("_worst", F.when(complete, _worst_iou(F.col("_all"), box)))
+    # The rows of large groups move by their box, once for the distinct boxes and for the way back.
+    far = counted.where(~close).repartition(*group, *_CORNER)
+    far = far.join(_grid_overlap(far, group), [*group, *_CORNER], "left")
+    score = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((1 - F.col("_worst")) * F.greatest("score", F.lit(0.1)))
+    # Rows without a box match nothing and score 0.
+    out = [*tagged.columns, F.when(F.col("_worst").isNotNull(), F.coalesce(score, F.lit(0.0))).otherwise(F.lit(0.0)).alias("match_score")]
+    return near.select(*out).unionByName(far.select(*out))
+
+
+def _worst_iou(others: Column, box: Column) -> Column:
+    """Largest IoU of a box with the boxes of a list that holds it, too; 1 where the list holds a copy of it."""
+    def overlap(worst: Column, o: Column) -> Column:
+        corners = tuple(o[c] for c in _CORNER)
+        return F.greatest(worst, F.when(box == o, F.lit(0.0)).otherwise(boxes.box_iou(boxes.box(), corners)))
+
+    copies = F.size(F.filter(others, lambda o: box == o))
+    copied = (copies > 1) & (boxes.area(boxes.box()) > 0)
+    found = F.when(copied, F.lit(1.0)).otherwise(F.aggregate(others, F.lit(0.0), overlap))
+    return F.when(F.size(others) <= 1, F.lit(0.0)).otherwise(found)
+
+
+def _grid_overlap(rows: DataFrame, group: list[str]) -> DataFrame:
+    """(group, corners, ``_worst``): largest IoU of each distinct box with the others of its group, which meet in grid cells."""
+    distinct = rows.where("x1 is not null").groupBy(*group, *_CORNER).agg(F.count(F.lit(1)).alias("_copies"))
     whole = Window.partitionBy(*group)
 
     def cell(lo: str, hi: str) -> Column:
         extent = F.abs(F.col(hi) - F.col(lo))
         return F.greatest(F.avg(extent).over(whole), F.max(extent).over(whole) / 16, F.lit(1e-9))
 
-    # the distinct boxes of one category in one frame; their partitioning serves the grid join, too
-    sized = distinct.withColumns({"_n": F.sum("_copies").over(whole), "_wx": cell("x1", "x2"), "_wy": cell("y1", "y2")})
+    sized = distinct.withColumns({"_wx": cell("x1", "x2"), "_wy": cell("y1", "y2")})
 
     def span(lo: str, hi: str, size: str) -> Column:
         return F.sequence(F.floor(F.col(lo) / F.col(size)), F.floor(F.col(hi) / F.col(size)))
 
     placed = sized.withColumn("_gx", F.explode(span("x1", "x2", "_wx"))).withColumn("_gy", F.explode(span("y1", "y2", "_wy"))).drop("_wx", "_wy")
-    others = placed.select(*group, "_gx", "_gy", F.struct(*corner).alias("o"))
+    others = placed.select(*group, "_gx", "_gy", F.struct(*_CORNER).alias("o"))
     # A box meets itself too, so boxes without any overlap stay in the result.
-    itself = F.struct(*corner) == F.col("o")
+    itself = F.struct(*_CORNER) == F.col("o")
     iou = F.when(itself, F.lit(0.0)).otherwise(boxes.box_iou(boxes.box(), boxes.box("o.")))
     met = placed.join(others, [*group, "_gx", "_gy"])
-    worst = met.groupBy(*group, *corner).agg(F.max(iou).alias("_iou"), F.max("_n").alias("_n"), F.max("_copies").alias("_copies"))
+    worst = met.groupBy(*group, *_CORNER).agg(F.max(iou).alias("_iou"), F.max("_copies").alias("_copies"))
     copied = (F.col("_copies") > 1) & (boxes.area(boxes.box()) > 0)
-    boxed = worst.withColumn("_worst", F.when(copied, F.lit(1.0)).otherwise(F.col("_iou"))).drop("_iou", "_copies")
-    score = F.when(F.col("_n") == 1, F.lit(1.0)).otherwise((1 - F.col("_worst")) * F.greatest("score", F.lit(0.1)))
-    # Rows without a box match nothing and score 0.
-    joined = tagged.join(boxed, [*group, *corner], "left")
-    return joined.select(*detections.columns, F.coalesce(score, F.lit(0.0)).alias("match_score"))
+    return worst.withColumn("_worst", F.when(copied, F.lit(1.0)).otherwise(F.col("_iou"))).drop("_iou", "_copies")
 
 
 def mean_embedding(rows: DataFrame, keys: list[str], vec: str, dim: int) -> DataFrame:
