@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipgraph.functions import arrays
 from clipgraph.operators.assignment import assign_groups
 from clipgraph.operators.ordering import row_index
-from clipgraph.operators.tracks import separation_scores
+from clipgraph.operators.tracks import separation_in
 from clipgraph.operators.windows import explode_range
 
 
@@ -18,18 +18,13 @@ def candidate_pairs(objects: DataFrame, detections: DataFrame) -> DataFrame:
     An object has no box of its own, so all objects of one category and first frame share
     their candidates. Only the boxes of a wanted frame and category are scored.
     """
-    wanted = objects.select(
-        "video_id", F.col("first_seen_frame").alias("frame_index"), F.lower("category").alias("_cat")
-    ).distinct()
-    seen = detections.withColumn("_cat", F.lower("category")).join(wanted, ["video_id", "frame_index", "_cat"], "left_semi")
-    scored = separation_scores(seen.drop("_cat")).select(
-        "video_id",
-        F.col("frame_index").alias("first_seen_frame"),
-        F.lower("category").alias("_cat"),
-        "track_id",
-        "match_score",
-    )
-    return objects.withColumn("_cat", F.lower("category")).join(scored, ["video_id", "first_seen_frame", "_cat"]).drop("_cat")
+    key = ["video_id", "first_seen_frame", "_cat"]
+    wanted = objects.withColumn("_cat", F.lower("category"))
+    boxes = detections.withColumnsRenamed({"frame_index": "first_seen_frame"}).withColumn("_cat", F.lower("category"))
+    # the boxes move once: what they are wanted by, compared by and joined by is one key
+    seen = boxes.join(wanted.select(*key).distinct(), key, "left_semi")
+    scored = separation_in(seen, key).select(*key, "track_id", "match_score")
+    return wanted.join(scored, key).drop("_cat")
 
 
 def align(objects: DataFrame, detections: DataFrame, threshold: float = 0.3) -> DataFrame:
