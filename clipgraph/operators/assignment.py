@@ -199,39 +199,90 @@ def sparse_transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, suppl
     As many units are matched as the smaller side has, over listed or unlisted pairs; the least
     pairing, line by line, of all optimal ones is given, and a match counts as less than none.
     """
-    n, m = len(supply), len(demand)
+    return transport_groups(rows, cols, cost, supply, demand, np.zeros(len(supply), np.int64), np.zeros(len(demand), np.int64), missing)
+
+
+def transport_groups(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, supply: np.ndarray, demand: np.ndarray,
+                     line_group: np.ndarray, right_group: np.ndarray, missing: float = 1.0) -> np.ndarray:
+    """``sparse_transport`` of many groups at once; lines are numbered by rising group, and pairs stay inside their group.
+
+    Components are found for all groups together, and those with one line on a side are filled together, cheapest pairs first.
+    """
+    out = np.zeros(len(rows), np.int64)
+    if not len(rows):
+        return out
     price = np.rint(np.asarray(cost, float) / UNIT).astype(np.int64)
     blank = int(round(missing / UNIT))
-    out = np.zeros(len(rows), np.int64)
-    if len(rows) == n * m:  # nothing is unlisted: all units of the smaller side go over listed pairs
-        slack, spare, label = 0, max(0, int(supply.sum() - demand.sum())), np.zeros(len(rows), np.int64)
-    elif len(price) and price.max() > blank:  # listed pairs dearer than the others: these are needed, too
-        full = np.full((n, m), blank)
-        full[rows, cols] = price
-        units = sparse_transport(*np.divmod(np.arange(n * m), m), full.ravel() * UNIT, supply, demand)
-        return units.reshape(n, m)[rows, cols]
-    else:  # what stays unmatched pays for an unlisted pair
-        slack, spare, label = blank, int(supply.sum()), component_labels(rows, cols, n, m)
-    order = np.lexsort((cols, rows, label))
-    starts = np.flatnonzero(np.r_[True, np.diff(label[order]) != 0]) if len(order) else np.zeros(0, np.int64)
-    for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-        part = order[begin:end]
-        if len(part) == 1:
-            i = part[0]
-            out[i] = min(supply[rows[i]], demand[cols[i]])
-            continue
-        lines, of = np.unique(rows[part], return_inverse=True)
-        rights, to = np.unique(cols[part], return_inverse=True)
-        pairs: Pairs = [[] for _ in lines]
-        for i, j, c in zip(of.tolist(), to.tolist(), price[part].tolist(), strict=True):
-            pairs[i].append((j, c))
-        flow = Flow(pairs, supply[lines].tolist(), demand[rights].tolist(), slack, spare).settle()
-        out[part] = [flow[i].get(j, 0) for i, j in zip(of.tolist(), to.tolist(), strict=True)]
+    group, n = line_group[rows], int(line_group[-1]) + 1
+    n_left, n_right = np.bincount(line_group, minlength=n), np.bincount(right_group, minlength=n)
+    units_left, units_right = np.zeros((2, n), np.int64)
+    np.add.at(units_left, line_group, supply)
+    np.add.at(units_right, right_group, demand)
+    # nothing is unlisted: all units of the smaller side go over listed pairs; else what stays unmatched pays for an unlisted pair
+    complete = np.bincount(group, minlength=n) == n_left * n_right
+    top = np.full(n, blank)
+    np.maximum.at(top, group, price)
+    dear = ~complete & (top > blank)  # listed pairs dearer than the others: these are needed, too
+    for g in np.flatnonzero(dear).tolist():
+        (line, line_end), (right, right_end) = (np.searchsorted(x, [g, g + 1]) for x in (line_group, right_group))
+        part = np.flatnonzero(group == g)
+        shape = (line_end - line, right_end - right)
+        full = np.full(shape, blank)
+        full[rows[part] - line, cols[part] - right] = price[part]
+        units = sparse_transport(*np.divmod(np.arange(full.size), shape[1]), full.ravel() * UNIT, supply[line:line_end], demand[right:right_end])
+        out[part] = units.reshape(shape)[rows[part] - line, cols[part] - right]
+    open_ = np.flatnonzero(~dear[group])
+    if not len(open_):
+        return out
+    rows, cols, price, group = rows[open_], cols[open_], price[open_], group[open_]
+    label = np.unique(component_labels(rows, cols, len(supply), len(demand)), return_inverse=True)[1]
+    n_pairs = np.bincount(label)
+
+    def of_lines(at: np.ndarray, size: int) -> np.ndarray:
+        owner = np.full(size, -1)
+        owner[at] = label
+        return np.bincount(owner[owner >= 0], minlength=len(n_pairs))
+
+    lines, rights = of_lines(rows, len(supply)), of_lines(cols, len(demand))
+    star = (np.minimum(lines, rights) == 1) & (n_pairs == np.maximum(lines, rights))
+    one = np.flatnonzero(star[label])
+    if len(one):
+        single = lines[label[one]] == 1
+        given, taken = supply[rows[one]], demand[cols[one]]
+        order = np.lexsort((np.where(single, cols[one], rows[one]), price[one], label[one]))
+        room = np.where(single, taken, given)
+        limit = np.where(single, given, taken)
+        out[open_[one]] = np.clip(limit - _before(room, label[one], order), 0, room)
+    rest = np.flatnonzero(~star[label])
+    rest = rest[np.lexsort((cols[rest], rows[rest], label[rest]))]
+    if len(rest):
+        starts = np.flatnonzero(np.r_[True, np.diff(label[rest]) != 0]).tolist()
+        at_row, at_col, at_price, at_group = (x[rest].tolist() for x in (rows, cols, price, group))
+        units = []
+        for begin, end in zip(starts, [*starts[1:], len(rest)], strict=True):
+            of = {r: j for j, r in enumerate(sorted(set(at_col[begin:end])))}
+            to: dict[int, int] = {}
+            pairs: Pairs = []
+            for k in range(begin, end):
+                if at_row[k] not in to:
+                    to[at_row[k]] = len(pairs)
+                    pairs.append([])
+                pairs[-1].append((of[at_col[k]], at_price[k]))
+            g = at_group[begin]
+            if complete[g]:
+                slack, spare = 0, max(0, int(units_left[g] - units_right[g]))
+            else:
+                slack, spare = blank, int(units_left[g])
+            flow = Flow(pairs, supply[list(to)].tolist(), demand[list(of)].tolist(), slack, spare).settle()
+            units += [flow[to[i]].get(of[j], 0) for i, j in zip(at_row[begin:end], at_col[begin:end])]
+        out[open_[rest]] = units
     return out
 
 
 def _before(units: np.ndarray, group: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Units of the same group that come earlier in ``order``."""
+    if not len(order):
+        return units
     sums = np.cumsum(units[order]) - units[order]
     first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
     out = np.empty_like(units)
@@ -272,29 +323,35 @@ def assign_groups(
 
     columns = [*keys, left, right, "cost", "n", "left_from", "right_from"]
 
-    def solve(pieces: list[dict[str, np.ndarray]]) -> list[np.ndarray]:
+    def lines(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the number of its line, by group and value, and for each line its group."""
+        names, code = np.unique(values, return_inverse=True)
+        found, at = np.unique(group * len(names) + code, return_inverse=True)
+        return at, found // len(names)
+
+    def solve(pieces: list[dict[str, np.ndarray]], starts: list[int]) -> pd.DataFrame:
         part = pieces[0] if len(pieces) == 1 else {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
-        row_ids, rows = np.unique(part[left], return_inverse=True)
-        col_ids, cols = np.unique(part[right], return_inverse=True)
-        supply = np.zeros(len(row_ids), dtype=np.int64)
-        demand = np.zeros(len(col_ids), dtype=np.int64)
+        size = len(part["cost"])
+        group = np.repeat(np.arange(len(starts)), np.diff([*starts, size]))
+        rows, line_group = lines(group, part[left])
+        cols, right_group = lines(group, part[right])
+        supply = np.zeros(len(line_group), dtype=np.int64)
+        demand = np.zeros(len(right_group), dtype=np.int64)
         supply[rows] = part["_ln"]
         demand[cols] = part["_rn"]
-        units = sparse_transport(rows, cols, part["cost"], supply, demand, missing)
+        units = transport_groups(rows, cols, part["cost"], supply, demand, line_group, right_group, missing)
         used = np.flatnonzero(units)
         rows, cols, units = rows[used], cols[used], units[used]
-        left_from = _before(units, rows, np.lexsort((cols, rows)))
-        right_from = _before(units, cols, np.lexsort((rows, cols)))
-        head = [np.repeat(part[k][:1], len(used)) for k in keys]
-        return [*head, row_ids[rows], col_ids[cols], part["cost"][used], units, left_from, right_from]
+        made = {c: part[c][used] for c in (*keys, left, right, "cost")}
+        made["n"] = units
+        made["left_from"] = _before(units, rows, np.lexsort((cols, rows)))
+        made["right_from"] = _before(units, cols, np.lexsort((rows, cols)))
+        return pd.DataFrame({c: made[c] for c in columns})
 
     def run(batches):
-        # Rows arrive sorted by key. The last group of a batch may go on in the next one.
+        # Rows arrive sorted by key. The last group of a batch may go on in the next one; all others are solved together.
         held: list[dict[str, np.ndarray]] = []
 
-        def table(parts: list[list[np.ndarray]]) -> pd.DataFrame:
-            return pd.DataFrame({c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(columns)})
-
         for batch in batches:
             if not len(batch):
                 continue
@@ -303,18 +360,18 @@ def assign_groups(
             new[0] = not held or any(data[k][0] != held[-1][k][-1] for k in keys)
             for k in keys:
                 new[1:] |= data[k][1:] != data[k][:-1]
-            starts = np.flatnonzero(new)
-            edges = [0, *starts[starts > 0], len(batch)]
-            done = []
-            for begin, end in zip(edges[:-1], edges[1:]):
-                if new[begin] and held:
-                    done.append(solve(held))
-                    held = []
-                held.append({c: a[begin:end] for c, a in data.items()})
-            if done:
-                yield table(done)
+            starts = np.flatnonzero(new).tolist()
+            if not starts:
+                held.append(data)
+                continue
+            last = starts[-1]
+            before = sum(len(p["cost"]) for p in held)
+            if before + last:
+                whole = [*held, {c: a[:last] for c, a in data.items()}]
+                yield solve(whole, [*([0] if held else []), *[before + at for at in starts[:-1]]])
+            held = [{c: a[last:] for c, a in data.items()}]
         if held:
-            yield table([solve(held)])
+            yield solve(held, [0])
 
     # Many small groups share one Python call; a task holds one group and one batch at a time.
     # Solving costs far more than the bytes show, so the partitions must not be merged by size.
