@@ -11,6 +11,7 @@ from clipgraph.plans.pairing_sql import pairing
 from clipgraph.plans.q_scalar import ACTION_RULES, action_rules
 from clipgraph.plans.q_windows import FEATURES
 from clipgraph.plans.registry import query
+from clipgraph.session import settle
 from clipgraph.sources import inventory
 from clipgraph.vocab import vocab_from_table
 
@@ -139,9 +140,15 @@ kept as (select video_id, obj_id, track_id, 1 - (1 - sc) as score from pr join o
 """
 
 
+def aligned(v):
+    """The objects, which the alignment reads several times, and their tracks."""
+    objects = settle(v["v_vlm_objects"])
+    return objects, match.align(objects, v["v_detections"])
+
+
 @query("align", ALIGN_SQL + "select video_id, obj_id, track_id, round(score, 8) as score from kept")
 def align(v):
-    return match.align(v["v_vlm_objects"], v["v_detections"]).withColumn("score", F.round("score", 8))
+    return aligned(v)[1].withColumn("score", F.round("score", 8))
 
 
 @query("alignment_confidence", ALIGN_SQL + """
@@ -151,8 +158,8 @@ from (select video_id, count(*) as n from v_vlm_objects group by 1) o full join
 left join (select video_id, count(*) as n, avg(score) as c from kept group by 1) k on k.video_id = coalesce(o.video_id, t.video_id)
 """)
 def alignment_confidence(v):
-    mapping = match.align(v["v_vlm_objects"], v["v_detections"])
-    out = match.alignment_summary(v["v_vlm_objects"], v["v_detections"], mapping)
+    objects, mapping = aligned(v)
+    out = match.alignment_summary(objects, v["v_detections"], mapping)
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
