@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 from clipgraph.functions import arrays, boxes
 from clipgraph.operators.ordering import row_index
-from clipgraph.operators.windows import clip_membership, window_count
+from clipgraph.operators.windows import window_count
 
 _BLOCK = 1024
+#: Windows of one key that are cut from one row.
+_WINDOWS = 32
 
 
 def with_halo(df: DataFrame, pos: str, ahead: int = 0, back: int = 0, block: int = _BLOCK) -> DataFrame:
@@ -79,24 +81,46 @@ def gather_windows(
     """Dense ``length`` x ``len(values)`` matrix per (keys, clip), zero where a frame has no row.
 
     ``n_frames`` is the frame count of every video, or the column that holds it, equal in all rows of a key. Every key gets
-    every window of its video (at least one), also those it is absent from; rows at or beyond its end are in none. A group
-    holds at most ``length`` rows because (keys, t) is unique.
+    every window of its video (at least one), also those it is absent from; rows at or beyond its end are in none.
+
+    Rows move once, to blocks of 32 windows of their key; those that windows of two blocks share are shown to both. A block
+    holds a bounded number of rows because (keys, t) is unique, and its windows are cut from it in place.
     """
     total = F.lit(n_frames) if isinstance(n_frames, int) else F.col(n_frames).cast("int")
     rows = rows.where(F.col(t) < total)
-    n_clips = window_count(total, length, stride, "at_least_one")
+    last_clip = window_count(total, length, stride, "at_least_one") - 1
     vec = F.array(*[F.col(c).cast("double") for c in values])
-    placed = clip_membership(rows.withColumn("_vec", vec), t, n_clips, length, stride)
-    local = F.col(t) - F.col("clip_index") * stride
-    filled = placed.groupBy(*keys, "clip_index").agg(
-        F.map_from_entries(F.collect_list(F.struct(local.alias("t"), F.col("_vec")))).alias("_by_t")
-    )
-    ends = rows.groupBy(*keys).agg(F.max(total).alias("_total"))
-    every = ends.withColumn("clip_index", F.explode(F.sequence(F.lit(0), window_count(F.col("_total"), length, stride, "at_least_one") - 1)))
+    first = F.greatest(F.lit(0), F.ceil((F.col(t) - length + 1) / stride).cast("int"))
+    last = F.least(last_clip, F.floor(F.col(t) / stride).cast("int"))
+    item = F.when(first <= last, F.struct(F.col(t).alias("t"), vec.alias("v")))
+    whole = isinstance(n_frames, int) and n_frames <= _WINDOWS * stride + length - stride
+    if whole:  # one block holds all windows
+        shown = rows.select(*keys, F.lit(0).alias("_block"), total.alias("_total"), item.alias("_item"))
+    else:
+        own = F.greatest(F.lit(0), F.floor(last / _WINDOWS).cast("int"))
+        blocks = F.sequence(F.least(F.floor(first / _WINDOWS).cast("int"), own), own)
+        shown = rows.select(*keys, F.explode(blocks).alias("_block"), total.alias("_total"), item.alias("_item"))
+        # keys with more windows than a block get all their blocks
+        long = rows.where(last_clip >= _WINDOWS).groupBy(*keys).agg(F.max(total).alias("_total"))
+        end = F.floor((window_count(F.col("_total"), length, stride, "at_least_one") - 1) / _WINDOWS).cast("int")
+        every = long.select(*keys, F.explode(F.sequence(F.lit(0), end)).alias("_block"), "_total")
+        shown = shown.unionByName(every, allowMissingColumns=True)
+    filled = shown.groupBy(*keys, "_block").agg(
+        F.map_from_entries(F.collect_list("_item")).alias("_by_t"), F.max("_total").alias("_total"))
+    upto = F.least((F.col("_block") + 1) * _WINDOWS, window_count(F.col("_total"), length, stride, "at_least_one")) - 1
+    cut = filled.withColumn("clip_index", F.explode(F.sequence(F.col("_block") * _WINDOWS, upto)))
     zeros = F.array(*[F.lit(0.0) for _ in values])
-    win = F.least(F.lit(length), F.col("_total") - F.col("clip_index") * stride)
-    matrix = F.transform(F.sequence(F.lit(0), win - 1), lambda i: F.coalesce(F.element_at("_by_t", i), zeros))
-    return every.join(filled, [*keys, "clip_index"], "left").select(*keys, "clip_index", matrix.alias("matrix"))
+    start = F.col("clip_index") * stride
+    win = F.least(F.lit(length), F.col("_total") - start)
+
+    def at(i: Column) -> Column:
+        return F.coalesce(F.element_at("_by_t", (start + i).cast(filled.schema["_by_t"].dataType.keyType)), zeros)
+
+    if length <= _WINDOWS:  # items one by one stay in generated code, a lambda would not
+        matrix = F.slice(F.array(*[at(F.lit(i)) for i in range(length)]), F.lit(1), win)
+    else:
+        matrix = F.transform(F.sequence(F.lit(0), win - 1), at)
+    return cut.select(*keys, "clip_index", matrix.alias("matrix"))
 
 
 #: Most boxes of one category in one frame that are compared inside their own rows; more meet in a grid.

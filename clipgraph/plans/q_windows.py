@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from clipgraph.operators import motion, tracks, windows
@@ -170,7 +172,8 @@ def window_gather_pairs(v):
     packed = tracks.gather_windows(pairs, keys, tracks.PAIR, 16, 8, 4)
 
     def total(i):
-        return F.round(F.aggregate("matrix", F.lit(0.0), lambda acc, row: acc + F.get(row, F.lit(i))), 5)
+        cells = [F.coalesce(F.get(F.get("matrix", F.lit(k)), F.lit(i)), F.lit(0.0)) for k in range(8)]
+        return F.round(reduce(lambda a, b: a + b, cells), 5)
 
     return packed.select(
         *keys, "clip_index", total(0).alias("iou"), total(1).alias("distance"), total(4).alias("dx"), total(5).alias("dy")
