@@ -71,11 +71,14 @@ class Draws:
 
 
 def fingerprint_batch(texts: Iterable[str | None], draws: Draws, rows: int = 64) -> np.ndarray:
-    """(documents, SAMPLES) 16-bit samples; a document without words has all zeros, no other has a zero."""
-    counts = [Counter((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts]
-    out = np.zeros((len(counts), SAMPLES), np.uint16)
-    for at in range(0, len(counts), rows):
-        part = counts[at : at + rows]
+    """(documents, SAMPLES) 16-bit samples; a document without words has all zeros, no other has a zero.
+
+    The words of ``rows`` documents are held at a time.
+    """
+    texts = list(texts)
+    out = np.zeros((len(texts), SAMPLES), np.uint16)
+    for at in range(0, len(texts), rows):
+        part = [Counter((t or "").encode("utf-8", "surrogatepass").lower().split()) for t in texts[at : at + rows]]
         draws.learn([w for c in part for w in c])
         sizes = np.array([len(c) for c in part])
         full = np.flatnonzero(sizes)
