@@ -19,6 +19,7 @@ from clipgraph import schemas
 from clipgraph.functions import ids, times
 from clipgraph.operators import compact
 from clipgraph.operators.windows import rebuild_frame_indices
+from clipgraph.session import settle
 from clipgraph.sources import annotations
 
 # Fixed value: number of the format.
@@ -114,6 +115,7 @@ def encode(docs: DataFrame) -> DataFrame:
     follow from the frames. Attribute axes without a value come back as null; a clip without a status
     counts as annotated.
     """
+    docs = settle(docs)  # every table and dictionary is made from it
     clips = annotations.explode_clips(docs)
     objects, events = annotations.explode_objects(clips), annotations.explode_events(clips)
     tables = compact.compact(
