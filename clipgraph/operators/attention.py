@@ -129,7 +129,8 @@ def slot_similarity(attn: DataFrame) -> DataFrame:
 
 def weighted_pooling(attn: DataFrame, tokens: DataFrame, token_key: list[str], vec: str, dim: int, group: list[str]) -> DataFrame:
     """Attention-weighted mean of token vectors per group: sum(w*x) / (sum(w) + 1e-8)."""
-    joined = attn.join(tokens.select(*token_key, vec), token_key)
+    # The vectors move as they are, once a row; products would be twice as wide and hardly fewer.
+    joined = attn.join(tokens.select(*token_key, vec), token_key).select(*group, "w", vec).repartition(*group)
     sums = arrays.vector_aggregate(joined, group, vec, dim, lambda x: F.sum(F.col("w") * x), "_sums", _w=F.sum("w"))
     weight = F.col("_w") + F.lit(1e-8)
     return sums.withColumn("_w", weight).select(*group, F.transform("_sums", lambda s: s / F.col("_w")).alias("pooled"))
