@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipgraph import schemas
-from clipgraph.operators.ordering import row_index
+from clipgraph.operators.ordering import prefix_sums
 from clipgraph.session import broadcast_checked
 from clipgraph.vocab import attribute_literal
 
@@ -154,15 +154,29 @@ def validate_events(events: DataFrame, objects: DataFrame, actions: DataFrame, c
     return out.withColumn("_keep", keep).select(*events.columns, F.col("_keep").alias("keep"), warnings.alias("warnings"))
 
 
-def order_events(events: DataFrame, clip: str, frame: str, pos: str) -> DataFrame:
-    """Add the position by (frame, pos) and whether sorting moved any event of the clip.
+def _placed(events: DataFrame, clip: str, frame: str, pos: str) -> tuple[DataFrame, Column]:
+    """Events with ``sorted_pos``, their place by (frame, pos), and whether the one before them there had a later ``pos``.
 
-    The clip was out of order iff some event's place by frame differs from its place by ``pos``.
+    The order by ``pos`` is the order by (frame, pos) iff ``pos`` never falls along the latter, so one sort shows both.
     """
-    placed = row_index(events, [frame, pos], [clip], name="sorted_pos")
-    placed = row_index(placed, [pos], [clip], name="_given")
-    moved = placed.groupBy(clip).agg(F.max(F.col("sorted_pos") != F.col("_given")).alias("resorted"))
-    return placed.drop("_given").join(moved, clip)
+    one = F.lit(1).cast("bigint")
+    placed = prefix_sums(events, [frame, pos], {"sorted_pos": one}, [clip], {"_before": pos})
+    # as structs, nulls come first, as they do in the order
+    return placed.withColumn("sorted_pos", F.col("sorted_pos") - 1), F.struct(F.col("_before").alias("p")) > F.struct(F.col(pos).alias("p"))
+
+
+def order_events(events: DataFrame, clip: str, frame: str, pos: str) -> DataFrame:
+    """Add the position by (frame, pos) and whether sorting moved any event of the clip."""
+    placed, falls = _placed(events, clip, frame, pos)
+    moved = placed.groupBy(clip).agg(F.max(falls).alias("resorted"))
+    return placed.drop("_before").join(moved, clip)
+
+
+def clips_out_of_order(events: DataFrame, clip: str, frame: str, pos: str) -> DataFrame:
+    """The clips of which sorting by (frame, pos) moves an event, one row each."""
+    narrow = events.where(F.col(clip).isNotNull()).select(clip, frame, pos)
+    placed, falls = _placed(narrow, clip, frame, pos)
+    return placed.where(falls).select(clip).distinct()
 
 
 def validation_stats(checked: DataFrame, clips: DataFrame, extra_warnings: DataFrame | None = None) -> DataFrame:
@@ -190,7 +204,7 @@ def validation_stats_by(checked: DataFrame, clips: DataFrame, by: list[str], res
     """The totals of ``validation_stats`` for each group of ``by``.
 
     ``clips`` has one row an annotation, ``resorted`` one row an annotation whose events were out of order.
-    All rows meet in one aggregation; groups without events have zeros.
+    ``checked`` may hold the number of warnings as ``n_warnings`` in place of their texts. All rows meet in one aggregation; groups without events have zeros.
     """
     zero = {c: F.lit(0).cast("bigint") for c in ("annotations", "events", "kept", "warned")}
 
@@ -198,8 +212,8 @@ def validation_stats_by(checked: DataFrame, clips: DataFrame, by: list[str], res
         return df.select(*by, *[given.get(c, z).cast("bigint").alias(f"_{c}") for c, z in zero.items()])
 
     one = F.lit(1)
-    parts = rows(clips, annotations=one).unionByName(
-        rows(checked, events=one, kept=F.col("keep").cast("int"), warned=F.size("warnings")))
+    warned = F.col("n_warnings") if "n_warnings" in checked.columns else F.size("warnings")
+    parts = rows(clips, annotations=one).unionByName(rows(checked, events=one, kept=F.col("keep").cast("int"), warned=warned))
     if resorted is not None:
         parts = parts.unionByName(rows(resorted, warned=one))
     sums = parts.groupBy(*by).agg(*[F.sum(f"_{c}").alias(f"_{c}") for c in zero])

@@ -10,7 +10,7 @@ from clipgraph.functions import arrays, times
 from clipgraph.operators import compact, ordering, validate, windows
 from clipgraph.plans.q_scalar import ACTION_RULES, VALIDATED, action_rules
 from clipgraph.plans.registry import query
-from clipgraph.session import checkpoint_dir
+from clipgraph.session import checkpoint_dir, settle
 from clipgraph.sources import annotations, datasets, inventory, vocabulary
 from clipgraph.sources import compact_docs as codec
 from clipgraph.vocab import vocab_from_table
@@ -157,8 +157,9 @@ def annotation_docs(v):
         "video_id", F.format_string("/videos/%d.mp4", "video_id").alias("video_path"), start.alias("start_ts"), F.lit(20.0).alias("source_fps"),
         F.lit(1.0).alias("target_fps"), frames.alias("total_frames"), times.duration_sec(frames, F.lit(20.0)).alias("duration_sec"))
     checked = validate.validate_events(v["v_ann_events"], v["v_ann_objects"], action_rules(v), "clip_id")
-    resorted = validate.order_events(checked.where("keep").select("clip_id", "frame", "event_seq"), "clip_id", "frame", "event_seq")
-    moved = resorted.where("resorted").select("clip_id").distinct()
+    # read three times: by the sample and the order of events, and by the totals
+    checked = settle(checked.select("clip_id", "frame", "event_seq", "keep", F.size("warnings").alias("n_warnings")))
+    moved = validate.clips_out_of_order(checked.where("keep"), "clip_id", "frame", "event_seq")
     stats = validate.validation_stats_by(checked, v["v_ann_events"].select("clip_id").distinct(), ["clip_id"], moved)
     docs = annotations.annotation_documents(timed, objects, events, "event_seq", videos, stats.withColumnRenamed("clip_id", "video_id"))
     path = _folder(v, "documents")
