@@ -19,19 +19,33 @@ from pyspark.sql.window import Window
 _BUCKET = "_bucket"
 _SAMPLES_PER_BUCKET = 16
 _SMALL_BYTES = 64 << 20
-
+_COUNTED_BYTES = 1 << 20
+_SORTED_BYTES = 128 << 20
 
 _MOST_LEVELS = 14
 #: Plan nodes after which the optimizer's estimate says nothing: they can make any number of rows from one.
 _GROWING = ("Generate ", "MapInPandas", "MapInArrow", "FlatMapGroups", "LogicalRDD")
 
 
+def _row_bytes(df: DataFrame) -> int:
+    """Bytes of a row while it is sorted: its slots, text of common length, and what points to it."""
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return 40 + sum(32 if isinstance(f.dataType, wide) else 8 for f in df.schema.fields)
+
+
 def _small(df: DataFrame) -> bool:
-    """Whether the optimizer's size estimate says that one task can hold the input, and can be trusted."""
+    """Whether one task can hold the input: the optimizer's estimate says so, can be trusted, and the rows agree.
+
+    The estimate counts the bytes of compressed files, of which rows can take thirty times as much; so from
+    1 MB on the rows are counted, which takes no more than the footers of the files where only they are read.
+    """
     plan = df._jdf.queryExecution().optimizedPlan()
     if any(node in plan.toString() for node in _GROWING):
         return False
-    return int(plan.stats().sizeInBytes()) <= _SMALL_BYTES
+    estimate = int(plan.stats().sizeInBytes())
+    if estimate <= _COUNTED_BYTES or estimate > _SMALL_BYTES:
+        return estimate <= _COUNTED_BYTES
+    return df.count() * _row_bytes(df) <= _SORTED_BYTES
 
 
 def _levels(df: DataFrame, buckets: int | None) -> int:
@@ -91,8 +105,8 @@ def prefix_sums(
     ``order_by`` together with ``partition_by`` must be unique. ``lags`` maps a new column to
     the column whose previous value it holds. ``split`` forces (or forbids) the range-cut
     plan; by default a plain window serves inputs of at most 64 MB by the optimizer's
-    estimate (not taken where rows are exploded or made in Python), inputs smaller than the
-    sample, and keyed inputs whose sample shows no key too large for one task.
+    estimate (not taken where rows are exploded or made in Python) whose rows take at most
+    128 MB in a sort, inputs smaller than the sample, and keyed inputs whose sample shows no key too large for one task.
     """
     lags = lags or {}
     parts = list(partition_by)
