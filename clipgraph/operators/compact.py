@@ -72,17 +72,20 @@ def attribute_profiles(objects: DataFrame, video: str, order: list[str]) -> Data
 
 def frame_params(clips: DataFrame, video: str) -> DataFrame:
     """``step``, ``stride`` and ``length`` per video from its first two clips with frames."""
-    used = clips.where(F.size("frame_indices") > 0)
+    fi = F.col("frame_indices")
+    # Only three numbers of the frames are asked for, so no list is sorted or moved.
+    used = clips.where(F.size(fi) > 0).select(
+        video, "clip_index", F.size(fi).alias("_size"), F.coalesce(F.get(fi, F.lit(1)) - F.get(fi, F.lit(0)), F.lit(0)).alias("_step"),
+        F.get(fi, F.lit(0)).alias("_head"),
+    )
     # The rank filter is pushed below the shuffle, so at most two clips per video and task move. Copies of
     # a clip share its rank, so that the second one is never a copy of the first.
     ranked = used.withColumn("_rn", F.dense_rank().over(Window.partitionBy(video).orderBy("clip_index"))).where("_rn <= 2")
-    fi = F.col("frame_indices")
-    head = F.when(F.col("_rn") == 1, F.get(fi, F.lit(0)))
     row = ranked.groupBy(video).agg(
-        F.max(F.when(F.col("_rn") == 1, F.size(fi))).alias("length"),
-        F.max(F.when(F.col("_rn") == 1, F.coalesce(F.get(fi, F.lit(1)) - F.get(fi, F.lit(0)), F.lit(0)))).alias("step"),
-        F.max(head).alias("_a"),
-        F.max(F.when(F.col("_rn") == 2, F.get(fi, F.lit(0)))).alias("_b"),
+        F.max(F.when(F.col("_rn") == 1, F.col("_size"))).alias("length"),
+        F.max(F.when(F.col("_rn") == 1, F.col("_step"))).alias("step"),
+        F.max(F.when(F.col("_rn") == 1, F.col("_head"))).alias("_a"),
+        F.max(F.when(F.col("_rn") == 2, F.col("_head"))).alias("_b"),
     )
     single = F.col("step") * F.floor(F.col("length") / 2).cast("int")
     return row.select(video, "step", F.coalesce(F.col("_b") - F.col("_a"), single).alias("stride"), "length")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from clipgraph.functions import ids, times
 from clipgraph.operators.ordering import row_index
 
 _BLOCK = 4096
+_CLIPS_A_PARTITION = 1 << 19
 
 
 def explode_range(df: DataFrame, n: Column, name: str) -> DataFrame:
@@ -19,6 +22,12 @@ def explode_range(df: DataFrame, n: Column, name: str) -> DataFrame:
     return staged.withColumn(name, F.explode(F.sequence(F.col("_from"), upto))).drop("_n", "_from")
 
 
+def dealt_by(df: DataFrame, key: str, n: Column) -> DataFrame:
+    """``df`` partitioned by ``key`` for the ``n`` rows that are made of each row: few enough a partition to be sorted in memory."""
+    total = df.agg(F.sum(n)).first()[0] or 0
+    return df.repartition(max(1, math.ceil(total / _CLIPS_A_PARTITION)), key)
+
+
 def with_sampling(videos: DataFrame, target_fps: float = 1.0) -> DataFrame:
     """Add ``step`` (source frames per sampled frame) and ``n_sampled``."""
     stepped = videos.withColumn("step", times.frame_step(F.col("source_fps"), target_fps))
@@ -68,10 +77,18 @@ def clip_windows(
     stride: int = 8,
     target_fps: float = 1.0,
     trailing: str = "drop",
+    by: str | None = None,
 ) -> DataFrame:
-    """One row per clip with ``clip_index``, ``start_pos`` and ``length`` in sampled frames."""
+    """One row per clip with ``clip_index``, ``start_pos`` and ``length`` in sampled frames.
+
+    ``by`` names the video: then the videos are dealt out by it before their clips are made, so
+    that a window, join or group over a video moves none of its clips.
+    """
     sampled = with_sampling(videos, target_fps)
-    rows = explode_range(sampled, window_count(F.col("n_sampled"), length, stride, trailing), "clip_index")
+    n_clips = window_count(F.col("n_sampled"), length, stride, trailing)
+    if by:
+        sampled = dealt_by(sampled, by, n_clips)
+    rows = explode_range(sampled, n_clips, "clip_index")
     start = F.col("clip_index") * stride
     return rows.withColumn("start_pos", start).withColumn("length", F.least(F.lit(length), F.col("n_sampled") - start))
 

@@ -290,7 +290,7 @@ def attribute_profiles(v):
 select video_id, cast(step as int) as step, cast(step * 8 as int) as stride, 16 as length from v_clips group by video_id, step
 """)
 def frame_index_params(v):
-    clips = windows.with_frame_indices(windows.clip_windows(v["v_videos"]))
+    clips = windows.with_frame_indices(windows.clip_windows(v["v_videos"], by="video_id"))
     return compact.frame_params(clips.select("video_id", "clip_index", "frame_indices"), "video_id")
 
 
