@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Clips of one video that are ranked in one task.
+_WHOLE = 1 << 20
+
 
 def action_coverage(selected: DataFrame) -> DataFrame:
     """Distinct actions and videos among selected clips; the action set is bounded by the vocabulary."""
@@ -24,10 +27,15 @@ def middle_clip(clips: DataFrame, video: str = "video_id", order: str = "clip_in
     """The clip at position floor(n/2) of each video."""
     from clipgraph.operators.ordering import row_index
 
-    placed = row_index(clips, [order], [video], name="_at")
     n = clips.groupBy(video).agg(F.count(F.lit(1)).alias("_n"))
+    whole = (n.agg(F.max("_n")).first()[0] or 0) <= _WHOLE
+    placed = row_index(clips, [order], [video], name="_at", split=False if whole else None)
+    at, middle = F.col("_at"), F.floor(F.col("_n") / 2)
+    # As a difference the position is no key of the join, and clips stay where their video was ranked; clips of a
+    # video too large for that are spread by their position.
+    found = at - middle == 0 if whole else at == middle
     # Estimates know nothing of exploded clips: without the hint either side may be broadcast at any size.
-    return placed.join(n.hint("merge"), video).where(F.col("_at") == F.floor(F.col("_n") / 2)).drop("_at", "_n")
+    return placed.join(n.hint("merge"), video).where(found).drop("_at", "_n")
 
 
 def shortlist(clips: DataFrame, actions: list[str], quotas: tuple[int, int, int], seed: int) -> DataFrame:

@@ -141,7 +141,7 @@ select video_id, clip_index, n_sampled from (select video_id, clip_index, n as n
 where rn = c // 2 + 1
 """)
 def middle_clip(v):
-    clips = windows.clip_windows(v["v_videos"]).select("video_id", "clip_index", "n_sampled")
+    clips = windows.clip_windows(v["v_videos"], by="video_id").select("video_id", "clip_index", "n_sampled")
     return selection.middle_clip(clips)
 
 

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from clipgraph.operators import compact, windows
+from clipgraph.operators import compact, selection, windows
 from clipgraph.plans import catalog
 from clipgraph.plans.registry import run
 
@@ -32,6 +32,13 @@ def key(video_id):
     return int(video_id.split("_tp")[1])
 
 
+def test_middle_clip_moves_videos_only(spark, orders):
+    folder, clips = orders
+    got = run("middle_clip", spark, folder)
+    assert "ENSURE_REQUIREMENTS" not in plan_of(got) and "REPARTITION_BY_NUM" in plan_of(got)
+    assert {key(v): (i, n) for v, i, n in map(tuple, got.collect())} == {k: (c // 2, n) for k, (c, n) in clips.items()}
+
+
 def test_frame_index_params_moves_videos_only(spark, orders):
     folder, clips = orders
     got = run("frame_index_params", spark, folder)
@@ -58,3 +65,14 @@ def test_clips_are_the_same_however_their_videos_lie(spark, monkeypatch):
         plain, dealt = windows.clip_windows(videos, trailing=trailing), windows.clip_windows(videos, trailing=trailing, by="video_id")
         assert rows(plain) == rows(dealt) and plain.schema == dealt.schema
     assert windows.clip_windows(videos.where("false"), by="video_id").isEmpty()
+
+
+def test_middle_clip_of_large_videos(spark, monkeypatch):
+    """Videos beyond the size of one task have the same middle, with copies of clips and clips without a number."""
+    rows = [("a", i) for i in (3, 1, 1, 0, 2, None, 9)] + [("b", 5), ("b", 4), (None, 1)]
+    clips = spark.createDataFrame(rows, "video_id string, clip_index int")
+    want = [("a", 1), ("b", 5)]
+    assert sorted(map(tuple, selection.middle_clip(clips).collect())) == want
+    monkeypatch.setattr(selection, "_WHOLE", 1)
+    large = selection.middle_clip(clips)
+    assert sorted(map(tuple, large.collect())) == want and "hashpartitioning(_at" in plan_of(large)
